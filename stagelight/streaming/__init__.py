@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The source application reads its tables once at start-up and answers every
+request from those in-memory frames; it has no stream, watermark, window
+over event time or stateful operator. Nothing is invented here. The
+"load once, answer many" pattern maps to ``plans.catalog.Workspace.materialize``
+(a reliable checkpoint of the frames), not to Structured Streaming.
+"""

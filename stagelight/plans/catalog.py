@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -47,9 +48,18 @@ class Workspace:
 
     def __init__(self, roles: Roles):
         self.roles = roles
-        self.base = frames.base(roles)
-        self.demo = frames.demographics(roles)
-        self.tp = frames.teacher_performance(roles)
+
+    @cached_property
+    def base(self) -> DataFrame:
+        return frames.base(self.roles)
+
+    @cached_property
+    def demo(self) -> DataFrame:
+        return frames.demographics(self.roles)
+
+    @cached_property
+    def tp(self) -> DataFrame:
+        return frames.teacher_performance(self.roles)
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str) -> "Workspace":

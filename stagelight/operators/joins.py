@@ -28,22 +28,69 @@ def keyed_product(key: str, *frames: DataFrame) -> DataFrame:
     return out
 
 
-def left_join_split(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left LEFT JOIN right USING (key)`` written as inner join plus the
-    unmatched left rows.
-
-    Use it when the *right* side may hold a hot key: AQE may split a skewed
-    partition of either side of an inner join, but of an outer join only the
-    preserved side. The unmatched rows come from an anti join against the
-    distinct right keys, which partial aggregation shrinks before any shuffle.
+# Skew handling defaults: a key is hot from this many rows on the
+# non-preserved side; at most this many hot keys are salted (the hot-key
+# table is broadcast, so its size is bounded by this LIMIT); a hot key is
+# spread over at most this many tasks.
+HOT_KEY_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
+MAX_FANOUT = 1024
+
+
+def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                   hot_rows: int = HOT_KEY_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
+                   max_fanout: int = MAX_FANOUT) -> DataFrame:
+    """``left LEFT JOIN right ON left_key = right_key`` that stays balanced when
+    one key holds a large share of ``right`` (the side AQE cannot split in a
+    left outer join).
+
+    1. Per-key row counts of ``right`` (partial aggregation, so a hot key is
+       pre-combined map-side); keys with >= ``hot_rows`` rows, the largest
+       ``max_hot_keys`` of them, get a fan-out ceil(rows / hot_rows) capped at
+       ``max_fanout``. Keys beyond that LIMIT stay unsalted: nothing is dropped.
+    2. That bounded table is broadcast to tag both sides map-side. A hot
+       key's right rows get a deterministic salt (hash of the row) in
+       [0, fan-out); its left rows are replicated once per salt; every other
+       row gets salt 0.
+    3. One shuffle join on (key, salt). A replica whose salt bucket is
+       empty yields a null-extended row although the key has matches; those
+       rows (hot key, no right marker) are removed, which makes the result
+       exactly the plain left join.
     """
-    matched = left.join(right, on=key, how="inner")
-    right_keys = right.select(key).where(F.col(key).isNotNull()).distinct()
-    unmatched = left.join(right_keys, on=key, how="left_anti")
-    for field in right.schema.fields:
-        if field.name != key:
-            unmatched = unmatched.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return matched.unionByName(unmatched)
+    hot = (right.where(F.col(right_key).isNotNull())
+                .groupBy(F.col(right_key).alias("_hk"))
+                .agg(F.count(F.lit(1)).alias("_rows"))
+                .where(F.col("_rows") >= F.lit(hot_rows))
+                .orderBy(F.desc("_rows"), F.asc("_hk"))
+                .limit(max_hot_keys)
+                .select("_hk", F.least(F.lit(max_fanout),
+                                       F.ceil(F.col("_rows") / F.lit(hot_rows))).cast("int").alias("_fan")))
+    hot = F.broadcast(hot)
+
+    r_cols = right.columns
+    r_tagged = (right.join(hot, right[right_key] == hot["_hk"], "left")
+                     .select(*[right[f"`{c}`"] for c in r_cols], F.lit(True).alias("_hit"),
+                             F.when(F.col("_fan").isNull(), F.lit(0))
+                              .otherwise(F.pmod(F.xxhash64(*[right[f"`{c}`"] for c in r_cols]),
+                                                F.col("_fan")).cast("int")).alias("_rsalt")))
+    l_cols = left.columns
+    l_tagged = (left.join(hot, left[left_key] == hot["_hk"], "left")
+                    .select(*[left[f"`{c}`"] for c in l_cols], F.col("_fan").alias("_lfan"),
+                            F.explode(F.when(F.col("_fan").isNull(), F.array(F.lit(0)))
+                                       .otherwise(F.sequence(F.lit(0), F.col("_fan") - 1))).alias("_lsalt")))
+    joined = l_tagged.join(r_tagged, (l_tagged[left_key] == r_tagged[right_key])
+                           & (l_tagged["_lsalt"] == r_tagged["_rsalt"]), "left")
+    spurious = F.col("_lfan").isNotNull() & F.col("_hit").isNull()
+    return joined.where(~spurious).drop("_lfan", "_lsalt", "_hit", "_rsalt")
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only after checking it has at most ``max_rows``
+    rows (one LIMIT job that stops reading at max_rows + 1); otherwise leave
+    it to a shuffle join, which AQE may still demote to a broadcast once it
+    has measured the shuffled side."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
 
 
 def semi_join_small(df: DataFrame, small: DataFrame, on: str | list[str]) -> DataFrame:

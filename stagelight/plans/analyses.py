@@ -123,7 +123,9 @@ def active_students(base: DataFrame, demo: DataFrame, filters: Filters | None =
     tx = base.select("Student_id", "Order_Date")
     if filters is not None and filters.has_dates:
         tx = tx.where(date_range("Order_Date", filters.start, filters.end))
-    active = tx.select(F.col("Student_id").alias("StudentID"))
+    # distinct() pre-combines a student's many transactions map-side, so a hot
+    # student never reaches the semi join as one huge group.
+    active = tx.select(F.col("Student_id").alias("StudentID")).distinct()
     return demo.join(active, "StudentID", "left_semi")
 
 

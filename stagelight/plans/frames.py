@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import full_name, month_name, weekday_name
-from ..operators.joins import keyed_product
+from ..operators.joins import broadcast_if_bounded, keyed_product, skew_left_join
 from ..sources.literals import course_type_dim
 from ..sources.roles import Roles
 
@@ -29,6 +29,10 @@ TEACHER_COLUMNS = ["Teacher_ID", "Teacher_Name", "Student_ID", "Student_Gender",
 
 _K = "_student_key"  # join key column used inside the keyed products
 
+# Teachers are broadcast to the class history only below this many rows
+# (checked); beyond it the class history is shuffled by teacher.
+TEACHER_BROADCAST_ROWS = 1_000_000
+
 
 def base(r: Roles) -> DataFrame:
     """transactions LEFT JOIN student, learning area, course bridge (+ course type).
@@ -68,12 +72,15 @@ def demographics(r: Roles) -> DataFrame:
     reference's mixed 'Unknown' text.
     """
     spark = r.student_basic.sparkSession
+    # Per-student attribute rows (area x learning type) first ...
     area = r.student_learning_area.select(F.col("StudentID").alias(_K), "City", "Learning_Area")
     ltype = r.student_learning_type.select(F.col("StudentID").alias(_K))
-    enrol = r.course_student.select(F.col("Student_id").alias(_K), "Course_Type_id")
-    per_student = keyed_product(_K, area, ltype, enrol)
+    attrs = keyed_product(_K, area, ltype)
     sb = r.student_basic
-    joined = sb.join(per_student, sb["StudentID"] == per_student[_K], "left")
+    students = sb.join(attrs, sb["StudentID"] == attrs[_K], "left").drop(_K)
+    # ... then the enrolments, where one student may hold a large share of rows.
+    enrol = r.course_student.select(F.col("Student_id").alias("_ek"), "Course_Type_id")
+    joined = skew_left_join(students, enrol, "StudentID", "_ek").drop("_ek")
     return (joined.join(course_type_dim(spark), "Course_Type_id", "left")
                   .select("StudentID", "Age",
                           F.coalesce("Gender", F.lit("Unknown")).alias("Gender"),
@@ -87,7 +94,9 @@ def teacher_performance(r: Roles) -> DataFrame:
     rows (course_student x course_basic x area x student).
 
     The class history (the largest table) is the preserved side of both of
-    its joins, so AQE may split a hot teacher or a hot course.
+    its joins, so AQE may split a hot teacher or a hot course on that side; a
+    hot course among the enrolments is salted by ``skew_left_join``. The
+    teacher table is broadcast only behind a row-count check.
     """
     cs = r.course_student
     # course_basic is tiny; broadcast joined, it multiplies rows without a shuffle.
@@ -102,15 +111,17 @@ def teacher_performance(r: Roles) -> DataFrame:
                                      F.col("Age").alias("Student_Age"))
     per_student = keyed_product(_K, area, student)
     per_course = (typed.join(per_student, typed["_cs_student"] == per_student[_K], "left")
-                       .select("Course_id", "Student_ID", "Student_Gender", "Student_Age",
-                               "Learning_City", "Learning_Area"))
+                       .select(F.col("Course_id").alias("_ck"), "Student_ID", "Student_Gender",
+                               "Student_Age", "Learning_City", "Learning_Area"))
     tb = r.teacher_basic.select(F.col("TeacherID").alias("Teacher_ID"),
                                 full_name(F.col("FirstName"), F.col("LastName")).alias("_name"))
+    tb = broadcast_if_bounded(tb, TEACHER_BROADCAST_ROWS)
     # (Spark resolves names case-insensitively: Teacher_id vs Teacher_ID must not meet.)
     ch = r.course_history.select(F.col("Teacher_id").alias("_tid"), "Course_id", "Course_Date")
     with_teacher = ch.join(tb, ch["_tid"] == tb["Teacher_ID"], "left") \
                      .select("Teacher_ID", "_name", "Course_id", "Course_Date")
-    joined = with_teacher.join(per_course, "Course_id", "left")
+    # One course may hold a large share of the enrolments: salted join.
+    joined = skew_left_join(with_teacher, per_course, "Course_id", "_ck")
     return joined.select(
         "Teacher_ID",
         F.coalesce("_name", F.lit("Unknown")).alias("Teacher_Name"),

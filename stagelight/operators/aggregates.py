@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import histogram_width, month_key, weekday_name, weekday_no
-from ..sources.literals import WEEKDAYS
+from ..functions import histogram_width, month_key, weekday_no
+from ..sources.literals import WEEKDAYS, weekday_relation
 
 
 def money_sum(col: str) -> Column:
@@ -124,13 +124,9 @@ def weekday_month_pivot(df: DataFrame, ts: str, amount: str, months: list[str])
     keyed = df.where(F.col(ts).isNotNull()).select(
         weekday_no(F.col(ts)).alias("day_no"), month_key(F.col(ts)).alias("_m"), amount)
     wide = keyed.groupBy("day_no").pivot("_m", months).agg(F.sum(amount))
-    days = keyed.sparkSession.createDataFrame(
-        [(i + 1, d) for i, d in enumerate(WEEKDAYS)], "day_no int, Day_of_Week string")
+    days = weekday_relation(keyed.sparkSession)  # 7 fixed rows
     out = F.broadcast(days).join(wide, "day_no", "left")
     return out.select("Day_of_Week", "day_no",
                       *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).cast("double").alias(m)
                         for m in months]).orderBy("day_no")
 
-
-def weekday_name_col(ts: str) -> Column:
-    return weekday_name(F.col(ts))

@@ -173,8 +173,20 @@ def teacher_selection(tp: DataFrame, filters: Filters | None = None) -> DataFram
     return apply_filters(known_teachers(tp), filters, TEACHER_COLUMNS)
 
 
+def teacher_month_counts(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
+    """Class rows per (teacher, 'yyyy-MM' month) of the selection; Month is
+    null for undated rows. Every teacher analysis derives from this one
+    partial aggregation, so the raw rows are read once."""
+    sel = teacher_selection(tp, filters)
+    return (sel.groupBy("Teacher_Name", month_key(F.col("Course_Date")).alias("Month"))
+               .agg(F.count(F.lit(1)).alias("Class_Count")))
+
+
 def teacher_class_totals(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
-    return frequency(teacher_selection(tp, filters), "Teacher_Name")
+    """Class rows per teacher, largest first."""
+    return (teacher_month_counts(tp, filters).groupBy("Teacher_Name")
+            .agg(F.sum("Class_Count").alias("n"))
+            .orderBy(F.desc("n"), F.asc("Teacher_Name")))
 
 
 def teacher_top5(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
@@ -191,10 +203,14 @@ def top_teacher_rows(tp: DataFrame, filters: Filters | None = None) -> DataFrame
 
 
 def teacher_monthly_classes(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
-    rows = top_teacher_rows(tp, filters).where(F.col("Course_Date").isNotNull())
-    return (rows.groupBy(month_key(F.col("Course_Date")).alias("Month"), "Teacher_Name")
-                .agg(F.count(F.lit(1)).alias("Class_Count"))
-                .orderBy("Month", "Teacher_Name"))
+    """Class rows per month and top teacher."""
+    counts = teacher_month_counts(tp, filters)
+    names = conditional_top_k(
+        counts.groupBy("Teacher_Name").agg(F.sum("Class_Count").alias("n")),
+        "Teacher_Name", "n", TOP_TEACHERS, TOP_TEACHERS_IF_OVER).select("Teacher_Name")
+    return (semi_join_small(counts.where(F.col("Month").isNotNull()), names, "Teacher_Name")
+            .select("Month", "Teacher_Name", "Class_Count")
+            .orderBy("Month", "Teacher_Name"))
 
 
 def teacher_sales_ranked(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
@@ -241,19 +257,28 @@ def age_bucket(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
                        age_group(F.col("Student_Age")).alias("Age_Group"))
 
 
-def audience_stats(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
-    """Per selected teacher: distinct students overall and in each of the five
-    age groups (0 when none).
+def audience_triples(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
+    """Class rows per (teacher, age group, student) of the selection.
 
-    Distinct (teacher, group, student) triples come first - that shuffle is
-    keyed by all three, so a hot teacher spreads over many tasks - then one
-    aggregation per teacher computes the total and the pivoted group counts.
+    The shuffle is keyed by all three, so a hot teacher spreads over many
+    tasks; class rows per teacher and distinct students per age group both
+    derive from this one aggregate.
     """
-    triples = age_bucket(tp, filters).select("Teacher_Name", "Age_Group", "Student_ID").distinct()
+    sel = teacher_selection(tp, filters)
+    return (sel.groupBy("Teacher_Name", age_group(F.col("Student_Age")).alias("Age_Group"), "Student_ID")
+               .agg(F.count(F.lit(1)).alias("_rows")))
+
+
+def audience_stats(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
+    """Per teacher kept by the top-5 rule: distinct students overall and in
+    each of the five age groups (0 when none)."""
+    triples = audience_triples(tp, filters)
+    names = conditional_top_k(triples.groupBy("Teacher_Name").agg(F.sum("_rows").alias("n")),
+                              "Teacher_Name", "n", TOP_TEACHERS, TOP_TEACHERS_IF_OVER)
+    kept = semi_join_small(triples, names.select("Teacher_Name"), "Teacher_Name")
     per_group = [F.count(F.when(F.col("Age_Group") == F.lit(g), F.col("Student_ID"))).alias(g)
                  for g in AGE_GROUP_LABELS]
-    return triples.groupBy("Teacher_Name").agg(
-        F.count_distinct("Student_ID").alias("students"), *per_group)
+    return kept.groupBy("Teacher_Name").agg(F.count_distinct("Student_ID").alias("students"), *per_group)
 
 
 def audience_unique_students(tp: DataFrame, filters: Filters | None = None) -> DataFrame:

@@ -34,6 +34,32 @@ COURSE_TYPE_DIM_SCHEMA = T.StructType([
 ])
 
 
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
+def literal_relation(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A fixed relation as an inline VALUES table: Catalyst plans it as a
+    local relation (no RDD, no job), typed by ``schema``."""
+    names = [f.name for f in schema.fields]
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def course_type_dim(spark: SparkSession) -> DataFrame:
     """The 3-row inline course dimension, marked for broadcast."""
-    return F.broadcast(spark.createDataFrame(COURSE_TYPES, COURSE_TYPE_DIM_SCHEMA))
+    return F.broadcast(literal_relation(spark, COURSE_TYPES, COURSE_TYPE_DIM_SCHEMA))
+
+
+WEEKDAY_SCHEMA = T.StructType([T.StructField("day_no", T.IntegerType(), False),
+                               T.StructField("Day_of_Week", T.StringType(), False)])
+
+
+def weekday_relation(spark: SparkSession) -> DataFrame:
+    """Seven rows (ISO number, English name), Monday first."""
+    return literal_relation(spark, [(i + 1, d) for i, d in enumerate(WEEKDAYS)], WEEKDAY_SCHEMA)

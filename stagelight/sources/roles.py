@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .literals import COURSE_TYPES
+from .literals import COURSE_TYPES, literal_relation
 from .schemas import DEMOGRAPHICS_ROLES, ROLE_SCHEMAS, SOURCE_RENAMES
 
 
@@ -170,13 +170,13 @@ def tpch_role_builders(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[
         "course_data": lambda: read("orders").where(_mod("o_orderkey", 3) == 0)
             .select(F.col("o_custkey").alias("Student_id"), course_type_id().alias("Course_Type_id"))
             .distinct(),
-        "course_type": lambda: spark.createDataFrame(
-            [(i, name) for i, name, _ in COURSE_TYPES], ROLE_SCHEMAS["course_type"]),
+        "course_type": lambda: literal_relation(
+            spark, [(i, name) for i, name, _ in COURSE_TYPES], ROLE_SCHEMAS["course_type"]),
         "course_student": lambda: read("orders").where(_mod("o_orderkey", 7) != 0)
             .select(F.col("o_orderkey").alias("Course_id"),
                     F.col("o_custkey").alias("Student_id"),
                     course_type_id().alias("Course_Type_id")),
-        "course_basic": lambda: spark.createDataFrame([(1,), (2,), (2,), (3,)], ROLE_SCHEMAS["course_basic"]),
+        "course_basic": lambda: literal_relation(spark, [(1,), (2,), (2,), (3,)], ROLE_SCHEMAS["course_basic"]),
         "teacher_basic": lambda: read("supplier").where(_mod("s_suppkey", 10) != 9).select(
             F.col("s_suppkey").alias("TeacherID"),
             F.lit("Supplier").alias("FirstName"),

@@ -21,10 +21,26 @@ def money_sum(col: str) -> Column:
 
 
 def frequency(df: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Rows per non-null key, largest first (ties by key)."""
-    return (df.where(F.col(key).isNotNull())
-              .groupBy(key).agg(F.count(F.lit(1)).alias(n))
-              .orderBy(F.desc(n), F.asc(key)))
+    """Rows per non-null key (unordered; see ``largest_first``)."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n))
+
+
+def drop_null_group(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """Drop the group whose ``key`` is null from an aggregated count table.
+
+    ``n`` counts rows, so it is >= 1 and ``n < 0`` is always false; the
+    predicate references it only so that Catalyst evaluates the filter above
+    the aggregate instead of pushing it below. The aggregate then stays
+    identical to its other uses in the same plan and its shuffle is reused
+    rather than recomputed.
+    """
+    return counts.where(F.col(key).isNotNull() | (F.col(n) < 0))
+
+
+def largest_first(df: DataFrame, n: str, key: str) -> DataFrame:
+    """Output order of count tables: largest first, ties by key. Applied only
+    to final, aggregated outputs (an inner sort would add a useless shuffle)."""
+    return df.orderBy(F.desc(n), F.asc(key))
 
 
 def with_share(counts: DataFrame, n: str = "n", share: str = "share") -> DataFrame:

@@ -93,6 +93,18 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def keep_keys(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` appears in ``small`` (a relation with unique
+    keys and a proven small bound, broadcast).
+
+    Written as an inner join rather than a semi join on purpose: Catalyst
+    pushes a semi join below an aggregate it sits on, which makes the
+    aggregate differ from its other uses in the same plan, so the shuffle is
+    no longer reused and the input is computed twice.
+    """
+    return df.join(F.broadcast(small.select(on)), on=on, how="inner")
+
+
 def semi_join_small(df: DataFrame, small: DataFrame, on: str | list[str]) -> DataFrame:
     """``df`` rows whose key appears in ``small``; ``small`` must have a proven
     small bound (a LIMIT, a fixed list) because it is broadcast."""

@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import (age_group, month_key, month_key_to_date, month_label, percent_label)
+from ..functions import (age_group, count_text, money_text, month_key, month_key_to_date,
+                         month_label, percent_label)
 from ..operators.aggregates import (conditional_top_k, distinct_values, frequency, growth_rate,
-                                    histogram, money_sum, monthly_sum, ranked_head,
+                                    drop_null_group, histogram, largest_first, money_sum, monthly_sum, ranked_head,
                                     weekday_month_grid, weekday_month_pivot, with_share)
 from ..operators.filters import (BASE_COLUMNS, DEMOGRAPHICS_COLUMNS, TEACHER_COLUMNS, Filters,
                                  apply_filters, date_range, known_teachers)
-from ..operators.joins import semi_join_small
+from ..operators.joins import keep_keys, semi_join_small
 from ..sources.literals import AGE_GROUP_LABELS, COURSE_NAMES
 
 TOP_TEACHERS = 5          # teachers kept when there are more than ...
@@ -39,6 +40,15 @@ def kpi_summary(base: DataFrame, tp: DataFrame) -> DataFrame:
         F.try_divide(F.sum("Amount").cast("double"), F.count("Amount")).alias("avg_transaction"))
 
 
+def kpi_cards(base: DataFrame, tp: DataFrame) -> DataFrame:
+    """The four KPI figures as display text: '$1,234.57' and '1,234'."""
+    k = kpi_summary(base, tp)
+    return k.select(money_text(F.col("total_revenue")).alias("total_revenue_text"),
+                    count_text(F.col("total_students")).alias("total_students_text"),
+                    count_text(F.col("total_teachers")).alias("total_teachers_text"),
+                    money_text(F.col("avg_transaction")).alias("avg_transaction_text"))
+
+
 def revenue_trend(base: DataFrame) -> DataFrame:
     """Revenue per 'yyyy-MM' month, all rows."""
     return monthly_sum(base, "Order_Date", "Amount").orderBy("Month")
@@ -51,11 +61,11 @@ def load_monthly_revenue(base: DataFrame) -> DataFrame:
 
 
 def course_distribution(base: DataFrame) -> DataFrame:
-    return frequency(base, "Course_Type_Name")
+    return largest_first(frequency(base, "Course_Type_Name"), "n", "Course_Type_Name")
 
 
 def gender_distribution(base: DataFrame) -> DataFrame:
-    return frequency(base, "Customer_Gender")
+    return largest_first(frequency(base, "Customer_Gender"), "n", "Customer_Gender")
 
 
 def age_histogram(base: DataFrame) -> DataFrame:
@@ -134,7 +144,7 @@ def demo_selection(base: DataFrame, demo: DataFrame, filters: Filters | None = N
 
 
 def demo_gender(sel: DataFrame) -> DataFrame:
-    return with_share(frequency(sel, "Gender")).orderBy(F.desc("n"), "Gender")
+    return largest_first(with_share(frequency(sel, "Gender")), "n", "Gender")
 
 
 def demo_age_histogram(sel: DataFrame) -> DataFrame:
@@ -142,28 +152,31 @@ def demo_age_histogram(sel: DataFrame) -> DataFrame:
 
 
 def demo_course(sel: DataFrame) -> DataFrame:
-    return frequency(sel, "Course_Type_Name")
+    return largest_first(frequency(sel, "Course_Type_Name"), "n", "Course_Type_Name")
 
 
 def demo_region(sel: DataFrame) -> DataFrame:
-    return frequency(sel, "Learning_Area")
+    return largest_first(frequency(sel, "Learning_Area"), "n", "Learning_Area")
 
 
 def demo_region_cities(sel: DataFrame) -> DataFrame:
     return sel.select("City").distinct()
 
 
-def demo_age_course_wide(sel: DataFrame) -> DataFrame:
-    """Rows per age (ages with a named course), one 0-filled column per course."""
+def _age_course_wide(sel: DataFrame) -> DataFrame:
     counts = (sel.where(F.col("Age").isNotNull() & F.col("Course_Type_Name").isNotNull())
                  .groupBy("Age").pivot("Course_Type_Name", COURSE_NAMES).count())
-    return counts.select("Age", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COURSE_NAMES]) \
-                 .orderBy("Age")
+    return counts.select("Age", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COURSE_NAMES])
+
+
+def demo_age_course_wide(sel: DataFrame) -> DataFrame:
+    """Rows per age (ages with a named course), one 0-filled column per course."""
+    return _age_course_wide(sel).orderBy("Age")
 
 
 def demo_age_course(sel: DataFrame) -> DataFrame:
     """Long form of the age x course cross-tab, 0-filled."""
-    wide = demo_age_course_wide(sel)
+    wide = _age_course_wide(sel)
     return wide.unpivot("Age", COURSE_NAMES, "Course_Type_Name", "n").orderBy("Age", "Course_Type_Name")
 
 
@@ -182,16 +195,18 @@ def teacher_month_counts(tp: DataFrame, filters: Filters | None = None) -> DataF
                .agg(F.count(F.lit(1)).alias("Class_Count")))
 
 
+def _teacher_totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("Teacher_Name").agg(F.sum("Class_Count").alias("n"))
+
+
 def teacher_class_totals(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
     """Class rows per teacher, largest first."""
-    return (teacher_month_counts(tp, filters).groupBy("Teacher_Name")
-            .agg(F.sum("Class_Count").alias("n"))
-            .orderBy(F.desc("n"), F.asc("Teacher_Name")))
+    return largest_first(_teacher_totals(teacher_month_counts(tp, filters)), "n", "Teacher_Name")
 
 
 def teacher_top5(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
     """Top 5 teachers by class rows when more than 10 teachers, else all."""
-    totals = teacher_class_totals(tp, filters)
+    totals = _teacher_totals(teacher_month_counts(tp, filters))
     return conditional_top_k(totals, "Teacher_Name", "n", TOP_TEACHERS, TOP_TEACHERS_IF_OVER)
 
 
@@ -202,15 +217,21 @@ def top_teacher_rows(tp: DataFrame, filters: Filters | None = None) -> DataFrame
     return semi_join_small(teacher_selection(tp, filters), names, "Teacher_Name")
 
 
+def _teacher_monthly(tp: DataFrame, filters: Filters | None) -> DataFrame:
+    """Dated (month, teacher) counts of the top teachers. The month-count
+    aggregate feeds both the ranking and the kept rows; the join with the
+    <= 10 kept names keeps that aggregate identical in both, so its shuffle
+    is computed once and reused."""
+    counts = teacher_month_counts(tp, filters)
+    names = conditional_top_k(_teacher_totals(counts), "Teacher_Name", "n",
+                              TOP_TEACHERS, TOP_TEACHERS_IF_OVER)
+    kept = keep_keys(counts, names, "Teacher_Name")
+    return drop_null_group(kept, "Month", "Class_Count").select("Month", "Teacher_Name", "Class_Count")
+
+
 def teacher_monthly_classes(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
     """Class rows per month and top teacher."""
-    counts = teacher_month_counts(tp, filters)
-    names = conditional_top_k(
-        counts.groupBy("Teacher_Name").agg(F.sum("Class_Count").alias("n")),
-        "Teacher_Name", "n", TOP_TEACHERS, TOP_TEACHERS_IF_OVER).select("Teacher_Name")
-    return (semi_join_small(counts.where(F.col("Month").isNotNull()), names, "Teacher_Name")
-            .select("Month", "Teacher_Name", "Class_Count")
-            .orderBy("Month", "Teacher_Name"))
+    return _teacher_monthly(tp, filters).orderBy("Month", "Teacher_Name")
 
 
 def teacher_sales_ranked(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
@@ -219,7 +240,7 @@ def teacher_sales_ranked(tp: DataFrame, filters: Filters | None = None) -> DataF
     Both windows run over the aggregated (teacher, month) rows: at most ten
     teachers times the months in range.
     """
-    monthly = teacher_monthly_classes(tp, filters)
+    monthly = _teacher_monthly(tp, filters)
     total = F.sum("Class_Count").over(Window.partitionBy("Teacher_Name"))
     with_total = monthly.withColumn("Total_Sales", total)
     rank = F.dense_rank().over(Window.orderBy(F.desc("Total_Sales"), F.asc("Teacher_Name")))
@@ -230,7 +251,7 @@ def teacher_sales_ranked(tp: DataFrame, filters: Filters | None = None) -> DataF
 
 def teacher_month_labels(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
     """Class counts per teacher and calendar-month label (years merged)."""
-    monthly = teacher_monthly_classes(tp, filters)
+    monthly = _teacher_monthly(tp, filters)
     day = month_key_to_date(F.col("Month"))
     return (monthly.groupBy("Teacher_Name", month_label(day).alias("Month_Label"),
                             F.month(day).alias("month_no"))
@@ -275,7 +296,7 @@ def audience_stats(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
     triples = audience_triples(tp, filters)
     names = conditional_top_k(triples.groupBy("Teacher_Name").agg(F.sum("_rows").alias("n")),
                               "Teacher_Name", "n", TOP_TEACHERS, TOP_TEACHERS_IF_OVER)
-    kept = semi_join_small(triples, names.select("Teacher_Name"), "Teacher_Name")
+    kept = keep_keys(triples, names, "Teacher_Name")  # keeps the triples aggregate shared
     per_group = [F.count(F.when(F.col("Age_Group") == F.lit(g), F.col("Student_ID"))).alias(g)
                  for g in AGE_GROUP_LABELS]
     return kept.groupBy("Teacher_Name").agg(F.count_distinct("Student_ID").alias("students"), *per_group)

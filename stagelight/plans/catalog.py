@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions import months_between_keys
 from ..operators.filters import Filters
 from ..session import configure
-from ..sources.roles import Roles
+from ..sources.roles import Roles, require_rows
 from . import analyses as A
 from . import frames
 
@@ -66,6 +66,11 @@ class Workspace:
         configure(spark)
         return cls(Roles.from_tpch(spark, sf_dir))
 
+    def validate(self) -> "Workspace":
+        """The start-up checks: the demographics extract must hold rows."""
+        require_rows(self.demo, "demographics")
+        return self
+
     def materialize(self) -> "Workspace":
         """Cut the frames' lineage into the cluster's checkpoint folder (for a
         session that serves many analyses from the same frames)."""
@@ -93,59 +98,69 @@ def _demo(w: Workspace) -> DataFrame:
     return A.demo_selection(w.base, w.demo, DEMO_FILTERS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     # loaders
-    "load_transactions": _q(lambda w: w.base),
-    "load_business_trends": _q(lambda w: frames.business_trends(w.roles)),
-    "load_monthly_revenue": _q(lambda w: A.load_monthly_revenue(w.base)),
-    "load_demographics": _q(lambda w: w.demo),
-    "load_teacher_performance": _q(lambda w: w.tp),
-    "teacher_first_course": _q(lambda w: A.teacher_first_course(w.tp)),
+    "load_transactions": (lambda w: w.base),
+    "load_business_trends": (lambda w: frames.business_trends(w.roles)),
+    "load_monthly_revenue": (lambda w: A.load_monthly_revenue(w.base)),
+    "load_demographics": (lambda w: w.demo),
+    "load_teacher_performance": (lambda w: w.tp),
+    "teacher_first_course": (lambda w: A.teacher_first_course(w.tp)),
     # headline + facets
-    "kpi_summary": _q(lambda w: A.kpi_summary(w.base, w.tp)),
-    "facet_date_bounds": _q(lambda w: A.facet_date_bounds(w.base)),
-    "facet_age_bounds": _q(lambda w: A.facet_age_bounds(w.demo)),
-    "facet_age_marks": _q(lambda w: A.facet_age_marks(w.demo)),
-    "facet_course_types": _q(lambda w: A.facet_course_types(w.base)),
-    "facet_cities": _q(lambda w: A.facet_cities(w.demo)),
-    "facet_genders": _q(lambda w: A.facet_genders(w.base)),
+    "kpi_summary": (lambda w: A.kpi_summary(w.base, w.tp)),
+    "kpi_cards": (lambda w: A.kpi_cards(w.base, w.tp)),
+    "facet_date_bounds": (lambda w: A.facet_date_bounds(w.base)),
+    "facet_age_bounds": (lambda w: A.facet_age_bounds(w.demo)),
+    "facet_age_marks": (lambda w: A.facet_age_marks(w.demo)),
+    "facet_course_types": (lambda w: A.facet_course_types(w.base)),
+    "facet_cities": (lambda w: A.facet_cities(w.demo)),
+    "facet_genders": (lambda w: A.facet_genders(w.base)),
     # filters
-    "filter_date_range": _q(lambda w: A.filtered_base(w.base, DATE_FILTERS)),
-    "filter_age_range": _q(lambda w: A.filtered_base(w.base, AGE_FILTERS)),
-    "filter_course_types": _q(lambda w: A.filtered_base(w.base, COURSE_FILTERS)),
-    "filter_cities": _q(lambda w: A.filtered_base(w.base, CITY_FILTERS)),
-    "filter_genders": _q(lambda w: A.filtered_base(w.base, GENDER_FILTERS)),
-    "filter_combined": _q(lambda w: A.filtered_base(w.base, COMBINED_FILTERS)),
-    "filter_known_teachers": _q(lambda w: A.teacher_selection(w.tp)),
+    "filter_date_range": (lambda w: A.filtered_base(w.base, DATE_FILTERS)),
+    "filter_age_range": (lambda w: A.filtered_base(w.base, AGE_FILTERS)),
+    "filter_course_types": (lambda w: A.filtered_base(w.base, COURSE_FILTERS)),
+    "filter_cities": (lambda w: A.filtered_base(w.base, CITY_FILTERS)),
+    "filter_genders": (lambda w: A.filtered_base(w.base, GENDER_FILTERS)),
+    "filter_combined": (lambda w: A.filtered_base(w.base, COMBINED_FILTERS)),
+    "filter_known_teachers": (lambda w: A.teacher_selection(w.tp)),
     # overview charts
-    "revenue_trend": _q(lambda w: A.revenue_trend(w.base)),
-    "course_distribution": _q(lambda w: A.course_distribution(w.base)),
-    "gender_distribution": _q(lambda w: A.gender_distribution(w.base)),
-    "age_histogram": _q(lambda w: A.age_histogram(w.base)),
+    "revenue_trend": (lambda w: A.revenue_trend(w.base)),
+    "course_distribution": (lambda w: A.course_distribution(w.base)),
+    "gender_distribution": (lambda w: A.gender_distribution(w.base)),
+    "age_histogram": (lambda w: A.age_histogram(w.base)),
     # revenue & bookings
-    "monthly_revenue_growth": _q(lambda w: A.monthly_revenue_growth(w.base, BASE_FILTERS)),
-    "growth_label": _q(lambda w: A.growth_label(w.base, BASE_FILTERS)),
-    "booking_heatmap": _q(lambda w: A.booking_heatmap(w.base, BASE_FILTERS)),
-    "booking_heatmap_wide": _q(lambda w: A.booking_heatmap_wide(w.base, WIDE_MONTHS, WIDE_FILTERS)),
+    "monthly_revenue_growth": (lambda w: A.monthly_revenue_growth(w.base, BASE_FILTERS)),
+    "growth_label": (lambda w: A.growth_label(w.base, BASE_FILTERS)),
+    "booking_heatmap": (lambda w: A.booking_heatmap(w.base, BASE_FILTERS)),
+    "booking_heatmap_wide": (lambda w: A.booking_heatmap_wide(w.base, WIDE_MONTHS, WIDE_FILTERS)),
     # demographics
-    "active_students": _q(lambda w: A.active_students(w.base, w.demo, ACTIVE_FILTERS)),
-    "demo_gender": _q(lambda w: A.demo_gender(_demo(w))),
-    "demo_age_histogram": _q(lambda w: A.demo_age_histogram(_demo(w))),
-    "demo_course": _q(lambda w: A.demo_course(_demo(w))),
-    "demo_region": _q(lambda w: A.demo_region(_demo(w))),
-    "demo_region_cities": _q(lambda w: A.demo_region_cities(_demo(w))),
-    "demo_age_course": _q(lambda w: A.demo_age_course(_demo(w))),
-    "demo_age_course_wide": _q(lambda w: A.demo_age_course_wide(_demo(w))),
+    "active_students": (lambda w: A.active_students(w.base, w.demo, ACTIVE_FILTERS)),
+    "demo_gender": (lambda w: A.demo_gender(_demo(w))),
+    "demo_age_histogram": (lambda w: A.demo_age_histogram(_demo(w))),
+    "demo_course": (lambda w: A.demo_course(_demo(w))),
+    "demo_region": (lambda w: A.demo_region(_demo(w))),
+    "demo_region_cities": (lambda w: A.demo_region_cities(_demo(w))),
+    "demo_age_course": (lambda w: A.demo_age_course(_demo(w))),
+    "demo_age_course_wide": (lambda w: A.demo_age_course_wide(_demo(w))),
     # teachers
-    "teacher_class_totals": _q(lambda w: A.teacher_class_totals(w.tp, TEACHER_FILTERS)),
-    "teacher_top5": _q(lambda w: A.teacher_top5(w.tp, TEACHER_FILTERS)),
-    "teacher_monthly_classes": _q(lambda w: A.teacher_monthly_classes(w.tp, TEACHER_FILTERS)),
-    "teacher_sales_ranked": _q(lambda w: A.teacher_sales_ranked(w.tp, TEACHER_FILTERS)),
-    "teacher_month_labels": _q(lambda w: A.teacher_month_labels(w.tp, TEACHER_FILTERS)),
+    "teacher_class_totals": (lambda w: A.teacher_class_totals(w.tp, TEACHER_FILTERS)),
+    "teacher_top5": (lambda w: A.teacher_top5(w.tp, TEACHER_FILTERS)),
+    "teacher_monthly_classes": (lambda w: A.teacher_monthly_classes(w.tp, TEACHER_FILTERS)),
+    "teacher_sales_ranked": (lambda w: A.teacher_sales_ranked(w.tp, TEACHER_FILTERS)),
+    "teacher_month_labels": (lambda w: A.teacher_month_labels(w.tp, TEACHER_FILTERS)),
     # audience
-    "age_bucket": _q(lambda w: A.age_bucket(w.tp, TEACHER_FILTERS)),
-    "audience_unique_students": _q(lambda w: A.audience_unique_students(w.tp, TEACHER_FILTERS)),
-    "audience_totals": _q(lambda w: A.audience_totals(w.tp, TEACHER_FILTERS)),
-    "audience_top5": _q(lambda w: A.audience_top5(w.tp, TEACHER_FILTERS)),
-    "audience_heatmap": _q(lambda w: A.audience_heatmap(w.tp, TEACHER_FILTERS)),
+    "age_bucket": (lambda w: A.age_bucket(w.tp, TEACHER_FILTERS)),
+    "audience_unique_students": (lambda w: A.audience_unique_students(w.tp, TEACHER_FILTERS)),
+    "audience_totals": (lambda w: A.audience_totals(w.tp, TEACHER_FILTERS)),
+    "audience_top5": (lambda w: A.audience_top5(w.tp, TEACHER_FILTERS)),
+    "audience_heatmap": (lambda w: A.audience_heatmap(w.tp, TEACHER_FILTERS)),
 }
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    key: _q(fn) for key, fn in ANALYSES.items()}
+
+
+def run_on(workspace: Workspace, key: str) -> DataFrame:
+    """A registered analysis on an existing (e.g. materialized) workspace."""
+    return as_output(ANALYSES[key](workspace))

@@ -54,3 +54,21 @@ def test_roles_from_parquet_and_catalog(spark):
     assert again.transaction_data.count() == sample.transaction_data.count()
     for name in ROLE_SCHEMAS:
         spark.catalog.dropTempView(name)
+
+
+def test_text_dates_parse_strictly(spark):  # X1
+    ok = spark.createDataFrame([(1, 2, "2024-01-05 10:00:00", "12.50")],
+                               "Transaction_ID long, Student_id long, Order_Date string, Transaction_Value string")
+    row = conform(ok, "transaction_data").collect()[0]
+    assert row["Order_Date"].isoformat() == "2024-01-05T10:00:00"
+    assert str(row["Transaction_Value"]) == "12.50"
+    bad = spark.createDataFrame([(1, 2, "not a date", "1")],
+                                "Transaction_ID long, Student_id long, Order_Date string, Transaction_Value string")
+    with pytest.raises(Exception):
+        conform(bad, "transaction_data").collect()
+
+
+def test_workspace_validate(spark):
+    from stagelight.plans.catalog import Workspace
+    ws = Workspace.from_tpch(spark, "/root/testdata/sf0.001")
+    assert ws.validate() is ws

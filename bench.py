@@ -1,10 +1,10 @@
 """Benchmark: run the headline analyses on $BENCH_SF_DIR (default sf0.1) with
 local[$BENCH_CPUS]; print one JSON line.
 
-Each query is planned from the parquet files and fully executed into Spark's
+Each query runs from the parquet files and is fully executed into Spark's
 no-op sink (nothing is collected); the time per query is the median of
-$BENCH_RUNS warm runs (after one warm-up run). The headline value is the sum
-of these end-to-end medians.
+$BENCH_RUNS warm runs (after one warm-up run, which also builds the frames'
+plans once per data folder). The headline value is the sum of these medians.
 
 A second section (BENCH_SERVED=1, default) times the same analyses against
 frames extracted once and checkpointed, the way the source application

@@ -41,6 +41,14 @@ GENDER_FILTERS = Filters(genders=("Male", None))
 COMBINED_FILTERS = replace(BASE_FILTERS, course_types=("瑜珈", "律動"),
                            cities=("NATION_2", "NATION_3", "NATION_5", "NATION_8", "NATION_21"),
                            genders=("Female", "Male"))
+# Every filter given at once to the other two frames: on demographics the
+# gender filter does not apply; on the teacher frame the course filter does not.
+DEMO_COMBINED_FILTERS = replace(DEMO_FILTERS, course_types=("瑜珈", "舞蹈"),
+                                cities=("NATION_4", "NATION_9", "NATION_16", None),
+                                genders=("Female",))
+TEACHER_COMBINED_FILTERS = replace(TEACHER_FILTERS, course_types=("律動",),
+                                   cities=("NATION_0", "NATION_6", "NATION_11", "NATION_20"),
+                                   genders=("Male", "Unknown"))
 
 
 class Workspace:
@@ -87,9 +95,28 @@ def as_output(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# Workspaces (lazy plans, nothing materialized) per session and data folder.
+# A DataFrame is an immutable plan, so the frames' plans are built once and
+# every registered query plans only its own analysis on top of them; each run
+# still reads the files. ``forget_workspaces`` drops them (e.g. after the
+# files changed).
+_WORKSPACES: dict[tuple[str, int, str], Workspace] = {}
+
+
+def workspace_for(spark: SparkSession, sf_dir: str) -> Workspace:
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _WORKSPACES:
+        _WORKSPACES[key] = Workspace.from_tpch(spark, sf_dir)
+    return _WORKSPACES[key]
+
+
+def forget_workspaces() -> None:
+    _WORKSPACES.clear()
+
+
 def _q(fn: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return as_output(fn(Workspace.from_tpch(spark, sf_dir)))
+        return as_output(fn(workspace_for(spark, sf_dir)))
     run.__doc__ = fn.__doc__
     return run
 
@@ -123,6 +150,9 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "filter_genders": (lambda w: A.filtered_base(w.base, GENDER_FILTERS)),
     "filter_combined": (lambda w: A.filtered_base(w.base, COMBINED_FILTERS)),
     "filter_known_teachers": (lambda w: A.teacher_selection(w.tp)),
+    "filter_demo_combined": (lambda w: A.demo_selection(w.base, w.demo, DEMO_COMBINED_FILTERS)),
+    "filter_teacher_combined": (lambda w: A.teacher_selection(w.tp, TEACHER_COMBINED_FILTERS)),
+    "teacher_top5_combined": (lambda w: A.teacher_top5(w.tp, TEACHER_COMBINED_FILTERS)),
     # overview charts
     "revenue_trend": (lambda w: A.revenue_trend(w.base)),
     "course_distribution": (lambda w: A.course_distribution(w.base)),

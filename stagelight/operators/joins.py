@@ -28,6 +28,23 @@ def keyed_product(key: str, *frames: DataFrame) -> DataFrame:
     return out
 
 
+def keyed_product_with_hot(key: str, attrs: DataFrame, hot: DataFrame) -> DataFrame:
+    """``keyed_product(key, attrs, hot)`` for a ``hot`` side that may hold a
+    large share of rows under one key, without a full outer join (which
+    neither AQE nor salting can split):
+
+        (hot LEFT JOIN attrs)  UNION  (attrs rows whose key is not in hot)
+
+    ``hot`` is the preserved side of the left join, so AQE may split its hot
+    partitions; the anti join meets only the distinct keys of ``hot``
+    (partially aggregated before the shuffle).
+    """
+    matched = hot.join(attrs, on=key, how="left")
+    hot_keys = hot.select(key).where(F.col(key).isNotNull()).distinct()
+    only_attrs = attrs.join(hot_keys, on=key, how="left_anti")
+    return matched.unionByName(only_attrs, allowMissingColumns=True)
+
+
 # Skew handling defaults: a key is hot from this many rows on the
 # non-preserved side; at most this many hot keys are salted (the hot-key
 # table is broadcast, so its size is bounded by this LIMIT); a hot key is
@@ -39,7 +56,8 @@ MAX_FANOUT = 1024
 
 def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                    hot_rows: int = HOT_KEY_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
-                   max_fanout: int = MAX_FANOUT) -> DataFrame:
+                   max_fanout: int = MAX_FANOUT, counted: DataFrame | None = None,
+                   counted_key: str | None = None) -> DataFrame:
     """``left LEFT JOIN right ON left_key = right_key`` that stays balanced when
     one key holds a large share of ``right`` (the side AQE cannot split in a
     left outer join).
@@ -56,9 +74,18 @@ def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
        empty yields a null-extended row although the key has matches; those
        rows (hot key, no right marker) are removed, which makes the result
        exactly the plain left join.
+
+    ``counted`` (with ``counted_key``) may name the relation whose per-key
+    rows make ``right`` hot when ``right`` is itself a product of several
+    joins: counting that one input finds the same hot keys without running
+    the whole right side twice. Exactness does not depend on this choice: a
+    key counted hot always has right rows (every row of ``counted`` yields at
+    least one row of ``right``), which is all step 3 needs.
     """
-    hot = (right.where(F.col(right_key).isNotNull())
-                .groupBy(F.col(right_key).alias("_hk"))
+    counted = right if counted is None else counted
+    counted_key = right_key if counted_key is None else counted_key
+    hot = (counted.where(F.col(counted_key).isNotNull())
+                .groupBy(F.col(counted_key).alias("_hk"))
                 .agg(F.count(F.lit(1)).alias("_rows"))
                 .where(F.col("_rows") >= F.lit(hot_rows))
                 .orderBy(F.desc("_rows"), F.asc("_hk"))

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import full_name, month_name, weekday_name
-from ..operators.joins import broadcast_if_bounded, keyed_product, skew_left_join
+from ..operators.joins import (broadcast_if_bounded, keyed_product, keyed_product_with_hot,
+                               skew_left_join)
 from ..sources.literals import course_type_dim
 from ..sources.roles import Roles
 
@@ -38,7 +39,9 @@ def base(r: Roles) -> DataFrame:
     """transactions LEFT JOIN student, learning area, course bridge (+ course type).
 
     The three student-keyed relations are combined per student first; the
-    transaction table then takes part in a single shuffle join.
+    transaction table then takes part in a single (salted) shuffle join whose
+    hot partitions AQE may split on the transaction side and which salts hot
+    students on the per-student side.
     """
     # course_type is a fixed-size dimension, joined map-side.
     bridge = (r.course_data.alias("cd")
@@ -50,9 +53,11 @@ def base(r: Roles) -> DataFrame:
                                      F.col("Gender").alias("Customer_Gender"))
     area = r.student_learning_area.select(F.col("StudentID").alias(_K), "City",
                                           F.col("Learning_Area").alias("Region"))
-    per_student = keyed_product(_K, student, area, bridge)
+    # Attribute rows per student, then the course bridge, which may hold a
+    # hot student; the transactions meet the result in one salted join.
+    per_student = keyed_product_with_hot(_K, keyed_product(_K, student, area), bridge)
     td = r.transaction_data
-    return (td.join(per_student, td["Student_id"] == per_student[_K], "left")
+    return (skew_left_join(td, per_student, "Student_id", _K, counted=bridge, counted_key=_K)
               .select("Transaction_ID", "Student_id", "Order_Date", "Customer_Age",
                       "Customer_Gender", "City", "Region", "Course_Type_Name",
                       F.col("Transaction_Value").alias("Amount")))
@@ -121,7 +126,8 @@ def teacher_performance(r: Roles) -> DataFrame:
     with_teacher = ch.join(tb, ch["_tid"] == tb["Teacher_ID"], "left") \
                      .select("Teacher_ID", "_name", "Course_id", "Course_Date")
     # One course may hold a large share of the enrolments: salted join.
-    joined = skew_left_join(with_teacher, per_course, "Course_id", "_ck")
+    joined = skew_left_join(with_teacher, per_course, "Course_id", "_ck",
+                            counted=cs, counted_key="Course_id")
     return joined.select(
         "Teacher_ID",
         F.coalesce("_name", F.lit("Unknown")).alias("Teacher_Name"),

@@ -127,10 +127,16 @@ def booking_heatmap_wide(base: DataFrame, months: list[str],
 
 
 # -------------------------------------------------------------- demographics
-def active_students(base: DataFrame, demo: DataFrame, filters: Filters | None = None) -> DataFrame:
+def active_students(transactions: DataFrame, demo: DataFrame,
+                    filters: Filters | None = None) -> DataFrame:
     """Demographic rows of students with at least one transaction in the date
-    range (all students with a transaction when no range is given)."""
-    tx = base.select("Student_id", "Order_Date")
+    range (all students with a transaction when no range is given).
+
+    ``transactions`` needs Student_id and Order_Date: the transaction role, or
+    ``base`` (its left joins never drop or change a transaction, so both give
+    the same students; the role skips base's joins).
+    """
+    tx = transactions.select("Student_id", "Order_Date")
     if filters is not None and filters.has_dates:
         tx = tx.where(date_range("Order_Date", filters.start, filters.end))
     # distinct() pre-combines a student's many transactions map-side, so a hot
@@ -139,8 +145,9 @@ def active_students(base: DataFrame, demo: DataFrame, filters: Filters | None =
     return demo.join(active, "StudentID", "left_semi")
 
 
-def demo_selection(base: DataFrame, demo: DataFrame, filters: Filters | None = None) -> DataFrame:
-    return apply_filters(active_students(base, demo, filters), filters, DEMOGRAPHICS_COLUMNS)
+def demo_selection(transactions: DataFrame, demo: DataFrame,
+                   filters: Filters | None = None) -> DataFrame:
+    return apply_filters(active_students(transactions, demo, filters), filters, DEMOGRAPHICS_COLUMNS)
 
 
 def demo_gender(sel: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def _q(fn: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str], Da
 
 
 def _demo(w: Workspace) -> DataFrame:
-    return A.demo_selection(w.base, w.demo, DEMO_FILTERS)
+    return A.demo_selection(w.roles.transaction_data, w.demo, DEMO_FILTERS)
 
 
 ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
@@ -150,7 +150,8 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "filter_genders": (lambda w: A.filtered_base(w.base, GENDER_FILTERS)),
     "filter_combined": (lambda w: A.filtered_base(w.base, COMBINED_FILTERS)),
     "filter_known_teachers": (lambda w: A.teacher_selection(w.tp)),
-    "filter_demo_combined": (lambda w: A.demo_selection(w.base, w.demo, DEMO_COMBINED_FILTERS)),
+    "filter_demo_combined": (lambda w: A.demo_selection(w.roles.transaction_data, w.demo,
+                                                        DEMO_COMBINED_FILTERS)),
     "filter_teacher_combined": (lambda w: A.teacher_selection(w.tp, TEACHER_COMBINED_FILTERS)),
     "teacher_top5_combined": (lambda w: A.teacher_top5(w.tp, TEACHER_COMBINED_FILTERS)),
     # overview charts
@@ -164,7 +165,7 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "booking_heatmap": (lambda w: A.booking_heatmap(w.base, BASE_FILTERS)),
     "booking_heatmap_wide": (lambda w: A.booking_heatmap_wide(w.base, WIDE_MONTHS, WIDE_FILTERS)),
     # demographics
-    "active_students": (lambda w: A.active_students(w.base, w.demo, ACTIVE_FILTERS)),
+    "active_students": (lambda w: A.active_students(w.roles.transaction_data, w.demo, ACTIVE_FILTERS)),
     "demo_gender": (lambda w: A.demo_gender(_demo(w))),
     "demo_age_histogram": (lambda w: A.demo_age_histogram(_demo(w))),
     "demo_course": (lambda w: A.demo_course(_demo(w))),

@@ -29,8 +29,9 @@ TOP_AUDIENCE = 5
 def kpi_summary(base: DataFrame, tp: DataFrame) -> DataFrame:
     """Total revenue, distinct students, distinct teachers, mean amount.
 
-    The teacher count comes from the teacher frame as a scalar subquery, so
-    the two one-row aggregates are combined without a join.
+    ``tp`` needs only Teacher_ID: the teacher frame, or the narrower
+    ``frames.class_teachers``. The teacher count is a scalar subquery, so the
+    two one-row aggregates are combined without a join.
     """
     teachers = tp.agg(F.count_distinct("Teacher_ID")).scalar()
     return base.agg(

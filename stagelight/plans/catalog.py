@@ -134,8 +134,8 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "load_teacher_performance": (lambda w: w.tp),
     "teacher_first_course": (lambda w: A.teacher_first_course(w.tp)),
     # headline + facets
-    "kpi_summary": (lambda w: A.kpi_summary(w.base, w.tp)),
-    "kpi_cards": (lambda w: A.kpi_cards(w.base, w.tp)),
+    "kpi_summary": (lambda w: A.kpi_summary(w.base, frames.class_teachers(w.roles))),
+    "kpi_cards": (lambda w: A.kpi_cards(w.base, frames.class_teachers(w.roles))),
     "facet_date_bounds": (lambda w: A.facet_date_bounds(w.base)),
     "facet_age_bounds": (lambda w: A.facet_age_bounds(w.demo)),
     "facet_age_marks": (lambda w: A.facet_age_marks(w.demo)),

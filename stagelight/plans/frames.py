@@ -136,3 +136,13 @@ def teacher_performance(r: Roles) -> DataFrame:
         "Student_Age", "Learning_City",
         F.coalesce("Learning_Area", F.lit("Unknown")).alias("Learning_Area"),
         "Course_Date")
+
+
+def class_teachers(r: Roles) -> DataFrame:
+    """Teacher_ID of every class row that has a teacher: the only input the
+    distinct-teacher KPI needs from ``teacher_performance``. No join there
+    drops a class row and Teacher_ID comes only from the teacher table, so
+    its distinct non-null values are exactly these."""
+    ch = r.course_history
+    tb = r.teacher_basic.select(F.col("TeacherID").alias("Teacher_ID"))
+    return ch.join(tb, ch["Teacher_id"] == tb["Teacher_ID"], "inner").select(tb["Teacher_ID"])

@@ -54,10 +54,17 @@ MAX_HOT_KEYS = 10_000
 MAX_FANOUT = 1024
 
 
+def _setting(df: DataFrame, name: str, given: int | None, default: int) -> int:
+    if given is not None:
+        return given
+    return int(df.sparkSession.conf.get(f"spark.stagelight.skewJoin.{name}", str(default)))
+
+
 def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                   hot_rows: int = HOT_KEY_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
-                   max_fanout: int = MAX_FANOUT, counted: DataFrame | None = None,
-                   counted_key: str | None = None) -> DataFrame:
+                   hot_rows: int | None = None, max_hot_keys: int | None = None,
+                   max_fanout: int | None = None, counted: DataFrame | None = None,
+                   counted_key: str | None = None,
+                   salt_cols: list[str] | None = None) -> DataFrame:
     """``left LEFT JOIN right ON left_key = right_key`` that stays balanced when
     one key holds a large share of ``right`` (the side AQE cannot split in a
     left outer join).
@@ -81,7 +88,17 @@ def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     the whole right side twice. Exactness does not depend on this choice: a
     key counted hot always has right rows (every row of ``counted`` yields at
     least one row of ``right``), which is all step 3 needs.
+
+    The salt hashes ``salt_cols`` (default: every right column); name a
+    high-cardinality column such as the right side's own row key, because
+    rows with equal hashed values share a salt bucket.
+
+    Unset limits come from the session settings ``spark.stagelight.skewJoin.hotKeyRows``,
+    ``.maxHotKeys`` and ``.maxFanout`` (defaults above).
     """
+    hot_rows = _setting(right, "hotKeyRows", hot_rows, HOT_KEY_ROWS)
+    max_hot_keys = _setting(right, "maxHotKeys", max_hot_keys, MAX_HOT_KEYS)
+    max_fanout = _setting(right, "maxFanout", max_fanout, MAX_FANOUT)
     counted = right if counted is None else counted
     counted_key = right_key if counted_key is None else counted_key
     hot = (counted.where(F.col(counted_key).isNotNull())
@@ -98,7 +115,7 @@ def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     r_tagged = (right.join(hot, right[right_key] == hot["_hk"], "left")
                      .select(*[right[f"`{c}`"] for c in r_cols], F.lit(True).alias("_hit"),
                              F.when(F.col("_fan").isNull(), F.lit(0))
-                              .otherwise(F.pmod(F.xxhash64(*[right[f"`{c}`"] for c in r_cols]),
+                              .otherwise(F.pmod(F.xxhash64(*[right[f"`{c}`"] for c in (salt_cols or r_cols)]),
                                                 F.col("_fan")).cast("int")).alias("_rsalt")))
     l_cols = left.columns
     l_tagged = (left.join(hot, left[left_key] == hot["_hk"], "left")

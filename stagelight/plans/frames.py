@@ -84,8 +84,11 @@ def demographics(r: Roles) -> DataFrame:
     sb = r.student_basic
     students = sb.join(attrs, sb["StudentID"] == attrs[_K], "left").drop(_K)
     # ... then the enrolments, where one student may hold a large share of rows.
-    enrol = r.course_student.select(F.col("Student_id").alias("_ek"), "Course_Type_id")
-    joined = skew_left_join(students, enrol, "StudentID", "_ek").drop("_ek")
+    # (Course_id rides along only to give the salt a distinct value per row.)
+    enrol = r.course_student.select(F.col("Student_id").alias("_ek"), "Course_Type_id",
+                                    F.col("Course_id").alias("_eid"))
+    joined = skew_left_join(students, enrol, "StudentID", "_ek",
+                            salt_cols=["_eid"]).drop("_ek", "_eid")
     return (joined.join(course_type_dim(spark), "Course_Type_id", "left")
                   .select("StudentID", "Age",
                           F.coalesce("Gender", F.lit("Unknown")).alias("Gender"),

@@ -1,10 +1,12 @@
 """Skew evidence: build the demographics extract over an enrolment table in
-which one student holds a third of all rows, once without salting and once
-with it, and report per-stage shuffle-read records per task from Spark's
-event log (written to a fresh scratch folder).
+which one student holds a third of all rows, and the teacher frame over one
+in which one course does; each once without salting and once with it.
+Reports per-task shuffle-read records of the most imbalanced stage from
+Spark's event log (written to a fresh scratch folder).
 
 The skewed enrolments are derived by Spark from the given tables: every
-order whose key is 1 mod 3 is re-assigned to student 1. Usage:
+enrolment whose order key is 1 mod 3 is re-assigned to student 1 (or course
+1). Usage:
 
     python tools/skew_check.py [/root/testdata/sf0.1] [hot_key_rows]
 """
@@ -27,12 +29,15 @@ from stagelight.session import build_session  # noqa: E402
 from stagelight.sources.roles import Roles  # noqa: E402
 
 
-def skewed_roles(spark, sf_dir: str) -> Roles:
+def skewed_roles(spark, sf_dir: str, frame: str) -> Roles:
+    """A third of the enrolments moved onto one student (demographics) or onto
+    one course (teacher frame)."""
     base = Roles.from_tpch(spark, sf_dir)
     parts = base.as_dict()
     cs = parts["course_student"]
+    col = "Student_id" if frame == "demographics" else "Course_id"
     parts["course_student"] = cs.withColumn(
-        "Student_id", F.when(F.col("Course_id") % 3 == 1, F.lit(1)).otherwise(F.col("Student_id")))
+        col, F.when(F.col("Course_id") % 3 == 1, F.lit(1)).otherwise(F.col(col)))
     return Roles.from_frames(parts)
 
 
@@ -54,7 +59,7 @@ def task_stats(log_dir: str) -> list[tuple[int, int, int, float]]:
     return [(s, len(v), max(v), statistics.median(v)) for s, v in sorted(per_stage.items())]
 
 
-def run(sf_dir: str, hot_rows: int, label: str) -> None:
+def run(sf_dir: str, hot_rows: int, label: str, frame: str) -> None:
     log_dir = tempfile.mkdtemp(prefix=f"skew-{label}-", dir="/tmp")
     spark = build_session("local[8]", app_name=f"skew-{label}", shuffle_partitions=16, extra={
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
@@ -68,13 +73,13 @@ def run(sf_dir: str, hot_rows: int, label: str) -> None:
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.stagelight.skewJoin.hotKeyRows": str(hot_rows)})
     spark.sparkContext.setLogLevel("ERROR")
-    demo = frames.demographics(skewed_roles(spark, sf_dir))
-    rows = demo.count()
+    build = frames.demographics if frame == "demographics" else frames.teacher_performance
+    rows = build(skewed_roles(spark, sf_dir, frame)).count()
     spark.stop()
     stats = task_stats(log_dir)
     multi = [s for s in stats if s[1] > 1] or stats
     worst = max(multi, key=lambda s: s[2] / max(s[3], 1))
-    print(json.dumps({"variant": label, "hot_key_rows": hot_rows, "rows": rows,
+    print(json.dumps({"frame": frame, "variant": label, "hot_key_rows": hot_rows, "rows": rows,
                       "worst_stage": {"stage": worst[0], "tasks": worst[1],
                                       "max_records_per_task": worst[2],
                                       "median_records_per_task": worst[3]},
@@ -84,5 +89,6 @@ def run(sf_dir: str, hot_rows: int, label: str) -> None:
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     hot = int(sys.argv[2]) if len(sys.argv) > 2 else 4000
-    run(sf, 10 ** 12, "unsalted")
-    run(sf, hot, "salted")
+    for frame in ("demographics", "teacher_performance"):
+        run(sf, 10 ** 12, "unsalted", frame)
+        run(sf, hot, "salted", frame)

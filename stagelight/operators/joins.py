@@ -1,11 +1,19 @@
 """Join building blocks.
 
 The extracts chain several LEFT JOINs that all hang off one key of a driving
-table (a transaction's student; a course row's student). Written as a chain,
-Spark runs them as sort-merge joins inside one stage, and AQE can split a hot
-key of the driving side only for the first of them. ``keyed_product`` first
-combines the dimension relations per key, so the big driving table meets one
-relation in one shuffle join whose hot partitions AQE may split.
+table (a transaction's student; a class's course; a student). Written as a
+chain, Spark runs them as sort-merge joins inside one stage, and AQE can split
+a hot key of the driving side only for the first of them. So:
+
+* ``keyed_product`` combines the per-key attribute relations first (one or a
+  few rows per key), so the big driving table meets one relation in one
+  shuffle join whose hot partitions AQE may split;
+* ``keyed_product_with_hot`` adds a relation that may hold a hot key without
+  a full outer join;
+* ``skew_left_join`` salts hot keys of the non-preserved side, which AQE
+  cannot split in an outer join;
+* ``broadcast_if_bounded``, ``keep_keys`` and ``semi_join_small`` broadcast
+  only relations with a checked or LIMIT-proven size.
 """
 
 from __future__ import annotations

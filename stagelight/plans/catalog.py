@@ -104,7 +104,7 @@ _WORKSPACES: dict[tuple[str, int, str], Workspace] = {}
 
 
 def workspace_for(spark: SparkSession, sf_dir: str) -> Workspace:
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    key = (spark.conf.get("spark.app.id", ""), id(spark), sf_dir)
     if key not in _WORKSPACES:
         _WORKSPACES[key] = Workspace.from_tpch(spark, sf_dir)
     return _WORKSPACES[key]

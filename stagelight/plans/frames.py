@@ -30,9 +30,10 @@ TEACHER_COLUMNS = ["Teacher_ID", "Teacher_Name", "Student_ID", "Student_Gender",
 
 _K = "_student_key"  # join key column used inside the keyed products
 
-# Teachers are broadcast to the class history only below this many rows
-# (checked); beyond it the class history is shuffled by teacher.
+# Role tables are broadcast only below these row counts (checked once per
+# workspace); beyond them the join is a shuffle join.
 TEACHER_BROADCAST_ROWS = 1_000_000
+COURSE_DIM_BROADCAST_ROWS = 100_000
 
 
 def base(r: Roles) -> DataFrame:
@@ -43,9 +44,10 @@ def base(r: Roles) -> DataFrame:
     hot partitions AQE may split on the transaction side and which salts hot
     students on the per-student side.
     """
-    # course_type is a fixed-size dimension, joined map-side.
+    # course_type is a small dimension, joined map-side once its size is checked.
+    course_type = broadcast_if_bounded(r.course_type, COURSE_DIM_BROADCAST_ROWS)
     bridge = (r.course_data.alias("cd")
-              .join(F.broadcast(r.course_type.alias("ct")),
+              .join(course_type.alias("ct"),
                     F.col("cd.Course_Type_id") == F.col("ct.Course_Type_ID"), "left")
               .select(F.col("cd.Student_id").alias(_K), F.col("ct.Course_Type_Name")))
     student = r.student_basic.select(F.col("StudentID").alias(_K),
@@ -107,8 +109,10 @@ def teacher_performance(r: Roles) -> DataFrame:
     teacher table is broadcast only behind a row-count check.
     """
     cs = r.course_student
-    # course_basic is tiny; broadcast joined, it multiplies rows without a shuffle.
-    typed = cs.join(F.broadcast(r.course_basic.alias("cb")),
+    # course_basic is tiny; broadcast (after a size check) it multiplies rows
+    # without a shuffle.
+    course_basic = broadcast_if_bounded(r.course_basic, COURSE_DIM_BROADCAST_ROWS)
+    typed = cs.join(course_basic.alias("cb"),
                     cs["Course_Type_id"] == F.col("cb.Course_Type_id"), "left") \
               .select(cs["Course_id"], cs["Student_id"].alias("_cs_student"))
     area = r.student_learning_area.select(F.col("StudentID").alias(_K),

@@ -47,6 +47,10 @@ TEACHER_COLUMNS = FilterColumns("Course_Date", "Student_Age", None, "Learning_Ci
                                 "Student_Gender")
 
 
+# Name of the month partition column of materialized frames ('yyyy-MM').
+MONTH_PARTITION = "_month"
+
+
 def instant(text: str) -> Column:
     """A bound as a timestamp_ntz literal (a bare date is its midnight)."""
     return F.lit(text).cast("timestamp_ntz")
@@ -71,10 +75,21 @@ def member_of(col: str, values: Sequence[str | None]) -> Column:
     return cond
 
 
-def predicates(filters: Filters, cols: FilterColumns) -> list[Column]:
+def month_range(start: str, end: str) -> Column:
+    """Partition predicate implied by a date range: the 'yyyy-MM' month of
+    every instant in [start, end] lies in [month(start), month(end)], and the
+    bounds fold to constants, so Spark prunes the other month partitions."""
+    fmt = "yyyy-MM"
+    return ((F.col(MONTH_PARTITION) >= F.date_format(instant(start), fmt))
+            & (F.col(MONTH_PARTITION) <= F.date_format(instant(end), fmt)))
+
+
+def predicates(filters: Filters, cols: FilterColumns, partitioned: bool = False) -> list[Column]:
     out: list[Column] = []
     if filters.has_dates and cols.date:
         out.append(date_range(cols.date, filters.start, filters.end))
+        if partitioned:
+            out.append(month_range(filters.start, filters.end))
     if filters.age and cols.age:
         out.append(num_range(cols.age, filters.age[0], filters.age[1]))
     for values, col in ((filters.course_types, cols.course), (filters.cities, cols.city),
@@ -87,7 +102,7 @@ def predicates(filters: Filters, cols: FilterColumns) -> list[Column]:
 def apply_filters(df: DataFrame, filters: Filters | None, cols: FilterColumns) -> DataFrame:
     """Conjunction of every given filter (one Filter node; Catalyst pushes the
     parts it can through the joins down to the parquet scans)."""
-    preds = predicates(filters or Filters(), cols)
+    preds = predicates(filters or Filters(), cols, partitioned=MONTH_PARTITION in df.columns)
     return df.where(reduce(lambda a, b: a & b, preds)) if preds else df
 
 

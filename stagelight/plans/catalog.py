@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import months_between_keys
-from ..operators.filters import Filters
-from ..session import configure
+from ..functions import month_key, months_between_keys
+from ..operators.filters import MONTH_PARTITION, Filters
+from ..session import configure, ensure_checkpoint_dir
 from ..sources.roles import Roles, require_rows
 from . import analyses as A
 from . import frames
@@ -79,19 +81,46 @@ class Workspace:
         require_rows(self.demo, "demographics")
         return self
 
-    def materialize(self) -> "Workspace":
-        """Cut the frames' lineage into the cluster's checkpoint folder (for a
-        session that serves many analyses from the same frames)."""
-        self.base = self.base.checkpoint(eager=True)
+    def materialize(self, partition_by_month: bool = True) -> "Workspace":
+        """Extract the frames once, for a session that serves many analyses
+        from them, cutting their lineage in the cluster's shared checkpoint
+        folder (``spark.checkpoint.dir``; never a machine-local folder).
+
+        With ``partition_by_month`` the two dated frames are written as
+        parquet tables partitioned by month, so that every date-filtered
+        analysis reads only the months in its range (the filters add the
+        matching partition predicate); the demographics frame is checkpointed.
+        """
+        if not partition_by_month:
+            self.base = self.base.checkpoint(eager=True)
+            self.demo = self.demo.checkpoint(eager=True)
+            self.tp = self.tp.checkpoint(eager=True)
+            return self
+        spark = self.roles.transaction_data.sparkSession
+        root = ensure_checkpoint_dir(spark)
+        if not root:
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        run_dir = f"{root.rstrip('/')}/stagelight-frames-{uuid.uuid4().hex}"
+        self.base = write_by_month(self.base, "Order_Date", f"{run_dir}/base")
+        self.tp = write_by_month(self.tp, "Course_Date", f"{run_dir}/teacher_performance")
         self.demo = self.demo.checkpoint(eager=True)
-        self.tp = self.tp.checkpoint(eager=True)
         return self
 
 
+def write_by_month(df: DataFrame, ts: str, path: str) -> DataFrame:
+    """Write ``df`` partitioned by the 'yyyy-MM' month of ``ts`` and read it
+    back with its schema (plus the partition column)."""
+    df.withColumn(MONTH_PARTITION, month_key(F.col(ts))) \
+      .write.mode("errorifexists").partitionBy(MONTH_PARTITION).parquet(path)
+    schema = T.StructType(df.schema.fields + [T.StructField(MONTH_PARTITION, T.StringType(), True)])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def as_output(df: DataFrame) -> DataFrame:
-    """Exact decimals inside, doubles at the boundary."""
+    """Exact decimals inside, doubles at the boundary; internal columns
+    (leading underscore, e.g. the month partition) never reach an output."""
     cols = [df[f"`{f.name}`"].cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-            else df[f"`{f.name}`"] for f in df.schema.fields]
+            else df[f"`{f.name}`"] for f in df.schema.fields if not f.name.startswith("_")]
     return df.select(*cols)
 
 

@@ -109,8 +109,13 @@ class Workspace:
 
 def write_by_month(df: DataFrame, ts: str, path: str) -> DataFrame:
     """Write ``df`` partitioned by the 'yyyy-MM' month of ``ts`` and read it
-    back with its schema (plus the partition column)."""
-    df.withColumn(MONTH_PARTITION, month_key(F.col(ts))) \
+    back with its schema (plus the partition column).
+
+    The REBALANCE hint shuffles rows by month and lets AQE split heavy months
+    and merge light ones into advisory-size tasks, so each month gets a few
+    large files instead of one small file per input task.
+    """
+    df.withColumn(MONTH_PARTITION, month_key(F.col(ts))).hint("rebalance", MONTH_PARTITION) \
       .write.mode("errorifexists").partitionBy(MONTH_PARTITION).parquet(path)
     schema = T.StructType(df.schema.fields + [T.StructField(MONTH_PARTITION, T.StringType(), True)])
     return df.sparkSession.read.schema(schema).parquet(path)

@@ -188,6 +188,23 @@ def demo_age_course(sel: DataFrame) -> DataFrame:
     return wide.unpivot("Age", COURSE_NAMES, "Course_Type_Name", "n").orderBy("Age", "Course_Type_Name")
 
 
+DEMOGRAPHIC_VIEWS = {
+    "gender": demo_gender,
+    "age": demo_age_histogram,
+    "course": demo_course,
+    "region": demo_region,
+    "age_course": demo_age_course,
+}
+
+
+def demographics_view(sel: DataFrame, dimension: str = "gender") -> DataFrame:
+    """One of the five demographic views of a selection, chosen explicitly
+    (the dashboard's buttons; gender when nothing was chosen)."""
+    if dimension not in DEMOGRAPHIC_VIEWS:
+        raise ValueError(f"unknown view {dimension!r}; one of {sorted(DEMOGRAPHIC_VIEWS)}")
+    return DEMOGRAPHIC_VIEWS[dimension](sel)
+
+
 # ------------------------------------------------------------------ teachers
 def teacher_selection(tp: DataFrame, filters: Filters | None = None) -> DataFrame:
     """Known teachers under the filters (course filter does not apply here)."""

@@ -196,3 +196,13 @@ def test_first_course_per_teacher(spark):  # W2
                          {"Teacher_ID": None, "Teacher_Name": "Unknown", "Course_Date": "2023-01-01"}])
     got = sorted(rows(A.teacher_first_course(tp), "Teacher_ID", "First_Course"), key=str)
     assert got == [(1, dt.datetime(2024, 1, 1)), (1, dt.datetime(2024, 1, 1)), (None, None)]
+
+
+def test_demographics_view_dispatch(spark):  # N14
+    from .conftest import DEMO_SCHEMA
+    sel = spark.createDataFrame([(1, 30, "Male", "c", "r", 1, "a", "n"), (2, 40, "Unknown", "c", "r", 2, "b", "n")],
+                                DEMO_SCHEMA)
+    assert A.demographics_view(sel).columns == ["Gender", "n", "share"]
+    assert A.demographics_view(sel, "region").columns == ["Learning_Area", "n"]
+    with pytest.raises(ValueError):
+        A.demographics_view(sel, "city")

@@ -91,15 +91,15 @@ class Workspace:
         analysis reads only the months in its range (the filters add the
         matching partition predicate); the demographics frame is checkpointed.
         """
+        spark = self.roles.transaction_data.sparkSession
+        root = ensure_checkpoint_dir(spark)
+        if not root:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         if not partition_by_month:
             self.base = self.base.checkpoint(eager=True)
             self.demo = self.demo.checkpoint(eager=True)
             self.tp = self.tp.checkpoint(eager=True)
             return self
-        spark = self.roles.transaction_data.sparkSession
-        root = ensure_checkpoint_dir(spark)
-        if not root:
-            raise RuntimeError("spark.checkpoint.dir is not set")
         run_dir = f"{root.rstrip('/')}/stagelight-frames-{uuid.uuid4().hex}"
         self.base = write_by_month(self.base, "Order_Date", f"{run_dir}/base")
         self.tp = write_by_month(self.tp, "Course_Date", f"{run_dir}/teacher_performance")

@@ -74,7 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+            # Only materialization needs it; it raises when the folder is missing.
+            return None
         configured = tempfile.mkdtemp(prefix="stagelight-ckpt-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -74,8 +74,12 @@ def age_histogram(base: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------- facets
-def facet_date_bounds(base: DataFrame) -> DataFrame:
-    return base.agg(F.min("Order_Date").alias("min_date"), F.max("Order_Date").alias("max_date"))
+def facet_date_bounds(transactions: DataFrame) -> DataFrame:
+    """Date picker bounds. ``transactions`` is ``base`` or the transaction
+    role: base's left joins only repeat transactions, which leaves min and
+    max unchanged, so the role gives the same bounds without the joins."""
+    return transactions.agg(F.min("Order_Date").alias("min_date"),
+                            F.max("Order_Date").alias("max_date"))
 
 
 def facet_age_bounds(demo: DataFrame) -> DataFrame:

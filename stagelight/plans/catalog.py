@@ -170,7 +170,7 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     # headline + facets
     "kpi_summary": (lambda w: A.kpi_summary(w.base, frames.class_teachers(w.roles))),
     "kpi_cards": (lambda w: A.kpi_cards(w.base, frames.class_teachers(w.roles))),
-    "facet_date_bounds": (lambda w: A.facet_date_bounds(w.base)),
+    "facet_date_bounds": (lambda w: A.facet_date_bounds(w.roles.transaction_data)),
     "facet_age_bounds": (lambda w: A.facet_age_bounds(w.demo)),
     "facet_age_marks": (lambda w: A.facet_age_marks(w.demo)),
     "facet_course_types": (lambda w: A.facet_course_types(w.base)),

@@ -162,7 +162,7 @@ def _demo(w: Workspace) -> DataFrame:
 ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     # loaders
     "load_transactions": (lambda w: w.base),
-    "load_business_trends": (lambda w: frames.business_trends(w.roles)),
+    "load_business_trends": (lambda w: frames.with_calendar_names(w.base)),
     "load_monthly_revenue": (lambda w: A.load_monthly_revenue(w.base)),
     "load_demographics": (lambda w: w.demo),
     "load_teacher_performance": (lambda w: w.tp),

@@ -65,12 +65,17 @@ def base(r: Roles) -> DataFrame:
                       F.col("Transaction_Value").alias("Amount")))
 
 
-def business_trends(r: Roles) -> DataFrame:
-    b = base(r)
-    return b.select(*b.columns, weekday_name(F.col("Order_Date")).alias("Day_of_Week"),
+def with_calendar_names(b: DataFrame) -> DataFrame:
+    """``base`` plus the weekday and month names of each order."""
+    return b.select(*[F.col(f"`{c}`") for c in b.columns],
+                    weekday_name(F.col("Order_Date")).alias("Day_of_Week"),
                     month_name(F.col("Order_Date")).alias("Month"))
 
 
+def business_trends(r: Roles) -> DataFrame:
+    return with_calendar_names(base(r))
+
+
 def demographics(r: Roles) -> DataFrame:
     """students LEFT JOIN area, learning type, course_student, then the inline
     course dimension; Gender and Learning_Area filled with 'Unknown'.

@@ -12,7 +12,7 @@ from stagelight.plans import catalog as C
 
 from .conftest import SF001
 
-KEYS = ["load_transactions", "load_teacher_performance", "kpi_summary", "monthly_revenue_growth",
+KEYS = ["load_transactions", "load_business_trends", "load_teacher_performance", "kpi_summary", "monthly_revenue_growth",
         "booking_heatmap_wide", "filter_combined", "demo_gender", "teacher_sales_ranked",
         "audience_heatmap", "teacher_first_course", "filter_known_teachers"]
 

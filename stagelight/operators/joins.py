@@ -32,10 +32,25 @@ def keyed_product(key: str, *frames: DataFrame) -> DataFrame:
     """
     out = frames[0]
     for frame in frames[1:]:
-        out = out.join(frame, on=key, how="full_outer")
+        out = _full_outer_split(out, frame, key)
     return out
 
 
+def _full_outer_split(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """``a FULL OUTER JOIN b USING (key)`` as three parts that all stay
+    balanced under a hot key: the inner join (AQE may split either side), and
+    each side's rows whose key the other side lacks (anti joins against the
+    other side's distinct keys, pre-combined map-side). A plain full outer
+    join can be split by neither AQE nor salting."""
+    def keys(df: DataFrame) -> DataFrame:
+        return df.select(key).where(F.col(key).isNotNull()).distinct()
+    matched = a.join(b, on=key, how="inner")
+    only_a = a.join(keys(b), on=key, how="left_anti")
+    only_b = b.join(keys(a), on=key, how="left_anti")
+    return (matched.unionByName(only_a, allowMissingColumns=True)
+                   .unionByName(only_b, allowMissingColumns=True))
+
+
 def keyed_product_with_hot(key: str, attrs: DataFrame, hot: DataFrame) -> DataFrame:
     """``keyed_product(key, attrs, hot)`` for a ``hot`` side that may hold a
     large share of rows under one key, without a full outer join (which

@@ -5,11 +5,10 @@ table (a transaction's student; a class's course; a student). Written as a
 chain, Spark runs them as sort-merge joins inside one stage, and AQE can split
 a hot key of the driving side only for the first of them. So:
 
-* ``keyed_product`` combines the per-key attribute relations first (one or a
-  few rows per key), so the big driving table meets one relation in one
-  shuffle join whose hot partitions AQE may split;
-* ``keyed_product_with_hot`` adds a relation that may hold a hot key without
-  a full outer join;
+* ``keyed_product`` combines the per-key relations first, without a full
+  outer join (inner join plus anti joins, all splittable under a hot key), so
+  the big driving table meets one relation in one shuffle join whose hot
+  partitions AQE may split;
 * ``skew_left_join`` salts hot keys of the non-preserved side, which AQE
   cannot split in an outer join;
 * ``broadcast_if_bounded``, ``keep_keys`` and ``semi_join_small`` broadcast
@@ -51,23 +50,6 @@ def _full_outer_split(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
                    .unionByName(only_b, allowMissingColumns=True))
 
 
-def keyed_product_with_hot(key: str, attrs: DataFrame, hot: DataFrame) -> DataFrame:
-    """``keyed_product(key, attrs, hot)`` for a ``hot`` side that may hold a
-    large share of rows under one key, without a full outer join (which
-    neither AQE nor salting can split):
-
-        (hot LEFT JOIN attrs)  UNION  (attrs rows whose key is not in hot)
-
-    ``hot`` is the preserved side of the left join, so AQE may split its hot
-    partitions; the anti join meets only the distinct keys of ``hot``
-    (partially aggregated before the shuffle).
-    """
-    matched = hot.join(attrs, on=key, how="left")
-    hot_keys = hot.select(key).where(F.col(key).isNotNull()).distinct()
-    only_attrs = attrs.join(hot_keys, on=key, how="left_anti")
-    return matched.unionByName(only_attrs, allowMissingColumns=True)
-
-
 # Skew handling defaults: a key is hot from this many rows on the
 # non-preserved side; at most this many hot keys are salted (the hot-key
 # table is broadcast, so its size is bounded by this LIMIT); a hot key is

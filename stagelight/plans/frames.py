@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import full_name, month_name, weekday_name
-from ..operators.joins import (broadcast_if_bounded, keyed_product, keyed_product_with_hot,
-                               skew_left_join)
+from ..operators.joins import broadcast_if_bounded, keyed_product, skew_left_join
 from ..sources.literals import course_type_dim
 from ..sources.roles import Roles
 
@@ -55,9 +54,9 @@ def base(r: Roles) -> DataFrame:
                                      F.col("Gender").alias("Customer_Gender"))
     area = r.student_learning_area.select(F.col("StudentID").alias(_K), "City",
                                           F.col("Learning_Area").alias("Region"))
-    # Attribute rows per student, then the course bridge, which may hold a
-    # hot student; the transactions meet the result in one salted join.
-    per_student = keyed_product_with_hot(_K, keyed_product(_K, student, area), bridge)
+    # All rows per student (attributes x course bridge); the transactions meet
+    # the result in one salted join.
+    per_student = keyed_product(_K, student, area, bridge)
     td = r.transaction_data
     return (skew_left_join(td, per_student, "Student_id", _K, counted=bridge, counted_key=_K)
               .select("Transaction_ID", "Student_id", "Order_Date", "Customer_Age",

@@ -51,13 +51,3 @@ def test_broadcast_if_bounded(spark):
                             F.col("id") == F.col("x"))
     assert broadcast_if_bounded(big, 100) is big
     assert plan_small.count() == 10
-
-
-def test_keyed_product_with_hot_equals_keyed_product(spark):
-    from stagelight.operators.joins import keyed_product_with_hot
-    a = spark.createDataFrame([(1, "a1"), (1, "a2"), (3, "a3"), (None, "an")], "_k bigint, a string")
-    h = spark.createDataFrame([(1, "h1"), (2, "h2"), (2, "h3"), (None, "hn")], "_k bigint, h string")
-    driver = spark.createDataFrame([(1,), (2,), (3,), (4,)], "k bigint")
-    expect = driver.join(keyed_product("_k", a, h), driver["k"] == F.col("_k"), "left").select("k", "a", "h")
-    got = driver.join(keyed_product_with_hot("_k", a, h), driver["k"] == F.col("_k"), "left").select("k", "a", "h")
-    assert _sorted(got) == _sorted(expect)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every analysis assumes. The session zone matters because the time
@@ -40,7 +41,9 @@ def build_session(master: str | None = None, app_name: str = "stagelight",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULT_CONF, **REQUIRED_CONF, **(extra or {})}.items():
+    launched = SparkConf()  # what spark-submit / spark-defaults already set
+    defaults = {k: v for k, v in DEFAULT_CONF.items() if not launched.contains(k)}
+    for key, value in {**defaults, **REQUIRED_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

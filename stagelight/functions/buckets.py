@@ -30,11 +30,10 @@ def age_group_rank(group: Column) -> Column:
     return expr
 
 
-def histogram_width(lo: Column, hi: Column) -> Column:
+def histogram_width(lo: str, hi: str) -> Column:
     """Smallest width w in 1, 2, 5, 10, 20, 50, ... such that the bins
-    [k*w, (k+1)*w) covering [lo, hi] number at most ``MAX_BINS``."""
-    choice = None
-    for w in HISTOGRAM_WIDTHS:
-        fits = (F.floor(hi / F.lit(w)) - F.floor(lo / F.lit(w)) + F.lit(1)) <= F.lit(MAX_BINS)
-        choice = F.when(fits, F.lit(w)) if choice is None else choice.when(fits, F.lit(w))
-    return choice
+    [k*w, (k+1)*w) covering [lo, hi] (column names) number at most
+    ``MAX_BINS``. Built as one SQL CASE expression."""
+    whens = " ".join(f"WHEN floor(`{hi}` / {w}) - floor(`{lo}` / {w}) + 1 <= {MAX_BINS} THEN {w}"
+                     for w in HISTOGRAM_WIDTHS)
+    return F.expr(f"CASE {whens} END")

@@ -78,19 +78,23 @@ def histogram(df: DataFrame, col: str, n: str = "n") -> DataFrame:
     """Counts per bin [k*w, (k+1)*w) with the smallest 'nice' width w giving
     at most 20 bins over the column's range; nulls are ignored.
 
-    Values are first counted per distinct value (partial aggregation), the
-    width comes from a scalar subquery over that, so there is no cross join
-    and nothing is collected to the driver.
+    The input is read once: values are counted per distinct value (partial
+    aggregation), and the width comes from min/max windows over that
+    per-value table. The histogram is drawn over ages, so that table has one
+    row per distinct age - a bound set by the age domain (about a hundred
+    rows), not by the data volume. A scalar subquery would instead run the
+    whole input pipeline a second time.
     """
     per_value = (df.where(F.col(col).isNotNull())
                    .groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    width = per_value.agg(histogram_width(F.min("_v"), F.max("_v"))).scalar()
-    start = F.floor(F.col("_v") / width) * width
-    return (per_value.groupBy(start.alias("bin_start"))
-                     .agg(F.sum("_c").alias(n))
-                     .withColumn("bin_end", F.col("bin_start") + width)
-                     .select("bin_start", "bin_end", n)
-                     .orderBy("bin_start"))
+    everything = Window.partitionBy()
+    binned = (per_value.withColumn("_lo", F.min("_v").over(everything))
+                       .withColumn("_hi", F.max("_v").over(everything))
+                       .withColumn("_w", histogram_width("_lo", "_hi"))
+                       .withColumn("bin_start", F.floor(F.col("_v") / F.col("_w")) * F.col("_w")))
+    return (binned.groupBy("bin_start", "_w").agg(F.sum("_c").alias(n))
+                  .select("bin_start", (F.col("bin_start") + F.col("_w")).alias("bin_end"), n)
+                  .orderBy("bin_start"))
 
 
 def ranked_head(counts: DataFrame, key: str, by: str, k: int, rank: str = "rank") -> DataFrame:

@@ -206,3 +206,23 @@ def test_demographics_view_dispatch(spark):  # N14
     assert A.demographics_view(sel, "region").columns == ["Learning_Area", "n"]
     with pytest.raises(ValueError):
         A.demographics_view(sel, "city")
+
+
+def test_course_names_come_from_two_dimensions(spark):  # N13
+    roles = Roles.from_frames({
+        "transaction_data": spark.createDataFrame([(1, 7, ts("2024-01-01"), 10)],
+                                                  "a bigint, b bigint, c timestamp_ntz, d int")
+            .toDF("Transaction_ID", "Student_id", "Order_Date", "Transaction_Value"),
+        "student_basic": spark.createDataFrame([(7, 30, None)], "StudentID bigint, Age int, Gender string"),
+        "student_learning_area": spark.createDataFrame([], "StudentID bigint, City string, Learning_Area string"),
+        "student_learning_type": spark.createDataFrame([], "StudentID bigint"),
+        "course_data": spark.createDataFrame([(7, 1)], "Student_id bigint, Course_Type_id int"),
+        "course_type": spark.createDataFrame([(1, "table name")], "Course_Type_ID int, Course_Type_Name string"),
+        "course_student": spark.createDataFrame([(99, 7, 1)], "Course_id bigint, Student_id bigint, Course_Type_id int"),
+        "course_basic": spark.createDataFrame([], "Course_Type_id int"),
+        "teacher_basic": spark.createDataFrame([], "TeacherID bigint, FirstName string, LastName string"),
+        "course_history": spark.createDataFrame([], "Teacher_id bigint, Course_id bigint, Course_Date timestamp_ntz"),
+    })
+    assert rows(frames.base(roles), "Course_Type_Name", "Customer_Gender") == [("table name", None)]
+    demo = rows(frames.demographics(roles), "Course_Type_Name", "Course_Type_Note", "Gender", "Learning_Area")
+    assert demo == [("瑜珈", "Yoga Classes", "Unknown", "Unknown")]  # N12: filled in demographics

@@ -7,9 +7,9 @@ holds the DuckDB SQL for the same key and parameters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession

@@ -60,3 +60,10 @@ def test_scans_read_only_needed_columns(plans):
     scans = [line for line in plans["monthly_revenue_growth"].splitlines()
              if line.startswith("ReadSchema:")]
     assert scans and all("o_orderpriority" not in s and "c_name" not in s for s in scans)
+
+
+def test_no_full_outer_join(plans):
+    """Keyed products are inner + anti joins: a full outer join could be split
+    neither by AQE nor by salting under a hot key."""
+    for key, text in plans.items():
+        assert "FullOuter" not in text, key

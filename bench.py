@@ -36,7 +36,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    keys = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
+    chosen = os.environ.get("BENCH_QUERIES", "")
+    keys = list(QUERIES) if chosen == "all" else (chosen.split(",") if chosen else HEADLINE)
     spark = build_session(f"local[{cpus}]", app_name="stagelight-bench", shuffle_partitions=cpus,
                           extra={"spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")

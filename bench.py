@@ -41,16 +41,22 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", app_name="stagelight-bench", shuffle_partitions=cpus,
                           extra={"spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
-    times = {}
+    times, shape = {}, {}
+    tracker = spark.sparkContext.statusTracker()
     for key in keys:
         fn = QUERIES[key]
         samples = []
         for i in range(runs + 1):
+            group = f"bench-{key}-{i}"
+            spark.sparkContext.setJobGroup(group, key)
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             if i:  # first run warms the JVM and file caches
                 samples.append(time.perf_counter() - t0)
+        jobs = tracker.getJobIdsForGroup(group)
+        stages = sum(len(info.stageIds) for info in map(tracker.getJobInfo, jobs) if info)
         times[key] = round(statistics.median(samples), 4)
+        shape[key] = {"jobs": len(jobs), "stages": stages}
     served = {}
     if os.environ.get("BENCH_SERVED", "1") == "1":
         # The source application's shape: extract the frames once, then answer
@@ -71,6 +77,7 @@ def main() -> None:
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 4),
                       "unit": "sec", "queries": times, "sf": sf,
                       "served_from_materialized_frames": served,
+                      "spark_jobs_and_stages": shape,
                       "config": {"master": f"local[{cpus}]", "spark": spark.version,
                                  "shuffle_partitions": cpus, "runs": runs}}))
     spark.stop()

@@ -28,26 +28,27 @@ def keyed_product(key: str, *frames: DataFrame) -> DataFrame:
     ``driver LEFT JOIN a ON k LEFT JOIN b ON k ...`` equals
     ``driver LEFT JOIN keyed_product(k, a, b, ...) ON k``: both give, for each
     driver row, (a-rows or null) x (b-rows or null) x ...
-    """
-    out = frames[0]
-    for frame in frames[1:]:
-        out = _full_outer_split(out, frame, key)
-    return out
-
 
-def _full_outer_split(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """``a FULL OUTER JOIN b USING (key)`` as three parts that all stay
-    balanced under a hot key: the inner join (AQE may split either side), and
-    each side's rows whose key the other side lacks (anti joins against the
-    other side's distinct keys, pre-combined map-side). A plain full outer
-    join can be split by neither AQE nor salting."""
+    Each step is ``acc FULL OUTER JOIN frame`` written as three parts that all
+    stay balanced under a hot key: the inner join (AQE may split either side)
+    and each side's rows whose key the other side lacks (anti joins against
+    distinct keys, pre-combined map-side). A plain full outer join can be
+    split by neither AQE nor salting. The keys of ``acc`` are the union of its
+    inputs' keys, kept separately so ``acc`` itself is not re-run for them.
+    """
     def keys(df: DataFrame) -> DataFrame:
         return df.select(key).where(F.col(key).isNotNull()).distinct()
-    matched = a.join(b, on=key, how="inner")
-    only_a = a.join(keys(b), on=key, how="left_anti")
-    only_b = b.join(keys(a), on=key, how="left_anti")
-    return (matched.unionByName(only_a, allowMissingColumns=True)
-                   .unionByName(only_b, allowMissingColumns=True))
+
+    acc, acc_keys = frames[0], keys(frames[0])
+    for frame in frames[1:]:
+        frame_keys = keys(frame)
+        matched = acc.join(frame, on=key, how="inner")
+        only_acc = acc.join(frame_keys, on=key, how="left_anti")
+        only_frame = frame.join(acc_keys, on=key, how="left_anti")
+        acc = (matched.unionByName(only_acc, allowMissingColumns=True)
+                      .unionByName(only_frame, allowMissingColumns=True))
+        acc_keys = acc_keys.unionByName(frame_keys).distinct()
+    return acc
 
 
 # Skew handling defaults: a key is hot from this many rows on the

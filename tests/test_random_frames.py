@@ -141,3 +141,34 @@ def test_audience_matches_pandas(spark, rows):
     want = {(t, str(g)): int(n) for (t, g), n in per.items() if t in expect}
     have = {(r[0], r[1]): r[2] for r in A.audience_unique_students(df).collect()}
     assert have == want
+
+
+@SETTINGS
+@given(rows=st.lists(base_row, min_size=1, max_size=30))
+def test_heatmap_grid_matches_pandas(spark, rows):
+    df, pdf = to_base(spark, rows)
+    sel = pdf[pdf["Order_Date"].notna()]
+    sums = sel.groupby([sel["Order_Date"].dt.day_name(), sel["Order_Date"].dt.strftime("%Y-%m")])["Amount"].sum()
+    months = sorted(set(sel["Order_Date"].dt.strftime("%Y-%m")))
+    days = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+    expect = {(d, m): float(sums.get((d, m), 0)) for d in days for m in months}
+    got = {(r["Day_of_Week"], r["Month"]): r["Amount"] for r in A.booking_heatmap(df).collect()}
+    assert got == expect
+
+
+@SETTINGS
+@given(ages_=st.lists(st.one_of(st.none(), st.integers(min_value=0, max_value=400)), min_size=1, max_size=30))
+def test_histogram_matches_brute_force(spark, ages_):
+    df = base_rows(spark, [{"Customer_Age": a} for a in ages_])
+    present = [a for a in ages_ if a is not None]
+    got = [(r["bin_start"], r["bin_end"], r["n"]) for r in A.age_histogram(df).collect()]
+    if not present:
+        assert got == []
+        return
+    lo, hi = min(present), max(present)
+    width = next(w for e in range(10) for w in (10 ** e, 2 * 10 ** e, 5 * 10 ** e)
+                 if hi // w - lo // w + 1 <= 20)
+    counts = {}
+    for a in present:
+        counts[a // width * width] = counts.get(a // width * width, 0) + 1
+    assert got == [(b, b + width, n) for b, n in sorted(counts.items())]

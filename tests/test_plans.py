@@ -67,3 +67,24 @@ def test_no_full_outer_join(plans):
     neither by AQE nor by salting under a hot key."""
     for key, text in plans.items():
         assert "FullOuter" not in text, key
+
+
+@pytest.fixture(scope="module")
+def cluster_plans(spark):
+    """Plans as a large cluster gets them: no static broadcast by file size."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        yield {k: plan(spark, k) for k in E.queries()}
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_cluster_plans_keep_the_invariants(cluster_plans):
+    for key, text in cluster_plans.items():
+        for node in PYTHON_NODES + CROSS_NODES + ("FullOuter",):
+            assert node not in text, f"{key} has {node}"
+    # the transaction table is shuffled once, by (student, salt), for base
+    base = cluster_plans["load_transactions"]
+    assert "SortMergeJoin" in base and "_lsalt" in base

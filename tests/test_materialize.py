@@ -36,3 +36,10 @@ def test_date_filter_prunes_month_partitions(served):
         C.run_on(served, "monthly_revenue_growth").explain(mode="formatted")
     text = buf.getvalue()
     assert any(line.startswith("PartitionFilters: [") and "_month" in line for line in text.splitlines())
+
+
+def test_checkpointed_frames_equal_lazy(spark):
+    ws = C.Workspace.from_tpch(spark, SF001).materialize(partition_by_month=False)
+    for key in ("kpi_summary", "teacher_top5", "demo_gender"):
+        lazy = C.QUERIES[key](spark, SF001)
+        assert sorted(map(repr, C.run_on(ws, key).collect())) == sorted(map(repr, lazy.collect()))

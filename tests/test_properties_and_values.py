@@ -100,3 +100,10 @@ def test_small_scale_keeps_all_teachers(spark):
     small = C.Workspace.from_tpch(spark, SF001)
     assert A.teacher_top5(small.tp, C.TEACHER_FILTERS).count() == 8
     assert A.audience_top5(small.tp, C.TEACHER_FILTERS).count() == 5
+
+
+def test_frame_column_order(ws):  # P4
+    from stagelight.plans import frames
+    assert ws.base.columns == frames.BASE_COLUMNS
+    assert ws.demo.columns == frames.DEMOGRAPHICS_COLUMNS
+    assert ws.tp.columns == frames.TEACHER_COLUMNS

@@ -17,7 +17,7 @@ a hot key of the driving side only for the first of them. So:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,38 +66,65 @@ def _setting(df: DataFrame, name: str, given: int | None, default: int) -> int:
     return int(df.sparkSession.conf.get(f"spark.stagelight.skewJoin.{name}", str(default)))
 
 
+def _hot_keys(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int,
+              max_fanout: int) -> DataFrame:
+    """(_hk, _fan): keys with >= hot_rows rows, the largest max_hot_keys of
+    them (a LIMIT, so the result is safe to broadcast), each with fan-out
+    ceil(rows / hot_rows) capped at max_fanout."""
+    return (df.where(F.col(key).isNotNull())
+              .groupBy(F.col(key).alias("_hk"))
+              .agg(F.count(F.lit(1)).alias("_rows"))
+              .where(F.col("_rows") >= F.lit(hot_rows))
+              .orderBy(F.desc("_rows"), F.asc("_hk"))
+              .limit(max_hot_keys)
+              .select("_hk", F.least(F.lit(max_fanout),
+                                     F.ceil(F.col("_rows") / F.lit(hot_rows))).cast("int").alias("_fan")))
+
+
+def _bucket(cols: list[Column], fan: Column) -> Column:
+    """Deterministic bucket in [0, fan) from a hash of ``cols``; 0 when no fan."""
+    return F.when(fan.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*cols), fan).cast("int"))
+
+
+def _replicas(fan: Column) -> Column:
+    """0 .. fan-1 (one replica per bucket of the other side); [0] when no fan."""
+    return F.explode(F.when(fan.isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), fan - 1)))
+
+
 def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                    hot_rows: int | None = None, max_hot_keys: int | None = None,
                    max_fanout: int | None = None, counted: DataFrame | None = None,
                    counted_key: str | None = None,
-                   salt_cols: list[str] | None = None) -> DataFrame:
+                   salt_cols: list[str] | None = None,
+                   left_counted: DataFrame | None = None, left_counted_key: str | None = None,
+                   left_salt_cols: list[str] | None = None) -> DataFrame:
     """``left LEFT JOIN right ON left_key = right_key`` that stays balanced when
-    one key holds a large share of ``right`` (the side AQE cannot split in a
-    left outer join).
+    one key holds a large share of either side.
 
-    1. Per-key row counts of ``right`` (partial aggregation, so a hot key is
+    1. Per-key row counts of each side (partial aggregation, so a hot key is
        pre-combined map-side); keys with >= ``hot_rows`` rows, the largest
        ``max_hot_keys`` of them, get a fan-out ceil(rows / hot_rows) capped at
        ``max_fanout``. Keys beyond that LIMIT stay unsalted: nothing is dropped.
-    2. That bounded table is broadcast to tag both sides map-side. A hot
-       key's right rows get a deterministic salt (hash of the row) in
-       [0, fan-out); its left rows are replicated once per salt; every other
-       row gets salt 0.
-    3. One shuffle join on (key, salt). A replica whose salt bucket is
-       empty yields a null-extended row although the key has matches; those
-       rows (hot key, no right marker) are removed, which makes the result
-       exactly the plain left join.
-
-    ``counted`` (with ``counted_key``) may name the relation whose per-key
-    rows make ``right`` hot when ``right`` is itself a product of several
-    joins: counting that one input finds the same hot keys without running
-    the whole right side twice. Exactness does not depend on this choice: a
-    key counted hot always has right rows (every row of ``counted`` yields at
-    least one row of ``right``), which is all step 3 needs.
-
-    The salt hashes ``salt_cols`` (default: every right column); name a
-    high-cardinality column such as the right side's own row key, because
-    rows with equal hashed values share a salt bucket.
+    2. Those bounded tables are broadcast to tag both sides map-side. A row of
+       a key hot on its own side gets a deterministic bucket (hash of the row)
+       in [0, own fan-out); it is replicated once per bucket of the other
+       side's fan-out. A (left, right) pair of one key therefore meets in
+       exactly one (left bucket, right bucket) cell.
+    3. One shuffle join on (key, left bucket, right bucket). A left replica
+       whose right bucket is empty yields a null-extended row although the key
+       has right rows (it is hot on the right); those rows are removed, which
+       makes the result exactly the plain left join.
+
+    ``counted`` / ``left_counted`` (with their keys) may name the input whose
+    per-key rows make a side hot when that side is itself a product of
+    several joins: counting that one input finds the same hot keys without
+    running the side twice. Exactness does not depend on this choice: a key
+    counted hot on the right always has right rows (every row of ``counted``
+    yields at least one row of ``right``), which is all step 3 needs.
+
+    The buckets hash ``salt_cols`` / ``left_salt_cols`` (default: every column
+    of that side); name a high-cardinality column such as the side's own row
+    key, because rows with equal hashed values share a bucket.
 
     Unset limits come from the session settings ``spark.stagelight.skewJoin.hotKeyRows``,
     ``.maxHotKeys`` and ``.maxFanout`` (defaults above).
@@ -105,33 +132,32 @@ def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     hot_rows = _setting(right, "hotKeyRows", hot_rows, HOT_KEY_ROWS)
     max_hot_keys = _setting(right, "maxHotKeys", max_hot_keys, MAX_HOT_KEYS)
     max_fanout = _setting(right, "maxFanout", max_fanout, MAX_FANOUT)
-    counted = right if counted is None else counted
-    counted_key = right_key if counted_key is None else counted_key
-    hot = (counted.where(F.col(counted_key).isNotNull())
-                .groupBy(F.col(counted_key).alias("_hk"))
-                .agg(F.count(F.lit(1)).alias("_rows"))
-                .where(F.col("_rows") >= F.lit(hot_rows))
-                .orderBy(F.desc("_rows"), F.asc("_hk"))
-                .limit(max_hot_keys)
-                .select("_hk", F.least(F.lit(max_fanout),
-                                       F.ceil(F.col("_rows") / F.lit(hot_rows))).cast("int").alias("_fan")))
-    hot = F.broadcast(hot)
-
-    r_cols = right.columns
-    r_tagged = (right.join(hot, right[right_key] == hot["_hk"], "left")
+    limits = (hot_rows, max_hot_keys, max_fanout)
+    hot_r = F.broadcast(_hot_keys(right if counted is None else counted,
+                                  right_key if counted_key is None else counted_key, *limits)
+                        .select(F.col("_hk").alias("_rhk"), F.col("_fan").alias("_rf")))
+    hot_l = F.broadcast(_hot_keys(left if left_counted is None else left_counted,
+                                  left_key if left_counted_key is None else left_counted_key, *limits)
+                        .select(F.col("_hk").alias("_lhk"), F.col("_fan").alias("_lf")))
+
+    r_cols, l_cols = right.columns, left.columns
+    r_tagged = (right.join(hot_r, right[right_key] == hot_r["_rhk"], "left")
+                     .join(hot_l, right[right_key] == hot_l["_lhk"], "left")
                      .select(*[right[f"`{c}`"] for c in r_cols], F.lit(True).alias("_hit"),
-                             F.when(F.col("_fan").isNull(), F.lit(0))
-                              .otherwise(F.pmod(F.xxhash64(*[right[f"`{c}`"] for c in (salt_cols or r_cols)]),
-                                                F.col("_fan")).cast("int")).alias("_rsalt")))
-    l_cols = left.columns
-    l_tagged = (left.join(hot, left[left_key] == hot["_hk"], "left")
-                    .select(*[left[f"`{c}`"] for c in l_cols], F.col("_fan").alias("_lfan"),
-                            F.explode(F.when(F.col("_fan").isNull(), F.array(F.lit(0)))
-                                       .otherwise(F.sequence(F.lit(0), F.col("_fan") - 1))).alias("_lsalt")))
+                             _bucket([right[f"`{c}`"] for c in (salt_cols or r_cols)],
+                                     F.col("_rf")).alias("_rbucket"),
+                             _replicas(F.col("_lf")).alias("_rrep")))
+    l_tagged = (left.join(hot_r, left[left_key] == hot_r["_rhk"], "left")
+                    .join(hot_l, left[left_key] == hot_l["_lhk"], "left")
+                    .select(*[left[f"`{c}`"] for c in l_cols], F.col("_rf").alias("_lfan"),
+                            _bucket([left[f"`{c}`"] for c in (left_salt_cols or l_cols)],
+                                    F.col("_lf")).alias("_lbucket"),
+                            _replicas(F.col("_rf")).alias("_lrep")))
     joined = l_tagged.join(r_tagged, (l_tagged[left_key] == r_tagged[right_key])
-                           & (l_tagged["_lsalt"] == r_tagged["_rsalt"]), "left")
+                           & (l_tagged["_lbucket"] == r_tagged["_rrep"])
+                           & (l_tagged["_lrep"] == r_tagged["_rbucket"]), "left")
     spurious = F.col("_lfan").isNotNull() & F.col("_hit").isNull()
-    return joined.where(~spurious).drop("_lfan", "_lsalt", "_hit", "_rsalt")
+    return joined.where(~spurious).drop("_lfan", "_lbucket", "_lrep", "_hit", "_rbucket", "_rrep")
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:

@@ -93,8 +93,8 @@ def demographics(r: Roles) -> DataFrame:
     # (Course_id rides along only to give the salt a distinct value per row.)
     enrol = r.course_student.select(F.col("Student_id").alias("_ek"), "Course_Type_id",
                                     F.col("Course_id").alias("_eid"))
-    joined = skew_left_join(students, enrol, "StudentID", "_ek",
-                            salt_cols=["_eid"]).drop("_ek", "_eid")
+    joined = skew_left_join(students, enrol, "StudentID", "_ek", salt_cols=["_eid"],
+                            left_counted=sb, left_counted_key="StudentID").drop("_ek", "_eid")
     return (joined.join(course_type_dim(spark), "Course_Type_id", "left")
                   .select("StudentID", "Age",
                           F.coalesce("Gender", F.lit("Unknown")).alias("Gender"),
@@ -138,7 +138,8 @@ def teacher_performance(r: Roles) -> DataFrame:
                      .select("Teacher_ID", "_name", "Course_id", "Course_Date")
     # One course may hold a large share of the enrolments: salted join.
     joined = skew_left_join(with_teacher, per_course, "Course_id", "_ck",
-                            counted=cs, counted_key="Course_id")
+                            counted=cs, counted_key="Course_id",
+                            left_counted=ch, left_counted_key="Course_id")
     return joined.select(
         "Teacher_ID",
         F.coalesce("_name", F.lit("Unknown")).alias("Teacher_Name"),

@@ -51,3 +51,21 @@ def test_broadcast_if_bounded(spark):
                             F.col("id") == F.col("x"))
     assert broadcast_if_bounded(big, 100) is big
     assert plan_small.count() == 10
+
+
+def test_skew_left_join_hot_on_both_sides(spark):
+    left = spark.createDataFrame([(1, f"l{i}") for i in range(30)] + [(2, "b"), (3, "c"), (None, "n")],
+                                 "k bigint, lv string")
+    right = spark.createDataFrame([(1, f"r{i}") for i in range(25)] + [(2, "y"), (5, "z")],
+                                  "rk bigint, rv string")
+    expect = left.join(right, left["k"] == right["rk"], "left").select("k", "lv", "rk", "rv")
+    for hot_rows, fanout in ((3, 4), (5, 16), (1, 2)):
+        got = skew_left_join(left, right, "k", "rk", hot_rows=hot_rows, max_fanout=fanout)
+        assert _sorted(got.select("k", "lv", "rk", "rv")) == _sorted(expect), (hot_rows, fanout)
+    # hot only on the preserved side, with a key that has no right rows
+    left2 = spark.createDataFrame([(7, f"l{i}") for i in range(20)] + [(8, f"m{i}") for i in range(20)],
+                                  "k bigint, lv string")
+    right2 = spark.createDataFrame([(7, "a"), (7, "b")], "rk bigint, rv string")
+    expect2 = left2.join(right2, left2["k"] == right2["rk"], "left").select("k", "lv", "rk", "rv")
+    got2 = skew_left_join(left2, right2, "k", "rk", hot_rows=4, max_fanout=8)
+    assert _sorted(got2.select("k", "lv", "rk", "rv")) == _sorted(expect2)

@@ -32,7 +32,7 @@ from stagelight.sources.roles import Roles  # noqa: E402
 def skewed_roles(spark, sf_dir: str, frame: str) -> Roles:
     """A third of the enrolments moved onto one student (demographics) or onto
     one course (teacher frame); for ``base``, a third of the transactions moved
-    onto one student (the preserved side, which AQE's skew join splits)."""
+    onto one student (the preserved side of its join)."""
     base = Roles.from_tpch(spark, sf_dir)
     parts = base.as_dict()
     if frame == "base":
@@ -106,5 +106,5 @@ if __name__ == "__main__":
     for frame in ("demographics", "teacher_performance"):
         run(sf, 10 ** 12, "unsalted", frame)
         run(sf, hot, "salted", frame)
-    run(sf, 10 ** 12, "aqe-skew-off", "base", aqe_skew=False)
-    run(sf, 10 ** 12, "aqe-skew-on", "base", aqe_skew=True)
+    run(sf, 10 ** 12, "unsalted", "base")
+    run(sf, hot, "salted", "base")

@@ -87,4 +87,4 @@ def test_cluster_plans_keep_the_invariants(cluster_plans):
             assert node not in text, f"{key} has {node}"
     # the transaction table is shuffled once, by (student, salt), for base
     base = cluster_plans["load_transactions"]
-    assert "SortMergeJoin" in base and "_lsalt" in base
+    assert "SortMergeJoin" in base and "_lbucket" in base

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES,
     (or one row), with the texts as UTF-8 bytes; null is empty."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        lengths = [n or 0 for n in pa.compute.binary_length(texts).to_pylist()]
+        lengths = [n or 0 for n in pc.binary_length(texts).to_pylist()]
         at, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > size:

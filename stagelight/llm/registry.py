@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import digest_index
+from . import digest_index, toxicity
 
 QUERIES = {
+    "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
     "op10_exact_dedup": digest_index.op10_exact_dedup,
 }
 ORACLE_SQL = {

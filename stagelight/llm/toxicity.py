@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def _shard(state: Broadcast, number: int) -> Callable[[pa.Table], pa.Table]:
+    """One round over one shard's rows, from the common state, in a fixed random order."""
+    size = (1 << BITS) + 1
+
+    def run(table: pa.Table) -> pa.Table:
+        at, z0, n0 = state.value
+        model = Ftrl(np.zeros(size), np.zeros(size))
+        model.z[at], model.n[at] = z0, n0
+        by_id = np.lexsort((table["label"].to_numpy(), table["doc_id"].to_numpy()))
+        label, slots = table["label"].to_pylist(), table["slots"].to_pylist()
+        for i in by_id[np.random.default_rng(number).permutation(len(by_id))]:
+            model.learn(np.frombuffer(slots[i], "<i4"), label[i])
+        held = np.flatnonzero(model.n)
+        return pa.table({"slots": [held.astype("<i4").tobytes()], "z": [model.z[held].astype("<f8").tobytes()],
+                         "n": [model.n[held].astype("<f8").tobytes()]})
+
+    return run
+
+
 def train(rows: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """Learns from (doc_id, text, label); returns the slots and their weights."""
     spark = rows.sparkSession
@@ -113,21 +133,8 @@ def train(rows: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
     for number in range(ROUNDS):
         state = spark.sparkContext.broadcast((np.flatnonzero(n), z[n > 0], n[n > 0]))
 
-        def shard(table: pa.Table, state=state, number=number) -> pa.Table:
-            at, z0, n0 = state.value
-            model = Ftrl(np.zeros(size), np.zeros(size))
-            model.z[at], model.n[at] = z0, n0
-            by_id = np.lexsort((table["label"].to_numpy(), table["doc_id"].to_numpy()))
-            order = by_id[np.random.default_rng(number).permutation(len(by_id))]
-            label, slots = table["label"].to_pylist(), table["slots"].to_pylist()
-            for i in order:
-                model.learn(np.frombuffer(slots[i], "<i4"), label[i])
-            held = np.flatnonzero(model.n)
-            return pa.table({"slots": [held.astype("<i4").tobytes()], "z": [model.z[held].astype("<f8").tobytes()],
-                             "n": [model.n[held].astype("<f8").tobytes()]})
-
         # SHARDS rows of at most 2 ** BITS slots each: bounded, whatever the input
-        states = made.groupBy("shard").applyInArrow(shard, "slots binary, z binary, n binary").collect()
+        states = made.groupBy("shard").applyInArrow(_shard(state, number), "slots binary, z binary, n binary").collect()
         state.unpersist()
         z, n, seen = np.zeros(size), np.zeros(size), np.zeros(size)
         for s in states:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import digest_index, toxicity
+from . import decontaminate, digest_index, toxicity
 
 QUERIES = {
     "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
+    "op9_decontaminate_index": decontaminate.op9_decontaminate_index,
     "op10_exact_dedup": digest_index.op10_exact_dedup,
 }
 ORACLE_SQL = {
+    "op9_decontaminate_index": decontaminate.ORACLE_SQL,
     "op10_exact_dedup": digest_index.ORACLE_SQL,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, digest_index, simple8b, toxicity
+from . import decontaminate, digest_index, packing, simple8b, toxicity
 
 QUERIES = {
+    "op2_packing_nnls": packing.op2_packing_nnls,
     "op3_simple8b_ids": simple8b.op3_simple8b_ids,
     "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
     "op9_decontaminate_index": decontaminate.op9_decontaminate_index,

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from . import decontaminate, digest_index, packing, simple8b, toxicity
+from collections.abc import Callable
+from functools import wraps
 
-QUERIES = {
+from pyspark.sql import DataFrame, SparkSession
+
+from . import decontaminate, digest_index, ngram_join, packing, simple8b, toxicity
+from .common import ship
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with this package given to the tasks first."""
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {name: shipped(query) for name, query in {
     "op2_packing_nnls": packing.op2_packing_nnls,
     "op3_simple8b_ids": simple8b.op3_simple8b_ids,
+    "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
     "op9_decontaminate_index": decontaminate.op9_decontaminate_index,
     "op10_exact_dedup": digest_index.op10_exact_dedup,
-}
+}.items()}
 ORACLE_SQL = {
     "op9_decontaminate_index": decontaminate.ORACLE_SQL,
     "op10_exact_dedup": digest_index.ORACLE_SQL,

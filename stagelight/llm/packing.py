@@ -141,9 +141,9 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, window: int, folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = encoder(vocabulary), np.array([end_id], np.uint32)
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, as_text=True):
             rows = []
-            for own in known.encode([t.decode() for t in texts]):
+            for own in known.encode(texts):
                 ids = np.append(np.frombuffer(own, "<u4"), end)
                 whole = len(ids) // window
                 tail = ids[whole * window:]

@@ -251,8 +251,8 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, file
         fs, base = filesystem(folder)
         fs.create_dir(f"{base}/ids", recursive=True)
         waiting: dict[int, list] = {}
-        for part, texts in text_slices(batches):
-            ids = known.encode([t.decode() for t in texts])
+        for part, texts in text_slices(batches, as_text=True):
+            ids = known.encode(texts)
             numbers = part.column(part.schema.get_field_index("part")).to_pylist()
             for number, doc_id, own in zip(numbers, part.column(part.schema.get_field_index("doc_id")).to_pylist(), ids):
                 if number not in opened:  # a name of its own for each attempt: what is listed is whole

@@ -12,8 +12,12 @@ import array
 import gc
 import os
 
-#: Units a worker remembers: two generations of this many, about 120 MB each.
-CACHE_UNITS = 500_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Units a worker remembers: two generations of this many, about 200 MB each.
+CACHE_UNITS = 800_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -38,12 +42,22 @@ def odd_space(text: str) -> bool:
             or not text.replace("\n", " ").isprintable())
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: visible
+    Latin-1 characters stand for themselves, the others follow from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.letters = byte_letters()
+        self.marks = dict(zip(".,", self._ids([".", ","])))
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -51,26 +65,40 @@ class Encoder:
         return [array.array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, word: str) -> bytes:
+        """Ids of a word of letters, with or without a space before: the
+        pre-tokenizer keeps it whole, so the model is asked directly."""
+        if word.isascii():
+            word = "\u0120" + word[1:] if word[0] == " " else word
+        else:
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
     def _learn(self, units: set[str]) -> None:
         """Puts the ids of units that ``new`` lacks into it."""
         if len(self.new) + len(units) > CACHE_UNITS:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        ended = {u for u in units if u[-1:] in (".", ",") and u[-2:-1].isalpha()}  # a letter, then a mark
-        units = units - ended
-        units.update(u[:-1] for u in ended)
-        units.update(u[-1] for u in ended)
-        fresh = []
+        new, old, word_ids = self.new, self.old, self._word_ids
+        rest = []
         for u in units:
-            if u not in new:
-                known = old.get(u)
-                if known is None:
-                    fresh.append(u)
+            known = old.get(u)
+            if known is None:
+                if u.lstrip(" ").isalpha() and u[:2] != "  ":
+                    known = word_ids(u)
+                elif u[-1:] in (".", ",") and u[-2:-1].isalpha():  # a letter, then a mark: two units
+                    stem = u[:-1]
+                    known = new.get(stem) or old.get(stem)
+                    if known is None:
+                        if not (stem[1:] if stem[0] == " " else stem).isalpha():
+                            rest.append(u)
+                            continue
+                        known = new[stem] = word_ids(stem)
+                    known += self.marks[u[-1]]
                 else:
-                    new[u] = known
-        new.update(zip(fresh, self._ids(fresh)))
-        for u in ended:
-            new[u] = new[u[:-1]] + new[u[-1]]
+                    rest.append(u)
+                    continue
+            new[u] = known
+        new.update(zip(rest, self._ids(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as native (little-endian) unsigned 32-bit integers."""
@@ -84,33 +112,26 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if odd_space(t)]
+        odd, even = [], []
+        for i, t in enumerate(texts):
+            (odd if odd_space(t) else even).append(i)
         for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
             out[i] = ids
-        skip = set(odd)
-        group: list[tuple[int, list, list[int], list[str]]] = []
-        held = 0
-        for i, t in enumerate(texts):
-            if i in skip:
-                continue
-            units = t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-            got = list(map(self.new.get, units))
-            if None in got:
-                lack = [k for k, ids in enumerate(got) if ids is None]
-                group.append((i, got, lack, [units[k] for k in lack]))
-                held += len(lack)
-                if held > 20_000:
-                    self._finish(group, out)
-                    group, held = [], 0
-            else:
-                out[i] = b"".join(got)
-        self._finish(group, out)
+        if not even:
+            return out
+        # units as an Arrow dictionary: each distinct unit is looked up once, and
+        # the ids of all are gathered by one take
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(
+            pa.array([texts[i] for i in even], pa.large_string()), " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
+        units = cut.flatten().dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        self._learn({u for u in distinct if u not in self.new})
+        new, old = self.new, self.old
+        known = [ids if (ids := new.get(u)) is not None else old[u] for u in distinct]
+        ids = pa.array(known, pa.large_binary()).take(units.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        places = ends[cut.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for i, a, b in zip(even, places, places[1:]):
+            out[i] = bytes(data[a:b])
         return out
-
-    def _finish(self, group: list[tuple[int, list, list[int], list[str]]], out: list[bytes]) -> None:
-        self._learn({u for *_, units in group for u in units if u not in self.new})
-        get = self.new.__getitem__
-        for i, got, lack, units in group:
-            for k, u in zip(lack, units):
-                got[k] = get(u)
-            out[i] = b"".join(got)

@@ -8,7 +8,9 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that a Python task handles at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the tasks this package, once for each application, as
+    ``spark-submit --py-files`` would; the workers need not find it themselves."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="stagelight-py-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` written once as Parquet below ``folder`` and read again: later steps
     neither recompute it nor depend on the executors that made it."""
@@ -68,25 +89,27 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES,
-                column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+                column: str = "text", as_text: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Record batches cut so that each holds about ``size`` bytes of text at most
-    (or one row), with the texts as UTF-8 bytes; null is empty."""
+    (or one row), with the texts as UTF-8 bytes, or as strings; null is empty."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         lengths = [n or 0 for n in pc.binary_length(texts).to_pylist()]
         at, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > size:
-                yield _cut(batch, column, at, i)
+                yield _cut(batch, column, at, i, as_text)
                 at, held = i, 0
             held += n
         if at < batch.num_rows:
-            yield _cut(batch, column, at, batch.num_rows)
+            yield _cut(batch, column, at, batch.num_rows, as_text)
 
 
-def _cut(batch: pa.RecordBatch, column: str, at: int, to: int) -> tuple[pa.RecordBatch, list[bytes]]:
+def _cut(batch: pa.RecordBatch, column: str, at: int, to: int, as_text: bool) -> tuple[pa.RecordBatch, list]:
     part = batch.slice(at, to - at)
     texts = part.column(part.schema.get_field_index(column))
+    if as_text:
+        return part, [t or "" for t in texts.to_pylist()]
     texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
     return part, [t or b"" for t in texts.to_pylist()]
 

@@ -7,7 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, digest_index, ngram_join, packing, simple8b, toxicity
+from . import (decontaminate, digest_index, language_model, ngram_join, packing, pii, quality, simple8b,
+               toxicity, warc)
 from .common import ship
 
 
@@ -21,14 +22,19 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES = {name: shipped(query) for name, query in {
+    "op1_pii_weak_supervision": pii.op1_pii_weak_supervision,
     "op2_packing_nnls": packing.op2_packing_nnls,
     "op3_simple8b_ids": simple8b.op3_simple8b_ids,
+    "op4_backoff_automaton": language_model.op4_backoff_automaton,
+    "op5_quality_compression": quality.op5_quality_compression,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+    "op7_warc_bundles": warc.op7_warc_bundles,
     "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
     "op9_decontaminate_index": decontaminate.op9_decontaminate_index,
     "op10_exact_dedup": digest_index.op10_exact_dedup,
 }.items()}
 ORACLE_SQL = {
+    "op7_warc_bundles": warc.ORACLE_SQL,
     "op9_decontaminate_index": decontaminate.ORACLE_SQL,
     "op10_exact_dedup": digest_index.ORACLE_SQL,
 }

@@ -16,10 +16,12 @@ what keeps the product small loses no link:
 4. Each column's classes first meet the one among them most of whose columns are
    shared; verified overlaps link, and classes that link to the same one need
    not meet again.
-5. What remains: short columns give their pairs; the classes of long columns are
-   cut into blocks, and each pair of blocks that shares a column is one product,
-   in which overlap counts accumulate over slices of columns and pairs below the
-   bound of their sizes are dropped. Only edges that join components leave it.
+5. What remains: pairs accumulate the number of columns of step 3 that they have
+   in common, and those below the bound that their sizes demand are dropped.
+   Short columns give their pairs one by one. The classes of long columns are cut
+   into blocks, and each pair of blocks that shares a column is one product, first
+   over the columns of step 3, then, for what passes the bound, over whole sets.
+   Only edges that join components leave it. Blocks lie in the shared folder.
 
 So a group of N near copies costs N pairs rather than their square. No pair table
 holds equal texts or a whole group.
@@ -37,7 +39,10 @@ Defined results
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, partitions, shared_dir, text_slices, written
+from .common import attach, filesystem, partitions, shared_dir, text_slices, written
 from .components import components
 
 SHINGLE = 5
@@ -206,6 +211,16 @@ def sizes_may_link(n: str, m: str):
     return 100 * F.least(n, m) >= PER_CENT * F.greatest(n, m)
 
 
+def least_common(n, m, reach_n, reach_m, low, high, up):
+    """How many columns of step 3 two linking sets of n and m shingles have in
+    common at least. With an overlap of at least c, a set lacks n - c at most; of
+    the common ones, in the order of their hash, the first ``reach - (n - c)``
+    are among its columns (``reach``: its columns and what it is known to have
+    unshared before them). One at least, by the prefix filter."""
+    c = up(PER_CENT * (n + m) / (100.0 + PER_CENT))
+    return high(low(reach_n - (n - c), reach_m - (m - c)), 1)
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -259,30 +274,66 @@ def product(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _store(folder: str):
+    """Writes a block's members in two files: their columns, and their sets."""
+    def run(table: pa.Table) -> pa.Table:
+        fs, base = filesystem(folder)
+        fs.create_dir(f"{base}/block_files", recursive=True)
+        name = f"block_files/{uuid.uuid4().hex}"
+        small = {c: table[c].to_numpy() for c in ("cls", "label", "n", "reach")}
+        small["columns"] = [np.array(c, np.int64).view(np.uint64) for c in table["columns"].to_pylist()]
+        for kind, data in (("columns", small), ("sets", [np.frombuffer(h, "<u8") for h in table["hashes"].to_pylist()])):
+            with fs.open_output_stream(f"{base}/{name}.{kind}", compression=None) as out:
+                out.write(pickle.dumps(data))
+        return pa.table({"block": table["block"].slice(0, 1), "name": pa.array([name])})
+    return run
+
+
+def _products(folder: str):
     """Edges between components, from pairs of blocks."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            x, y = ([np.frombuffer(m["hashes"], "<u8") for m in row[side]] for side in ("x", "y"))
-            n, m = (np.array([len(s) for s in side], np.float64) for side in (x, y))
-            hits = np.argwhere(linked(product(x, y).astype(np.float64), n[:, None], m[None, :]))
-            root = {}
-
-            def find(k):
-                while root.setdefault(k, k) != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            out = []
-            for i, j in hits.tolist():
-                p, q = row["x"][i], row["y"][j]
-                a, b = find(p["label"]), find(q["label"])
-                if a != b:
-                    root[a] = b
-                    out.append((p["cls"], q["cls"]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(folder)
+
+        @lru_cache(4)
+        def read(name: str):
+            with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
+                return pickle.loads(f.read())
+
+        for batch in batches:
+            for first, second in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out = list(_edges(read, first, second))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+    return run
+
+
+def _edges(read, first: str, second: str) -> Iterator[tuple[int, int]]:
+    x, y = read(f"{first}.columns"), read(f"{second}.columns")
+    n, m = x["n"].astype(np.int64)[:, None], y["n"].astype(np.int64)[None, :]
+    bound = least_common(n, m, x["reach"].astype(np.int64)[:, None], y["reach"].astype(np.int64)[None, :],
+                         np.minimum, np.maximum, np.ceil)
+    maybe = ((product(x["columns"], y["columns"]) >= bound) & (x["label"][:, None] != y["label"][None, :])
+             & (100 * np.minimum(n, m) >= PER_CENT * np.maximum(n, m)))
+    rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    if not len(rows):
+        return
+    xs, ys = read(f"{first}.sets"), read(f"{second}.sets")
+    overlap = product([xs[i] for i in rows], [ys[j] for j in columns]).astype(np.int64)
+    hits = maybe[np.ix_(rows, columns)] & linked(overlap, n[rows], m[:, columns])
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while root.setdefault(k, k) != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for i, j in np.argwhere(hits):
+        i, j = rows[i], columns[j]
+        a, b = find(int(x["label"][i])), find(int(y["label"][j]))
+        if a != b:
+            root[a] = b
+            yield int(x["cls"][i]), int(y["cls"][j])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,9 +362,11 @@ def links(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
               .agg(F.sort_array(F.collect_set("h")).alias("hs"))
               .withColumn("lack", lack).withColumn("unshared", F.col("counted") - F.size("hs"))
               .where("counted > lack AND unshared <= lack"))
-    entries = shared.select("cls", "n", (F.size("hs") / F.col("counted")).alias("share"),
+    # reach: the columns used, and the unshared ones
+    entries = shared.select("cls", "n", F.least(F.col("lack") + 1, "counted").alias("reach"), (F.size("hs") / F.col("counted")).alias("share"),
                             F.explode(F.slice("hs", 1, F.col("lack") + 1 - F.col("unshared"))).alias("h"))
-    whole = counts.where(F.col("kind") == WHOLE).select("cls", "n", F.lit(0.0).alias("share"), "h").distinct()
+    whole = counts.where(F.col("kind") == WHOLE).select(
+        "cls", "n", (lack + 1).alias("reach"), F.lit(0.0).alias("share"), "h").distinct()
     entries = written(entries.unionByName(whole), folder, "entries")
 
     columns = written(entries.groupBy("h").agg(
@@ -337,19 +390,28 @@ def links(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
                                             F.count("*").alias("w")).where("l1 <> l2").select("h", "w")
     entries = written(attach(entries, written(open_columns, folder, "open"), "h", "w", entries.count()), folder, "rest")
 
-    short = entries.where((F.col("k") <= SHORT) & (F.col("cls") != F.col("lead.cls"))).select("h", "cls", "n", "label")
-    other = short.select("h", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    more = (short.join(other, "h").where((F.col("cls") < F.col("b")) & (F.col("label") != F.col("other"))
-                                         & sizes_may_link("n", "m")).select(F.col("cls").alias("a"), "b").distinct())
+    short = entries.where((F.col("k") <= SHORT) & (F.col("cls") != F.col("lead.cls"))).select("h", "cls", "n", "label", "reach")
+    other = short.select("h", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"),
+                         F.col("reach").alias("reach_b"))
+    met = (short.join(other, "h").where((F.col("cls") < F.col("b")) & (F.col("label") != F.col("other"))
+                                        & sizes_may_link("n", "m"))
+           .groupBy(F.col("cls").alias("a"), "b", "n", "m", "reach", "reach_b").agg(F.count("*").alias("common")))
+    # all columns of a pair that has not met are here, or it shares a long one too and is in the blocks
+    bound = least_common(F.col("n"), F.col("m"), F.col("reach"), F.col("reach_b"), F.least,
+                         lambda v, least: F.greatest(v, F.lit(least)), F.ceil)
+    more = met.where(F.col("common") >= bound).select("a", "b")
     found = found.unionByName(written(verified(written(more, folder, "more"), sets), folder, "found_short"))
-    return documents, found.unionByName(_blocked(entries.where(F.col("k") > SHORT), sets, folder))
+    return documents, found.unionByName(_blocked(entries, sets, folder))
 
 
 def _blocked(entries: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Edges among the classes of long columns, by products of blocks. Classes of
     one label share blocks if they are many, others the blocks of their smallest
     long column, so that classes that share columns share blocks."""
-    members = written(entries.groupBy("cls", "n", "label").agg(F.min("h").alias("least")), folder, "members")
+    long = F.col("k") > SHORT
+    members = written(entries.groupBy("cls", "n", "label", "reach").agg(
+        F.min(F.when(long, F.col("h"))).alias("least"), F.collect_list("h").alias("columns")
+    ).where("least IS NOT NULL"), folder, "members")
     many = members.groupBy("label").agg(F.count("*").alias("w"))
     members = written(attach(members, many, "label", "w", members.count()).withColumn(
         "of", F.when(F.col("w") >= BLOCK_ROWS // 4, F.struct(F.lit(True).alias("one"), F.col("label").alias("key")))
@@ -357,21 +419,23 @@ def _blocked(entries: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     sizes = members.groupBy("of").agg(F.count("*").alias("w"), F.ceil(F.greatest(
         F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ENTRIES)).alias("blocks"))
     dealt = attach(members, sizes, "of", "w", members.count()).select(
-        "cls", "label", F.xxhash64("of", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"),
+        "cls", "label", "n", "reach", "columns",
+        F.xxhash64("of", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"),
         F.when(F.col("of.one"), F.col("label")).alias("one"))
     dealt = written(dealt, folder, "dealt")
-    blocks = written(dealt.join(sets, "cls").groupBy("block").agg(
-        F.collect_list(F.struct("cls", "label", "hashes")).alias("members")), folder, "blocks")
-    at = written(entries.select("h", "cls").join(dealt.select("cls", "block", "one"), "cls")
+    blocks = written(dealt.join(sets, "cls").groupBy("block").applyInArrow(_store(folder), "block bigint, name string"),
+                     folder, "blocks")
+    at = written(entries.where(long).select("h", "cls").join(dealt.select("cls", "block", "one"), "cls")
                  .select("h", "block", "one").distinct(), folder, "at")
     other = at.select("h", F.col("block").alias("other"), F.col("one").alias("other_one"))
     pairs = at.join(other, "h").where((F.col("block") <= F.col("other"))
                                       & ~F.coalesce(F.col("one") == F.col("other_one"), F.lit(False)))
-    pairs = written(pairs.select("block", "other").distinct(), folder, "block_pairs")
-    x = blocks.select("block", F.col("members").alias("x"))
-    y = blocks.select(F.col("block").alias("other"), F.col("members").alias("y"))
-    return written(pairs.join(x, "block").join(y, "other").select("x", "y").repartition(partitions(entries.sparkSession))
-                   .mapInArrow(_products, "a bigint, b bigint"), folder, "found_blocks")
+    x = blocks.select("block", F.col("name").alias("x"))
+    y = blocks.select(F.col("block").alias("other"), F.col("name").alias("y"))
+    pairs = written(pairs.select("block", "other").distinct().join(x, "block").join(y, "other").select("x", "y"),
+                    folder, "block_pairs")
+    return written(pairs.repartition(4 * partitions(entries.sparkSession)).sortWithinPartitions("x")
+                   .mapInArrow(_products(folder), "a bigint, b bigint"), folder, "found_blocks")
 
 
 def join(docs: DataFrame) -> DataFrame:

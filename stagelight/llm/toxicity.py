@@ -10,7 +10,7 @@ the model is a short list of (slot, weight) that is safe to broadcast: at most
 Training uses at most ``TRAIN_ROWS`` labelled rows (those with the smallest id
 hash; a documented bound on the classifier's sample). Their features are dealt
 to ``SHARDS`` tasks; in each round every shard continues from the common state,
-and the states are averaged. Scoring reads every whole text.
+and the shards' changes of a slot are averaged. Scoring reads every whole text.
 
 Defined results
 * null and empty texts have no feature: their score is the model's base rate.
@@ -42,6 +42,8 @@ TRAIN_ROWS = 24_000
 SHARDS = 6
 ROUNDS = 6
 ALPHA, BETA, L1, L2 = 5.0, 1.0, 2.5, 0.1
+#: A shard reports the slots whose z it moved by this much in a round.
+LEAST_CHANGE = 0.01
 THRESHOLD = 0.3
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -104,21 +106,37 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def _shard(state: Broadcast, number: int) -> Callable[[pa.Table], pa.Table]:
-    """One round over one shard's rows, from the common state, in a fixed random order."""
+STATE_SCHEMA = "slots binary, z binary, n binary"
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """A shard's rows in one, in the order of id and label."""
+    order = np.lexsort((table["label"].to_numpy(), table["doc_id"].to_numpy()))
+    slots, label = table["slots"].to_pylist(), table["label"].to_numpy()[order]
+    return pa.table({"labels": [label.astype("<i4").tobytes()], "slots": [b"".join([slots[i] for i in order])],
+                     "sizes": [np.array([len(slots[i]) // 4 for i in order], "<i4").tobytes()]})
+
+
+def _round(state: Broadcast, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One round over each shard, from the common state, in a fixed random order."""
     size = (1 << BITS) + 1
 
-    def run(table: pa.Table) -> pa.Table:
-        at, z0, n0 = state.value
-        model = Ftrl(np.zeros(size), np.zeros(size))
-        model.z[at], model.n[at] = z0, n0
-        by_id = np.lexsort((table["label"].to_numpy(), table["doc_id"].to_numpy()))
-        label, slots = table["label"].to_pylist(), table["slots"].to_pylist()
-        for i in by_id[np.random.default_rng(number).permutation(len(by_id))]:
-            model.learn(np.frombuffer(slots[i], "<i4"), label[i])
-        held = np.flatnonzero(model.n)
-        return pa.table({"slots": [held.astype("<i4").tobytes()], "z": [model.z[held].astype("<f8").tobytes()],
-                         "n": [model.n[held].astype("<f8").tobytes()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at, z0, n0 = state.value
+                model = Ftrl(np.zeros(size), np.zeros(size))
+                model.z[at], model.n[at] = z0, n0
+                labels = np.frombuffer(row["labels"], "<i4")
+                slots = np.split(np.frombuffer(row["slots"], "<i4"), np.cumsum(np.frombuffer(row["sizes"], "<i4"))[:-1])
+                for i in np.random.default_rng(number).permutation(len(labels)):
+                    model.learn(slots[i], int(labels[i]))
+                model.z[at] -= z0
+                model.n[at] -= n0
+                moved = np.flatnonzero(np.abs(model.z) >= LEAST_CHANGE)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([moved.astype("<i4").tobytes()]), pa.array([model.z[moved].astype("<f4").tobytes()]),
+                     pa.array([model.n[moved].astype("<f4").tobytes()])], ["slots", "z", "n"])
 
     return run
 
@@ -126,51 +144,74 @@ def _shard(state: Broadcast, number: int) -> Callable[[pa.Table], pa.Table]:
 def train(rows: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """Learns from (doc_id, text, label); returns the slots and their weights."""
     spark = rows.sparkSession
-    made = written(rows.mapInArrow(_feature_rows, "doc_id bigint, label int, slots binary")
-                   .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))), folder, "features")
+    shards = written(rows.mapInArrow(_feature_rows, "doc_id bigint, label int, slots binary")
+                     .groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))).applyInArrow(
+                         _pack, "labels binary, slots binary, sizes binary"), folder, "shards")
     size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
+    z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
     for number in range(ROUNDS):
-        state = spark.sparkContext.broadcast((np.flatnonzero(n), z[n > 0], n[n > 0]))
-
+        at = np.flatnonzero(n).astype(np.int32)
+        state = spark.sparkContext.broadcast((at, z[at], n[at]))
         # SHARDS rows of at most 2 ** BITS slots each: bounded, whatever the input
-        states = made.groupBy("shard").applyInArrow(_shard(state, number), "slots binary, z binary, n binary").collect()
-        state.unpersist()
-        z, n, seen = np.zeros(size), np.zeros(size), np.zeros(size)
-        for s in states:
-            at = np.frombuffer(s["slots"], "<i4")
-            z[at] += np.frombuffer(s["z"], "<f8")
-            n[at] += np.frombuffer(s["n"], "<f8")
-            seen[at] += 1
-        z[seen > 0] /= seen[seen > 0]
-        n[seen > 0] /= seen[seen > 0]
+        moves = [(np.frombuffer(s["slots"], "<i4"), np.frombuffer(s["z"], "<f4"), np.frombuffer(s["n"], "<f4"))
+                 for s in shards.mapInArrow(_round(state, number), STATE_SCHEMA).collect()]
+        seen = np.maximum(1, np.bincount(np.concatenate([at for at, _, _ in moves] or [[]]).astype(np.int64),
+                                         minlength=size))
+        for at, more_z, more_n in moves:
+            z[at] += more_z / seen[at]
+            n[at] += more_n / seen[at]
+        state.destroy()
     w = Ftrl(z, n).weights(np.arange(size))
     at = np.flatnonzero(w)
     return at.astype(np.int32), w[at].astype(np.float32)
 
 
+def _scorer(model: Broadcast) -> Callable[[list[bytes]], list[float]]:
+    at, w = model.value
+    table = np.zeros((1 << BITS) + 1, np.float32)
+    table[at] = w
+    base = float(table[-1])
+
+    def scores(texts: list[bytes]) -> list[float]:
+        out = []
+        for t in texts:
+            slots = features(t).astype(np.int64)
+            slots = np.unique(slots[table[slots] != 0])
+            x = base + float(table[slots].sum(dtype=np.float64))
+            out.append(1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, x)))))
+        return out
+
+    return scores
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = shared.value
-        table = np.zeros((1 << BITS) + 1, np.float32)
-        table[at] = w
-        base = float(table[-1])
+        scores = _scorer(shared)
         for part, texts in text_slices(batches):
-            out = []
-            for t in texts:
-                slots = features(t)
-                slots = slots[table[slots.astype(np.int64)] != 0]
-                x = base + float(table[np.unique(slots).astype(np.int64)].sum(dtype=np.float64))
-                out.append(1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, x)))))
             yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index("doc_id")), pa.array(out, pa.float64())], ["doc_id", "score"])
+                [part.column(part.schema.get_field_index("doc_id")), pa.array(scores(texts), pa.float64())],
+                ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
 
 
+def clean_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose score is below THRESHOLD, all their columns."""
+    folder = shared_dir(docs.sparkSession)
+    model = train(training_rows(docs, labels, "toxic", TRAIN_ROWS), folder)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(shared)
+        for part, texts in text_slices(batches):
+            yield part.filter(pa.array([s < THRESHOLD for s in scores(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """For each document: doc_id, held_out, score, predicted."""
     folder = shared_dir(docs.sparkSession)

@@ -5,7 +5,6 @@ Layout:
   functions/  column expressions (calendar, buckets, text)
   operators/  filters, joins, aggregation building blocks
   plans/      frames, analyses, registered query catalogue, DuckDB oracle
-  streaming/  (no streaming in the source application; see its docstring)
 """
 
 __version__ = "0.1.0"

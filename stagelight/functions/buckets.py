@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources.literals import AGE_GROUPS
 
-# Candidate histogram widths: 1, 2, 5 times each power of ten.
-HISTOGRAM_WIDTHS = [m * 10 ** e for e in range(0, 10) for m in (1, 2, 5)]
 MAX_BINS = 20
 
 
@@ -21,19 +19,14 @@ def age_group(age: Column) -> Column:
     return expr
 
 
-def age_group_rank(group: Column) -> Column:
-    """Sort position (1..5) of an age-group label."""
-    expr = None
-    for i, (_, _, label) in enumerate(AGE_GROUPS, start=1):
-        cond = group == F.lit(label)
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
-
-
-def histogram_width(lo: str, hi: str) -> Column:
+def histogram_width(lo: Column, hi: Column) -> Column:
     """Smallest width w in 1, 2, 5, 10, 20, 50, ... such that the bins
-    [k*w, (k+1)*w) covering [lo, hi] (column names) number at most
-    ``MAX_BINS``. Built as one SQL CASE expression."""
-    whens = " ".join(f"WHEN floor(`{hi}` / {w}) - floor(`{lo}` / {w}) + 1 <= {MAX_BINS} THEN {w}"
-                     for w in HISTOGRAM_WIDTHS)
-    return F.expr(f"CASE {whens} END")
+    [k*w, (k+1)*w) covering [lo, hi] number at most ``MAX_BINS``.
+
+    20 bins need a width of (hi - lo) / 20 at least and 18 are always enough, so
+    the width is among the nine from the power of ten below on.
+    """
+    least = F.floor(F.log10(F.greatest((hi - lo).cast("double") / MAX_BINS, F.lit(1.0)))).cast("int")
+    widths = [m * F.pow(F.lit(10.0), (least + e).cast("double")) for e in (-1, 0, 1) for m in (1, 2, 5)]
+    fitting = [F.when((w >= 1) & (F.floor(hi / w) - F.floor(lo / w) + 1 <= MAX_BINS), w) for w in widths]
+    return F.round(F.coalesce(*fitting)).cast("long")

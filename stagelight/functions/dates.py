@@ -35,15 +35,3 @@ def month_label(ts: Column) -> Column:
 def month_key_to_date(key: Column) -> Column:
     """'yyyy-MM' text back to the first day of that month."""
     return F.to_date(key, "yyyy-MM")
-
-
-def months_between_keys(start: str, end: str) -> list[str]:
-    """Every 'yyyy-MM' key from start's month to end's month (driver-side
-    arithmetic on two parameters, used to fix pivot column lists)."""
-    y, m = int(start[:4]), int(start[5:7])
-    ye, me = int(end[:4]), int(end[5:7])
-    out = []
-    while (y, m) <= (ye, me):
-        out.append(f"{y:04d}-{m:02d}")
-        y, m = (y + 1, 1) if m == 12 else (y, m + 1)
-    return out

@@ -78,19 +78,15 @@ def histogram(df: DataFrame, col: str, n: str = "n") -> DataFrame:
     """Counts per bin [k*w, (k+1)*w) with the smallest 'nice' width w giving
     at most 20 bins over the column's range; nulls are ignored.
 
-    The input is read once: values are counted per distinct value (partial
-    aggregation), and the width comes from min/max windows over that
-    per-value table. The histogram is drawn over ages, so that table has one
-    row per distinct age - a bound set by the age domain (about a hundred
-    rows), not by the data volume. A scalar subquery would instead run the
-    whole input pipeline a second time.
+    Values are counted per distinct value first (partial aggregation); the range
+    is an aggregate of that table, so no task sees all of it, whatever the
+    column's number of distinct values.
     """
     per_value = (df.where(F.col(col).isNotNull())
-                   .groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    everything = Window.partitionBy()
-    binned = (per_value.withColumn("_lo", F.min("_v").over(everything))
-                       .withColumn("_hi", F.max("_v").over(everything))
-                       .withColumn("_w", histogram_width("_lo", "_hi"))
+                   .groupBy(F.col(col).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    bounds = per_value.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
+    width = histogram_width(bounds.getField("lo"), bounds.getField("hi"))
+    binned = (per_value.withColumn("_w", width)
                        .withColumn("bin_start", F.floor(F.col("_v") / F.col("_w")) * F.col("_w")))
     return (binned.groupBy("bin_start", "_w").agg(F.sum("_c").alias(n))
                   .select("bin_start", (F.col("bin_start") + F.col("_w")).alias("bin_end"), n)
@@ -139,14 +135,19 @@ def weekday_month_grid(df: DataFrame, ts: str, amount: str) -> DataFrame:
                        "Month", "Amount")
 
 
-def weekday_month_pivot(df: DataFrame, ts: str, amount: str, months: list[str]) -> DataFrame:
-    """Wide form: one row per weekday (all seven), one column per listed month."""
-    keyed = df.where(F.col(ts).isNotNull()).select(
-        weekday_no(F.col(ts)).alias("day_no"), month_key(F.col(ts)).alias("_m"), amount)
-    wide = keyed.groupBy("day_no").pivot("_m", months).agg(F.sum(amount))
-    days = weekday_relation(keyed.sparkSession)  # 7 fixed rows
-    out = F.broadcast(days).join(wide, "day_no", "left")
-    return out.select("Day_of_Week", "day_no",
-                      *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).cast("double").alias(m)
-                        for m in months]).orderBy("day_no")
+def weekday_month_pivot(df: DataFrame, ts: str, amount: str) -> DataFrame:
+    """Wide form: one row per weekday (all seven), one column per month that has
+    rows, in order.
 
+    The columns are part of the plan, so one job lists the months first: an
+    aggregate whose rows are bounded by the calendar, not by the data.
+    """
+    sums = (df.where(F.col(ts).isNotNull())
+              .groupBy(weekday_no(F.col(ts)).alias("day_no"), month_key(F.col(ts)).alias("_m"))
+              .agg(F.sum(amount).alias("_s")))
+    months = sorted(r["_m"] for r in sums.select("_m").distinct().collect())
+    wide = sums.groupBy("day_no").pivot("_m", months).agg(F.sum("_s")) if months else sums.select("day_no").distinct()
+    days = weekday_relation(df.sparkSession)  # 7 fixed rows
+    return days.join(wide, "day_no", "left").select(
+        "Day_of_Week", "day_no",
+        *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).cast("double").alias(m) for m in months]).orderBy("day_no")

@@ -1,18 +1,9 @@
 """Join building blocks.
 
-The extracts chain several LEFT JOINs that all hang off one key of a driving
-table (a transaction's student; a class's course; a student). Written as a
-chain, Spark runs them as sort-merge joins inside one stage, and AQE can split
-a hot key of the driving side only for the first of them. So:
-
-* ``keyed_product`` combines the per-key relations first, without a full
-  outer join (inner join plus anti joins, all splittable under a hot key), so
-  the big driving table meets one relation in one shuffle join whose hot
-  partitions AQE may split;
-* ``skew_left_join`` salts hot keys of the non-preserved side, which AQE
-  cannot split in an outer join;
-* ``broadcast_if_bounded``, ``keep_keys`` and ``semi_join_small`` broadcast
-  only relations with a checked or LIMIT-proven size.
+* ``skew_left_join`` salts hot keys of the side that a left join does not
+  preserve, which AQE cannot split; the preserved side AQE splits by itself;
+* ``keep_keys`` and ``semi_join_small`` broadcast only relations with a
+  LIMIT-proven size.
 """
 
 from __future__ import annotations
@@ -20,65 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Session setting for the number of equal shares of a side's rows above one of
+#: which a key is hot; unset, the number of shuffle partitions.
+SHARES = "spark.stagelight.skewJoin.shares"
 
-def keyed_product(key: str, *frames: DataFrame) -> DataFrame:
-    """Per value of ``key``, the product of every frame's matching rows, a frame
-    with no row for that value contributing one all-null row.
 
-    ``driver LEFT JOIN a ON k LEFT JOIN b ON k ...`` equals
-    ``driver LEFT JOIN keyed_product(k, a, b, ...) ON k``: both give, for each
-    driver row, (a-rows or null) x (b-rows or null) x ...
+def _shares(df: DataFrame) -> int:
+    conf = df.sparkSession.conf
+    return int(conf.get(SHARES, None) or conf.get("spark.sql.shuffle.partitions"))
 
-    Each step is ``acc FULL OUTER JOIN frame`` written as three parts that all
-    stay balanced under a hot key: the inner join (AQE may split either side)
-    and each side's rows whose key the other side lacks (anti joins against
-    distinct keys, pre-combined map-side). A plain full outer join can be
-    split by neither AQE nor salting. The keys of ``acc`` are the union of its
-    inputs' keys, kept separately so ``acc`` itself is not re-run for them.
-    """
-    def keys(df: DataFrame) -> DataFrame:
-        return df.select(key).where(F.col(key).isNotNull()).distinct()
-
-    acc, acc_keys = frames[0], keys(frames[0])
-    for frame in frames[1:]:
-        frame_keys = keys(frame)
-        matched = acc.join(frame, on=key, how="inner")
-        only_acc = acc.join(frame_keys, on=key, how="left_anti")
-        only_frame = frame.join(acc_keys, on=key, how="left_anti")
-        acc = (matched.unionByName(only_acc, allowMissingColumns=True)
-                      .unionByName(only_frame, allowMissingColumns=True))
-        acc_keys = acc_keys.unionByName(frame_keys).distinct()
-    return acc
-
-
-# Skew handling defaults: a key is hot from this many rows on the
-# non-preserved side; at most this many hot keys are salted (the hot-key
-# table is broadcast, so its size is bounded by this LIMIT); a hot key is
-# spread over at most this many tasks.
-HOT_KEY_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-MAX_FANOUT = 1024
-
-
-def _setting(df: DataFrame, name: str, given: int | None, default: int) -> int:
-    if given is not None:
-        return given
-    return int(df.sparkSession.conf.get(f"spark.stagelight.skewJoin.{name}", str(default)))
-
-
-def _hot_keys(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int,
-              max_fanout: int) -> DataFrame:
-    """(_hk, _fan): keys with >= hot_rows rows, the largest max_hot_keys of
-    them (a LIMIT, so the result is safe to broadcast), each with fan-out
-    ceil(rows / hot_rows) capped at max_fanout."""
-    return (df.where(F.col(key).isNotNull())
-              .groupBy(F.col(key).alias("_hk"))
-              .agg(F.count(F.lit(1)).alias("_rows"))
-              .where(F.col("_rows") >= F.lit(hot_rows))
-              .orderBy(F.desc("_rows"), F.asc("_hk"))
-              .limit(max_hot_keys)
-              .select("_hk", F.least(F.lit(max_fanout),
-                                     F.ceil(F.col("_rows") / F.lit(hot_rows))).cast("int").alias("_fan")))
+
+def hot_keys(counts: DataFrame, shares: int) -> DataFrame:
+    """Of ``counts`` (_hk, _rows) the keys with more rows than an equal share,
+    with the number of shares they hold, rounded up (_fan). Fewer than ``shares``
+    keys can each hold more than one share, so the result has a proven bound."""
+    total = counts.agg(F.sum("_rows")).scalar()
+    held = F.col("_rows") * F.lit(shares) / total
+    return counts.where(held > 1).select("_hk", F.ceil(held).cast("int").alias("_fan"))
+
+
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """(_hk, _rows) of the non-null keys."""
+    return (df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hk"))
+              .agg(F.count(F.lit(1)).alias("_rows")))
 
 
 def _bucket(cols: list[Column], fan: Column) -> Column:
@@ -86,87 +41,59 @@ def _bucket(cols: list[Column], fan: Column) -> Column:
     return F.when(fan.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*cols), fan).cast("int"))
 
 
-def _replicas(fan: Column) -> Column:
-    """0 .. fan-1 (one replica per bucket of the other side); [0] when no fan."""
-    return F.explode(F.when(fan.isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), fan - 1)))
-
-
 def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                   hot_rows: int | None = None, max_hot_keys: int | None = None,
-                   max_fanout: int | None = None, counted: DataFrame | None = None,
-                   counted_key: str | None = None,
-                   salt_cols: list[str] | None = None,
-                   left_counted: DataFrame | None = None, left_counted_key: str | None = None,
-                   left_salt_cols: list[str] | None = None) -> DataFrame:
+                   counted: DataFrame | None = None, counted_key: str | None = None,
+                   salt_cols: list[str] | None = None) -> DataFrame:
     """``left LEFT JOIN right ON left_key = right_key`` that stays balanced when
-    one key holds a large share of either side.
-
-    1. Per-key row counts of each side (partial aggregation, so a hot key is
-       pre-combined map-side); keys with >= ``hot_rows`` rows, the largest
-       ``max_hot_keys`` of them, get a fan-out ceil(rows / hot_rows) capped at
-       ``max_fanout``. Keys beyond that LIMIT stay unsalted: nothing is dropped.
-    2. Those bounded tables are broadcast to tag both sides map-side. A row of
-       a key hot on its own side gets a deterministic bucket (hash of the row)
-       in [0, own fan-out); it is replicated once per bucket of the other
-       side's fan-out. A (left, right) pair of one key therefore meets in
-       exactly one (left bucket, right bucket) cell.
-    3. One shuffle join on (key, left bucket, right bucket). A left replica
-       whose right bucket is empty yields a null-extended row although the key
-       has right rows (it is hot on the right); those rows are removed, which
-       makes the result exactly the plain left join.
-
-    ``counted`` / ``left_counted`` (with their keys) may name the input whose
-    per-key rows make a side hot when that side is itself a product of
-    several joins: counting that one input finds the same hot keys without
-    running the side twice. Exactness does not depend on this choice: a key
-    counted hot on the right always has right rows (every row of ``counted``
-    yields at least one row of ``right``), which is all step 3 needs.
-
-    The buckets hash ``salt_cols`` / ``left_salt_cols`` (default: every column
-    of that side); name a high-cardinality column such as the side's own row
-    key, because rows with equal hashed values share a bucket.
-
-    Unset limits come from the session settings ``spark.stagelight.skewJoin.hotKeyRows``,
-    ``.maxHotKeys`` and ``.maxFanout`` (defaults above).
+    one key holds a large share of the right side.
+
+    1. Rows per key of the right side (partial aggregation, so a hot key is
+       combined map-side); keys above an equal share are hot (``hot_keys``).
+    2. That bounded table is broadcast to tag both sides map-side. A hot key's
+       right rows get a bucket below its fan by a hash of ``salt_cols`` (default:
+       all columns; rows of equal values share a bucket), its left rows are
+       repeated for each bucket.
+    3. One shuffle join on (key, bucket), both of whose sides are shuffle stages,
+       so AQE may split hot left rows too. A left row that meets an empty bucket
+       of a hot key gives a null-extended row, which is removed; the result is
+       exactly the plain left join.
+
+    ``counted`` (with its key) may name the input whose rows make the right side
+    hot where that is a product of several joins; each of its rows must give a
+    row of ``right`` at least.
     """
-    hot_rows = _setting(right, "hotKeyRows", hot_rows, HOT_KEY_ROWS)
-    max_hot_keys = _setting(right, "maxHotKeys", max_hot_keys, MAX_HOT_KEYS)
-    max_fanout = _setting(right, "maxFanout", max_fanout, MAX_FANOUT)
-    limits = (hot_rows, max_hot_keys, max_fanout)
-    hot_r = F.broadcast(_hot_keys(right if counted is None else counted,
-                                  right_key if counted_key is None else counted_key, *limits)
-                        .select(F.col("_hk").alias("_rhk"), F.col("_fan").alias("_rf")))
-    hot_l = F.broadcast(_hot_keys(left if left_counted is None else left_counted,
-                                  left_key if left_counted_key is None else left_counted_key, *limits)
-                        .select(F.col("_hk").alias("_lhk"), F.col("_fan").alias("_lf")))
-
+    src, key = (right, right_key) if counted is None else (counted, counted_key or right_key)
+    hot = F.broadcast(hot_keys(key_counts(src, key), _shares(right)))
     r_cols, l_cols = right.columns, left.columns
-    r_tagged = (right.join(hot_r, right[right_key] == hot_r["_rhk"], "left")
-                     .join(hot_l, right[right_key] == hot_l["_lhk"], "left")
-                     .select(*[right[f"`{c}`"] for c in r_cols], F.lit(True).alias("_hit"),
-                             _bucket([right[f"`{c}`"] for c in (salt_cols or r_cols)],
-                                     F.col("_rf")).alias("_rbucket"),
-                             _replicas(F.col("_lf")).alias("_rrep")))
-    l_tagged = (left.join(hot_r, left[left_key] == hot_r["_rhk"], "left")
-                    .join(hot_l, left[left_key] == hot_l["_lhk"], "left")
-                    .select(*[left[f"`{c}`"] for c in l_cols], F.col("_rf").alias("_lfan"),
-                            _bucket([left[f"`{c}`"] for c in (left_salt_cols or l_cols)],
-                                    F.col("_lf")).alias("_lbucket"),
-                            _replicas(F.col("_rf")).alias("_lrep")))
+    r_tagged = right.join(hot, right[right_key] == hot["_hk"], "left").select(
+        *[right[f"`{c}`"] for c in r_cols], F.lit(True).alias("_hit"),
+        _bucket([right[f"`{c}`"] for c in (salt_cols or r_cols)], F.col("_fan")).alias("_rbucket"))
+    copies = F.when(F.col("_fan").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_fan") - 1))
+    l_tagged = left.join(hot, left[left_key] == hot["_hk"], "left").select(
+        *[left[f"`{c}`"] for c in l_cols], F.col("_fan"), F.explode(copies).alias("_lbucket"))
     joined = l_tagged.join(r_tagged, (l_tagged[left_key] == r_tagged[right_key])
-                           & (l_tagged["_lbucket"] == r_tagged["_rrep"])
-                           & (l_tagged["_lrep"] == r_tagged["_rbucket"]), "left")
-    spurious = F.col("_lfan").isNotNull() & F.col("_hit").isNull()
-    return joined.where(~spurious).drop("_lfan", "_lbucket", "_lrep", "_hit", "_rbucket", "_rrep")
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only after checking it has at most ``max_rows``
-    rows (one LIMIT job that stops reading at max_rows + 1); otherwise leave
-    it to a shuffle join, which AQE may still demote to a broadcast once it
-    has measured the shuffled side."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+                           & (l_tagged["_lbucket"] == r_tagged["_rbucket"]), "left")
+    spurious = F.col("_fan").isNotNull() & F.col("_hit").isNull()
+    return joined.where(~spurious).drop("_fan", "_lbucket", "_hit", "_rbucket")
+
+
+def look_up(rows: DataFrame, per_key: DataFrame, key: str, weight: str, spread: list[str]) -> DataFrame:
+    """``rows LEFT JOIN per_key`` on ``key`` where ``per_key`` is an aggregate with
+    one row for each key and ``weight``, its number of ``rows``. AQE does not split
+    ``rows`` against an aggregate, so the entries of hot keys (bounded, see
+    ``hot_keys``) are broadcast, and their rows and those without a key are spread
+    over all tasks by a hash of ``spread`` instead of meeting in one."""
+    shares = _shares(rows)
+    total = per_key.agg(F.sum(weight)).scalar()
+    values = [c for c in per_key.columns if c not in (key, weight)]
+    hot = per_key.where(F.col(weight) * F.lit(shares) > total)
+    hot = F.broadcast(hot.select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot")))
+    tagged = rows.join(hot, rows[key] == hot["_hk"], "left").drop("_hk")
+    away = F.col("_hot").isNotNull() | F.col(key).isNull()
+    tagged = tagged.withColumn("_spread", F.when(away, 1 + F.pmod(F.xxhash64(*spread), F.lit(4 * shares))).otherwise(F.lit(0)))
+    cold = per_key.select(key, F.lit(0).cast("long").alias("_spread"), F.struct(*values).alias("_cold"))
+    found = tagged.join(cold, [key, "_spread"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_found.{c}").alias(c) for c in values])
 
 
 def keep_keys(df: DataFrame, small: DataFrame, on: str) -> DataFrame:

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import (age_group, count_text, money_text, month_key, month_key_to_date,
                          month_label, percent_label)
-from ..operators.aggregates import (conditional_top_k, distinct_values, frequency, growth_rate,
+from ..operators.aggregates import (conditional_top_k, frequency, growth_rate,
                                     drop_null_group, histogram, largest_first, money_sum, monthly_sum, ranked_head,
                                     weekday_month_grid, weekday_month_pivot, with_share)
 from ..operators.filters import (BASE_COLUMNS, DEMOGRAPHICS_COLUMNS, TEACHER_COLUMNS, Filters,
                                  apply_filters, date_range, known_teachers)
-from ..operators.joins import keep_keys, semi_join_small
+from ..operators.joins import keep_keys, look_up, semi_join_small
 from ..sources.literals import AGE_GROUP_LABELS, COURSE_NAMES
 
 TOP_TEACHERS = 5          # teachers kept when there are more than ...
@@ -82,26 +82,43 @@ def facet_date_bounds(transactions: DataFrame) -> DataFrame:
                             F.max("Order_Date").alias("max_date"))
 
 
-def facet_age_bounds(demo: DataFrame) -> DataFrame:
-    return demo.agg(F.min("Age").alias("min_age"), F.max("Age").alias("max_age"))
+def facet_age_bounds(students: DataFrame) -> DataFrame:
+    """Age slider bounds. ``students`` is the student role or the demographics
+    frame, whose left joins keep every student's age."""
+    return students.agg(F.min("Age").alias("min_age"), F.max("Age").alias("max_age"))
 
 
-def facet_age_marks(demo: DataFrame, step: int = 5) -> DataFrame:
+def facet_age_marks(students: DataFrame, step: int = 5) -> DataFrame:
     """Slider marks min, min+step, ... <= max."""
-    bounds = facet_age_bounds(demo)
+    bounds = facet_age_bounds(students)
     return bounds.select(F.explode(F.sequence("min_age", "max_age", F.lit(step))).alias("age_mark"))
 
 
-def facet_course_types(base: DataFrame) -> DataFrame:
-    return distinct_values(base, "Course_Type_Name")
+def _left_joined_values(driver: DataFrame, key: str, owner: DataFrame, owner_key: str, col: str) -> DataFrame:
+    """Distinct values of ``owner.col`` in ``driver LEFT JOIN owner``: those of
+    owner rows that some driver row meets, and null if a driver row meets none."""
+    keys = driver.select(F.col(key).alias("_dk")).distinct()
+    met = owner.join(keys, owner[owner_key] == keys["_dk"], "left_semi").select(F.col(col).alias("value"))
+    unmet = keys.join(owner, keys["_dk"] == owner[owner_key], "left_anti").limit(1) \
+                .select(F.lit(None).cast(owner.schema[col].dataType).alias("value"))
+    return met.distinct().unionByName(unmet).distinct()
 
 
-def facet_cities(demo: DataFrame) -> DataFrame:
-    return distinct_values(demo, "City")
+def facet_course_types(transactions: DataFrame, course_data: DataFrame, course_type: DataFrame) -> DataFrame:
+    """Course types of the transactions' students, from the course bridge."""
+    ct = course_type.select(F.col("Course_Type_ID").alias("_ct"), "Course_Type_Name")
+    ids = _left_joined_values(transactions, "Student_id", course_data, "Student_id", "Course_Type_id")
+    return ids.join(ct, ids["value"] == ct["_ct"], "left").select(F.col("Course_Type_Name").alias("value")).distinct()
 
 
-def facet_genders(base: DataFrame) -> DataFrame:
-    return distinct_values(base, "Customer_Gender")
+def facet_cities(students: DataFrame, area: DataFrame) -> DataFrame:
+    """Cities of the students, from the learning areas."""
+    return _left_joined_values(students, "StudentID", area, "StudentID", "City")
+
+
+def facet_genders(transactions: DataFrame, students: DataFrame) -> DataFrame:
+    """Genders of the transactions' students."""
+    return _left_joined_values(transactions, "Student_id", students, "StudentID", "Gender")
 
 
 # ----------------------------------------------------- revenue and bookings
@@ -125,10 +142,9 @@ def booking_heatmap(base: DataFrame, filters: Filters | None = None) -> DataFram
         .orderBy("Month", "day_no")
 
 
-def booking_heatmap_wide(base: DataFrame, months: list[str],
-                         filters: Filters | None = None) -> DataFrame:
-    """Weekday rows (Monday first) x one column per listed month."""
-    return weekday_month_pivot(filtered_base(base, filters), "Order_Date", "Amount", months)
+def booking_heatmap_wide(base: DataFrame, filters: Filters | None = None) -> DataFrame:
+    """Weekday rows (Monday first) x one column per month of the selection."""
+    return weekday_month_pivot(filtered_base(base, filters), "Order_Date", "Amount")
 
 
 # -------------------------------------------------------------- demographics
@@ -291,13 +307,13 @@ def teacher_month_labels(tp: DataFrame, filters: Filters | None = None) -> DataF
 def teacher_first_course(tp: DataFrame) -> DataFrame:
     """Each row's teacher's first class date.
 
-    A per-teacher minimum (partial aggregation) joined back, instead of a
-    window partitioned by teacher, so a hot teacher never lands whole in one
-    task; the per-teacher table has one row per teacher.
+    A per-teacher minimum (partial aggregation) looked up, instead of a window
+    partitioned by teacher, so neither a hot teacher nor the rows without one
+    land in one task.
     """
-    first = (tp.where(F.col("Teacher_ID").isNotNull())
-               .groupBy("Teacher_ID").agg(F.min("Course_Date").alias("First_Course")))
-    return tp.select("Teacher_ID", "Course_Date").join(first, "Teacher_ID", "left")
+    first = (tp.where(F.col("Teacher_ID").isNotNull()).groupBy("Teacher_ID")
+               .agg(F.min("Course_Date").alias("First_Course"), F.count(F.lit(1)).alias("_n")))
+    return look_up(tp.select("Teacher_ID", "Course_Date"), first, "Teacher_ID", "_n", ["Course_Date"])
 
 
 # ------------------------------------------------------------------ audience

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import month_key, months_between_keys
+from ..functions import month_key
 from ..operators.filters import MONTH_PARTITION, Filters
 from ..session import configure, ensure_checkpoint_dir
 from ..sources.roles import Roles, require_rows
@@ -26,14 +26,15 @@ from . import frames
 # Default parameters of the registered queries.
 DATES = ("1996-01-01", "1998-12-31")
 ACTIVE_DATES = ("2001-06-01", "2001-12-31")
-WIDE_YEAR = ("1997-01-01", "1997-12-31")
 
 BASE_FILTERS = Filters(start=DATES[0], end=DATES[1], age=(10, 60))
 DEMO_FILTERS = Filters(start=ACTIVE_DATES[0], end=ACTIVE_DATES[1], age=(10, 60))
 ACTIVE_FILTERS = Filters(start=ACTIVE_DATES[0], end=ACTIVE_DATES[1])
 TEACHER_FILTERS = Filters(start=DATES[0], end=DATES[1], age=(10, 105))
-WIDE_FILTERS = Filters(start=WIDE_YEAR[0], end=WIDE_YEAR[1], age=(10, 60))
-WIDE_MONTHS = months_between_keys(WIDE_YEAR[0], WIDE_YEAR[1])
+# Nothing is left: no student of the test tables is that old.
+EMPTY_FILTERS = Filters(start=DATES[0], end=DATES[1], age=(900, 901))
+# Demographics without a date range: every student with a transaction.
+UNDATED_FILTERS = Filters(age=(10, 60))
 
 DATE_FILTERS = Filters(start=DATES[0], end=DATES[1])
 AGE_FILTERS = Filters(age=(10, 60))
@@ -58,6 +59,7 @@ class Workspace:
 
     def __init__(self, roles: Roles):
         self.roles = roles
+        self._written: str | None = None  # folder of materialized tables
 
     @cached_property
     def base(self) -> DataFrame:
@@ -101,11 +103,20 @@ class Workspace:
             self.tp = self.tp.checkpoint(eager=True)
             return self
         run_dir = f"{root.rstrip('/')}/stagelight-frames-{uuid.uuid4().hex}"
+        self._written = run_dir
         self.base = write_by_month(self.base, "Order_Date", f"{run_dir}/base")
         self.tp = write_by_month(self.tp, "Course_Date", f"{run_dir}/teacher_performance")
         self.demo = self.demo.checkpoint(eager=True)
         return self
 
+    def release(self) -> None:
+        """Removes the tables that ``materialize`` wrote; its frames go with them."""
+        if self._written:
+            spark = self.roles.transaction_data.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(self._written)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._written = None
+
 
 def write_by_month(df: DataFrame, ts: str, path: str) -> DataFrame:
     """Write ``df`` partitioned by the 'yyyy-MM' month of ``ts`` and read it
@@ -129,23 +140,9 @@ def as_output(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# Workspaces (lazy plans, nothing materialized) per session and data folder.
-# A DataFrame is an immutable plan, so the frames' plans are built once and
-# every registered query plans only its own analysis on top of them; each run
-# still reads the files. ``forget_workspaces`` drops them (e.g. after the
-# files changed).
-_WORKSPACES: dict[tuple[str, int, str], Workspace] = {}
-
-
 def workspace_for(spark: SparkSession, sf_dir: str) -> Workspace:
-    key = (spark.conf.get("spark.app.id", ""), id(spark), sf_dir)
-    if key not in _WORKSPACES:
-        _WORKSPACES[key] = Workspace.from_tpch(spark, sf_dir)
-    return _WORKSPACES[key]
-
-
-def forget_workspaces() -> None:
-    _WORKSPACES.clear()
+    """The lazy plans over a folder's files as they are now."""
+    return Workspace.from_tpch(spark, sf_dir)
 
 
 def _q(fn: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -171,11 +168,12 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "kpi_summary": (lambda w: A.kpi_summary(w.base, frames.class_teachers(w.roles))),
     "kpi_cards": (lambda w: A.kpi_cards(w.base, frames.class_teachers(w.roles))),
     "facet_date_bounds": (lambda w: A.facet_date_bounds(w.roles.transaction_data)),
-    "facet_age_bounds": (lambda w: A.facet_age_bounds(w.demo)),
-    "facet_age_marks": (lambda w: A.facet_age_marks(w.demo)),
-    "facet_course_types": (lambda w: A.facet_course_types(w.base)),
-    "facet_cities": (lambda w: A.facet_cities(w.demo)),
-    "facet_genders": (lambda w: A.facet_genders(w.base)),
+    "facet_age_bounds": (lambda w: A.facet_age_bounds(w.roles.student_basic)),
+    "facet_age_marks": (lambda w: A.facet_age_marks(w.roles.student_basic)),
+    "facet_course_types": (lambda w: A.facet_course_types(w.roles.transaction_data, w.roles.course_data,
+                                                          w.roles.course_type)),
+    "facet_cities": (lambda w: A.facet_cities(w.roles.student_basic, w.roles.student_learning_area)),
+    "facet_genders": (lambda w: A.facet_genders(w.roles.transaction_data, w.roles.student_basic)),
     # filters
     "filter_date_range": (lambda w: A.filtered_base(w.base, DATE_FILTERS)),
     "filter_age_range": (lambda w: A.filtered_base(w.base, AGE_FILTERS)),
@@ -183,6 +181,8 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "filter_cities": (lambda w: A.filtered_base(w.base, CITY_FILTERS)),
     "filter_genders": (lambda w: A.filtered_base(w.base, GENDER_FILTERS)),
     "filter_combined": (lambda w: A.filtered_base(w.base, COMBINED_FILTERS)),
+    "filter_empty": (lambda w: A.filtered_base(w.base, EMPTY_FILTERS)),
+    "filter_demo_undated": (lambda w: A.demo_selection(w.roles.transaction_data, w.demo, UNDATED_FILTERS)),
     "filter_known_teachers": (lambda w: A.teacher_selection(w.tp)),
     "filter_demo_combined": (lambda w: A.demo_selection(w.roles.transaction_data, w.demo,
                                                         DEMO_COMBINED_FILTERS)),
@@ -197,7 +197,7 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "monthly_revenue_growth": (lambda w: A.monthly_revenue_growth(w.base, BASE_FILTERS)),
     "growth_label": (lambda w: A.growth_label(w.base, BASE_FILTERS)),
     "booking_heatmap": (lambda w: A.booking_heatmap(w.base, BASE_FILTERS)),
-    "booking_heatmap_wide": (lambda w: A.booking_heatmap_wide(w.base, WIDE_MONTHS, WIDE_FILTERS)),
+    "booking_heatmap_wide": (lambda w: A.booking_heatmap_wide(w.base, BASE_FILTERS)),
     # demographics
     "active_students": (lambda w: A.active_students(w.roles.transaction_data, w.demo, ACTIVE_FILTERS)),
     "demo_gender": (lambda w: A.demo_gender(_demo(w))),

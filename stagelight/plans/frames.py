@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import full_name, month_name, weekday_name
-from ..operators.joins import broadcast_if_bounded, keyed_product, skew_left_join
+from ..operators.joins import skew_left_join
 from ..sources.literals import course_type_dim
 from ..sources.roles import Roles
 
@@ -27,38 +27,41 @@ DEMOGRAPHICS_COLUMNS = ["StudentID", "Age", "Gender", "City", "Learning_Area", "
 TEACHER_COLUMNS = ["Teacher_ID", "Teacher_Name", "Student_ID", "Student_Gender", "Student_Age",
                    "Learning_City", "Learning_Area", "Course_Date"]
 
-_K = "_student_key"  # join key column used inside the keyed products
+_K = "_student_key"  # join key column used inside the joins below
 
-# Role tables are broadcast only below these row counts (checked once per
-# workspace); beyond them the join is a shuffle join.
-TEACHER_BROADCAST_ROWS = 1_000_000
-COURSE_DIM_BROADCAST_ROWS = 100_000
+
+def student_attributes(student: DataFrame, area: DataFrame) -> DataFrame:
+    """Per student key the product of its student rows and its area rows, a side
+    without a row giving nulls: what LEFT JOINs of both to one driving table add.
+
+    A union of area LEFT JOIN student and the students without an area rather
+    than a full outer join, which AQE cannot split: here the area side, which may
+    be hot, is preserved.
+    """
+    return area.join(student, _K, "left").unionByName(
+        student.join(area.select(_K), _K, "left_anti"), allowMissingColumns=True)
 
 
 def base(r: Roles) -> DataFrame:
     """transactions LEFT JOIN student, learning area, course bridge (+ course type).
 
-    The three student-keyed relations are combined per student first; the
-    transaction table then takes part in a single (salted) shuffle join whose
-    hot partitions AQE may split on the transaction side and which salts hot
-    students on the per-student side.
+    Two shuffle joins: with the students' attributes, then with the course
+    bridge. Both salt keys that are hot on the right, and AQE may split hot
+    transactions on the left.
     """
-    # course_type is a small dimension, joined map-side once its size is checked.
-    course_type = broadcast_if_bounded(r.course_type, COURSE_DIM_BROADCAST_ROWS)
-    bridge = (r.course_data.alias("cd")
-              .join(course_type.alias("ct"),
-                    F.col("cd.Course_Type_id") == F.col("ct.Course_Type_ID"), "left")
-              .select(F.col("cd.Student_id").alias(_K), F.col("ct.Course_Type_Name")))
+    ct = r.course_type.select(F.col("Course_Type_ID").alias("_ct"), "Course_Type_Name")
+    cd = r.course_data
+    bridge = (cd.join(ct, cd["Course_Type_id"] == ct["_ct"], "left")
+              .select(F.col("Student_id").alias("_bk"), "Course_Type_Name"))
     student = r.student_basic.select(F.col("StudentID").alias(_K),
                                      F.col("Age").alias("Customer_Age"),
                                      F.col("Gender").alias("Customer_Gender"))
     area = r.student_learning_area.select(F.col("StudentID").alias(_K), "City",
                                           F.col("Learning_Area").alias("Region"))
-    # All rows per student (attributes x course bridge); the transactions meet
-    # the result in one salted join.
-    per_student = keyed_product(_K, student, area, bridge)
     td = r.transaction_data
-    return (skew_left_join(td, per_student, "Student_id", _K, counted=bridge, counted_key=_K)
+    known = skew_left_join(td, student_attributes(student, area), "Student_id", _K,
+                           counted=area, counted_key=_K).drop(_K)
+    return (skew_left_join(known, bridge, "Student_id", "_bk", counted=cd, counted_key="Student_id")
               .select("Transaction_ID", "Student_id", "Order_Date", "Customer_Age",
                       "Customer_Gender", "City", "Region", "Course_Type_Name",
                       F.col("Transaction_Value").alias("Amount")))
@@ -83,18 +86,14 @@ def demographics(r: Roles) -> DataFrame:
     reference's mixed 'Unknown' text.
     """
     spark = r.student_basic.sparkSession
-    # Per-student attribute rows (area x learning type) first ...
-    area = r.student_learning_area.select(F.col("StudentID").alias(_K), "City", "Learning_Area")
-    ltype = r.student_learning_type.select(F.col("StudentID").alias(_K))
-    attrs = keyed_product(_K, area, ltype)
-    sb = r.student_basic
-    students = sb.join(attrs, sb["StudentID"] == attrs[_K], "left").drop(_K)
-    # ... then the enrolments, where one student may hold a large share of rows.
+    area = r.student_learning_area.select(F.col("StudentID").alias("_ak"), "City", "Learning_Area")
+    ltype = r.student_learning_type.select(F.col("StudentID").alias("_tk"))
     # (Course_id rides along only to give the salt a distinct value per row.)
     enrol = r.course_student.select(F.col("Student_id").alias("_ek"), "Course_Type_id",
                                     F.col("Course_id").alias("_eid"))
-    joined = skew_left_join(students, enrol, "StudentID", "_ek", salt_cols=["_eid"],
-                            left_counted=sb, left_counted_key="StudentID").drop("_ek", "_eid")
+    attrs = skew_left_join(r.student_basic, area, "StudentID", "_ak").join(
+        ltype, F.col("StudentID") == F.col("_tk"), "left").drop("_ak", "_tk")
+    joined = skew_left_join(attrs, enrol, "StudentID", "_ek", salt_cols=["_eid"]).drop("_ek", "_eid")
     return (joined.join(course_type_dim(spark), "Course_Type_id", "left")
                   .select("StudentID", "Age",
                           F.coalesce("Gender", F.lit("Unknown")).alias("Gender"),
@@ -109,15 +108,10 @@ def teacher_performance(r: Roles) -> DataFrame:
 
     The class history (the largest table) is the preserved side of both of
     its joins, so AQE may split a hot teacher or a hot course on that side; a
-    hot course among the enrolments is salted by ``skew_left_join``. The
-    teacher table is broadcast only behind a row-count check.
+    hot course among the enrolments is salted by ``skew_left_join``.
     """
-    cs = r.course_student
-    # course_basic is tiny; broadcast (after a size check) it multiplies rows
-    # without a shuffle.
-    course_basic = broadcast_if_bounded(r.course_basic, COURSE_DIM_BROADCAST_ROWS)
-    typed = cs.join(course_basic.alias("cb"),
-                    cs["Course_Type_id"] == F.col("cb.Course_Type_id"), "left") \
+    cs, cb = r.course_student, r.course_basic
+    typed = cs.join(cb, cs["Course_Type_id"] == cb["Course_Type_id"], "left") \
               .select(cs["Course_id"], cs["Student_id"].alias("_cs_student"))
     area = r.student_learning_area.select(F.col("StudentID").alias(_K),
                                           F.col("City").alias("Learning_City"), "Learning_Area")
@@ -125,21 +119,19 @@ def teacher_performance(r: Roles) -> DataFrame:
                                      F.col("StudentID").alias("Student_ID"),
                                      F.col("Gender").alias("Student_Gender"),
                                      F.col("Age").alias("Student_Age"))
-    per_student = keyed_product(_K, area, student)
-    per_course = (typed.join(per_student, typed["_cs_student"] == per_student[_K], "left")
-                       .select(F.col("Course_id").alias("_ck"), "Student_ID", "Student_Gender",
-                               "Student_Age", "Learning_City", "Learning_Area"))
+    per_course = (skew_left_join(typed, student_attributes(student, area), "_cs_student", _K,
+                                 counted=area, counted_key=_K)
+                  .select(F.col("Course_id").alias("_ck"), "Student_ID", "Student_Gender",
+                          "Student_Age", "Learning_City", "Learning_Area"))
     tb = r.teacher_basic.select(F.col("TeacherID").alias("Teacher_ID"),
                                 full_name(F.col("FirstName"), F.col("LastName")).alias("_name"))
-    tb = broadcast_if_bounded(tb, TEACHER_BROADCAST_ROWS)
     # (Spark resolves names case-insensitively: Teacher_id vs Teacher_ID must not meet.)
     ch = r.course_history.select(F.col("Teacher_id").alias("_tid"), "Course_id", "Course_Date")
     with_teacher = ch.join(tb, ch["_tid"] == tb["Teacher_ID"], "left") \
                      .select("Teacher_ID", "_name", "Course_id", "Course_Date")
     # One course may hold a large share of the enrolments: salted join.
     joined = skew_left_join(with_teacher, per_course, "Course_id", "_ck",
-                            counted=cs, counted_key="Course_id",
-                            left_counted=ch, left_counted_key="Course_id")
+                            counted=cs, counted_key="Course_id")
     return joined.select(
         "Teacher_ID",
         F.coalesce("_name", F.lit("Unknown")).alias("Teacher_Name"),
@@ -151,10 +143,11 @@ def teacher_performance(r: Roles) -> DataFrame:
 
 
 def class_teachers(r: Roles) -> DataFrame:
-    """Teacher_ID of every class row that has a teacher: the only input the
+    """Teacher_ID of the teachers with a class: the only input the
     distinct-teacher KPI needs from ``teacher_performance``. No join there
     drops a class row and Teacher_ID comes only from the teacher table, so
-    its distinct non-null values are exactly these."""
-    ch = r.course_history
+    its distinct non-null values are exactly these. One row per teacher row."""
+    # distinct first: a hot teacher is combined map-side and shuffled once
+    taught = r.course_history.select("Teacher_id").distinct()
     tb = r.teacher_basic.select(F.col("TeacherID").alias("Teacher_ID"))
-    return ch.join(tb, ch["Teacher_id"] == tb["Teacher_ID"], "inner").select(tb["Teacher_ID"])
+    return taught.join(tb, taught["Teacher_id"] == tb["Teacher_ID"], "inner").select(tb["Teacher_ID"])

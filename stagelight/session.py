@@ -6,7 +6,9 @@ everything else is a default that a cluster's own configuration overrides.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark import SparkConf
@@ -53,10 +55,10 @@ def build_session(master: str | None = None, app_name: str = "stagelight",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the result-relevant settings to an existing session."""
+    """Apply the result-relevant settings (UTC zone, ANSI mode) to an existing
+    session; nothing else is touched and no folder is made."""
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -80,5 +82,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
             # Only materialization needs it; it raises when the folder is missing.
             return None
         configured = tempfile.mkdtemp(prefix="stagelight-ckpt-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

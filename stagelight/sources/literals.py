@@ -18,10 +18,6 @@ COURSE_NAMES = [name for _, name, _ in COURSE_TYPES]
 # Weekday names Monday..Sunday (ISO order, Monday = 1).
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
-# Three-letter month labels, January first.
-MONTH_LABELS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
-                "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-
 # Age groups as right-closed intervals (lo, hi] and their labels.
 AGE_GROUPS = [(0, 20, "0-20"), (20, 30, "21-30"), (30, 40, "31-40"),
               (40, 50, "41-50"), (50, 100, "50+")]

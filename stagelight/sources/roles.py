@@ -70,12 +70,9 @@ class Roles:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Roles":
-        def reader(name: str) -> Callable[[], DataFrame]:
-            back = {v: k for k, v in SOURCE_RENAMES.get(name, {}).items()}
-            source_schema = T.StructType([
-                T.StructField(back.get(f.name, f.name), f.dataType, True) for f in ROLE_SCHEMAS[name]])
-            return lambda: spark.read.schema(source_schema).parquet(f"{root}/{name}")
-        return cls({name: reader(name) for name in ROLE_SCHEMAS})
+        """One folder of Parquet files per role, with the columns and types they
+        have; ``conform`` casts them (text dates, double amounts, ...)."""
+        return cls({name: (lambda n=name: spark.read.parquet(f"{root}/{n}")) for name in ROLE_SCHEMAS})
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str) -> "Roles":

@@ -2,70 +2,71 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from stagelight.operators.joins import broadcast_if_bounded, keyed_product, skew_left_join
+from stagelight.operators.joins import SHARES, hot_keys, key_counts, look_up, skew_left_join
+from stagelight.plans.frames import student_attributes
 
 
 def _sorted(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_skew_left_join_equals_left_join(spark):
+@pytest.fixture(params=["2", "8", "200"])
+def shares(spark, request):
+    spark.conf.set(SHARES, request.param)
+    yield int(request.param)
+    spark.conf.unset(SHARES)
+
+
+def test_skew_left_join_equals_left_join(spark, shares):
     left = spark.createDataFrame(
         [(1, "a"), (1, "a2"), (2, "b"), (3, "c"), (None, "n"), (4, "d")], "k bigint, lv string")
     right_rows = [(1, f"x{i}") for i in range(40)] + [(1, "dup")] * 5 + \
                  [(2, "y"), (2, "y"), (None, "rn"), (5, "z")] + [(4, f"w{i}") for i in range(6)]
     right = spark.createDataFrame(right_rows, "rk bigint, rv string")
     expect = left.join(right, left["k"] == right["rk"], "left").select("k", "lv", "rk", "rv")
-    for hot_rows, fanout, max_keys in ((3, 4, 10), (3, 64, 10), (1, 8, 1), (1000, 4, 10)):
-        got = skew_left_join(left, right, "k", "rk", hot_rows=hot_rows, max_hot_keys=max_keys,
-                             max_fanout=fanout).select("k", "lv", "rk", "rv")
-        assert _sorted(got) == _sorted(expect), (hot_rows, fanout, max_keys)
+    got = skew_left_join(left, right, "k", "rk").select("k", "lv", "rk", "rv")
+    assert _sorted(got) == _sorted(expect)
 
 
-def test_skew_left_join_all_identical_hot_rows(spark):
+def test_skew_left_join_all_identical_hot_rows(spark, shares):
     left = spark.createDataFrame([(7, "a")], "k bigint, lv string")
     right = spark.createDataFrame([(7, "same")] * 20, "rk bigint, rv string")
-    got = skew_left_join(left, right, "k", "rk", hot_rows=2, max_fanout=8)
-    assert got.count() == 20
+    assert skew_left_join(left, right, "k", "rk").count() == 20
 
 
-def test_keyed_product_equals_left_join_chain(spark):
-    driver = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "k bigint")
-    a = spark.createDataFrame([(1, "a1"), (1, "a2"), (3, "a3"), (9, "a9")], "k bigint, a string")
-    b = spark.createDataFrame([(1, "b1"), (2, "b2"), (2, "b3"), (None, "bn")], "k bigint, b string")
-    c = spark.createDataFrame([(3, "c3"), (1, "c1")], "k bigint, c string")
-    chain = (driver.join(a, "k", "left").join(b, "k", "left").join(c, "k", "left")
-                   .select("k", "a", "b", "c"))
-    prod = keyed_product("_k", a.withColumnRenamed("k", "_k"), b.withColumnRenamed("k", "_k"),
-                         c.withColumnRenamed("k", "_k"))
-    via = driver.join(prod, driver["k"] == prod["_k"], "left").select("k", "a", "b", "c")
-    assert _sorted(via) == _sorted(chain)
+def test_skew_left_join_of_an_empty_side(spark, shares):
+    left = spark.createDataFrame([(1, "a"), (None, "n")], "k bigint, lv string")
+    right = spark.createDataFrame([], "rk bigint, rv string")
+    assert _sorted(skew_left_join(left, right, "k", "rk").select("k", "lv", "rv")) == [(1, "a", None), (None, "n", None)]
+    assert skew_left_join(right, left, "rk", "k").count() == 0
 
 
-def test_broadcast_if_bounded(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    plan_small = small.join(broadcast_if_bounded(small.withColumnRenamed("id", "x"), 100),
-                            F.col("id") == F.col("x"))
-    assert broadcast_if_bounded(big, 100) is big
-    assert plan_small.count() == 10
+def test_hot_keys_are_those_above_an_equal_share(spark):
+    rows = spark.createDataFrame([(1,)] * 60 + [(2,)] * 30 + [(k,) for k in range(3, 13)] + [(None,)] * 50, "k bigint")
+    counts = key_counts(rows, "k")
+    assert _sorted(hot_keys(counts, 4)) == [(1, 3), (2, 2)]
+    assert _sorted(hot_keys(counts, 2)) == [(1, 2)]
+    for shares in (1, 3, 10, 50):
+        assert hot_keys(counts, shares).count() < max(shares, 2)
 
 
-def test_skew_left_join_hot_on_both_sides(spark):
-    left = spark.createDataFrame([(1, f"l{i}") for i in range(30)] + [(2, "b"), (3, "c"), (None, "n")],
-                                 "k bigint, lv string")
-    right = spark.createDataFrame([(1, f"r{i}") for i in range(25)] + [(2, "y"), (5, "z")],
-                                  "rk bigint, rv string")
-    expect = left.join(right, left["k"] == right["rk"], "left").select("k", "lv", "rk", "rv")
-    for hot_rows, fanout in ((3, 4), (5, 16), (1, 2)):
-        got = skew_left_join(left, right, "k", "rk", hot_rows=hot_rows, max_fanout=fanout)
-        assert _sorted(got.select("k", "lv", "rk", "rv")) == _sorted(expect), (hot_rows, fanout)
-    # hot only on the preserved side, with a key that has no right rows
-    left2 = spark.createDataFrame([(7, f"l{i}") for i in range(20)] + [(8, f"m{i}") for i in range(20)],
-                                  "k bigint, lv string")
-    right2 = spark.createDataFrame([(7, "a"), (7, "b")], "rk bigint, rv string")
-    expect2 = left2.join(right2, left2["k"] == right2["rk"], "left").select("k", "lv", "rk", "rv")
-    got2 = skew_left_join(left2, right2, "k", "rk", hot_rows=4, max_fanout=8)
-    assert _sorted(got2.select("k", "lv", "rk", "rv")) == _sorted(expect2)
+def test_look_up_equals_left_join(spark, shares):
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(None, i) for i in range(50)] + [(2, 1), (3, 2), (3, 3)],
+                                 "k bigint, v int")
+    per_key = rows.where("k IS NOT NULL AND k <> 2").groupBy("k").agg(F.max("v").alias("m"), F.count("*").alias("n"))
+    expect = rows.join(per_key.select("k", "m"), "k", "left").select("k", "v", "m")
+    assert _sorted(look_up(rows, per_key, "k", "n", ["v"])) == _sorted(expect)
+
+
+def test_student_attributes_equal_a_left_join_chain(spark):
+    driver = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "k bigint")
+    a = spark.createDataFrame([(1, "a1"), (1, "a2"), (3, "a3"), (9, "a9")], "_student_key bigint, a string")
+    b = spark.createDataFrame([(1, "b1"), (2, "b2"), (2, "b3"), (None, "bn")], "_student_key bigint, b string")
+    chain = (driver.join(a, driver["k"] == a["_student_key"], "left").drop("_student_key")
+                   .join(b, F.col("k") == b["_student_key"], "left").select("k", "a", "b"))
+    both = student_attributes(a, b)
+    via = driver.join(both, driver["k"] == both["_student_key"], "left").select("k", "a", "b")
+    assert _sorted(via) == _sorted(chain)

@@ -9,7 +9,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from stagelight.plans.catalog import QUERIES
 
 from .conftest import SF01
 
@@ -21,13 +21,13 @@ CROSS_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 def plan(spark, key: str) -> str:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        E.queries()[key](spark, SF01).explain(mode="formatted")
+        QUERIES[key](spark, SF01).explain(mode="formatted")
     return buf.getvalue()
 
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {key: plan(spark, key) for key in E.queries()}
+    return {key: plan(spark, key) for key in QUERIES}
 
 
 def test_no_python_and_no_cross_join(plans):
@@ -63,12 +63,42 @@ def test_scans_read_only_needed_columns(plans):
 
 
 def test_no_full_outer_join(plans):
-    """Keyed products are inner + anti joins: a full outer join could be split
-    neither by AQE nor by salting under a hot key."""
+    """A full outer join could be split neither by AQE nor by salting under a hot key."""
     for key, text in plans.items():
         assert "FullOuter" not in text, key
 
 
+def scans(text: str) -> list[str]:
+    """Location of each file scan with its pushed filters."""
+    lines = text.splitlines()
+    return [a + " " + next(x for x in lines[i:] if x.startswith(("PushedFilters", "ReadSchema")))
+            for i, a in enumerate(lines) if a.startswith("Location:")]
+
+
+def test_facts_are_not_scanned_without_the_date_filter(plans):
+    """Class history (lineitem) is read by its date range alone."""
+    for key in ("teacher_top5", "teacher_sales_ranked"):
+        facts = [s for s in scans(plans[key]) if "lineitem" in s]
+        assert facts and all("l_shipdate" in s for s in facts), key
+
+
+def test_facets_read_their_owning_tables(plans):
+    for key in ("facet_age_bounds", "facet_age_marks"):
+        assert len(scans(plans[key])) == 1 and "Join" not in plans[key], key
+    for key in ("facet_cities", "facet_genders", "facet_course_types"):
+        assert "LeftSemi" in plans[key] and "lineitem" not in plans[key], key
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    for key in QUERIES:
+        if key == "booking_heatmap_wide":  # lists the months that become its columns
+            continue
+        spark.sparkContext.setJobGroup(f"plan-{key}", key)
+        QUERIES[key](spark, SF01)
+        assert not tracker.getJobIdsForGroup(f"plan-{key}"), key
+
+
 @pytest.fixture(scope="module")
 def cluster_plans(spark):
     """Plans as a large cluster gets them: no static broadcast by file size."""
@@ -76,7 +106,7 @@ def cluster_plans(spark):
     old = spark.conf.get(key)
     spark.conf.set(key, "-1")
     try:
-        yield {k: plan(spark, k) for k in E.queries()}
+        yield {k: plan(spark, k) for k in QUERIES}
     finally:
         spark.conf.set(key, old)
 
@@ -85,6 +115,4 @@ def test_cluster_plans_keep_the_invariants(cluster_plans):
     for key, text in cluster_plans.items():
         for node in PYTHON_NODES + CROSS_NODES + ("FullOuter",):
             assert node not in text, f"{key} has {node}"
-    # the transaction table is shuffled once, by (student, salt), for base
-    base = cluster_plans["load_transactions"]
-    assert "SortMergeJoin" in base and "_lbucket" in base
+    assert "SortMergeJoin" in cluster_plans["load_transactions"] and "_lbucket" in cluster_plans["load_transactions"]

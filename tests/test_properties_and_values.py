@@ -39,12 +39,17 @@ def test_heatmap_is_dense_and_sums_to_filtered_amount(ws):
     assert grid.agg(F.sum("Amount")).collect()[0][0] == pytest.approx(total, rel=1e-12)
 
 
-def test_wide_heatmap_matches_long_form(ws):
-    wide = A.booking_heatmap_wide(ws.base, C.WIDE_MONTHS, C.WIDE_FILTERS)
-    long = A.booking_heatmap(ws.base, C.WIDE_FILTERS)
-    assert wide.count() == 7
-    wide_total = sum(sum(r[m] for m in C.WIDE_MONTHS) for r in wide.collect())
-    assert wide_total == pytest.approx(long.agg(F.sum("Amount")).collect()[0][0], rel=1e-12)
+@pytest.mark.parametrize("f", [C.BASE_FILTERS, C.COMBINED_FILTERS, C.EMPTY_FILTERS, None])
+def test_wide_heatmap_matches_long_form(ws, f):
+    """Every month of the selection is a column, whatever the filter."""
+    long = {(r["Day_of_Week"], r["Month"]): r["Amount"] for r in A.booking_heatmap(ws.base, f).collect()}
+    wide = A.booking_heatmap_wide(ws.base, f)
+    rows = wide.collect()
+    assert len(rows) == 7
+    assert wide.columns[2:] == sorted({m for _, m in long})
+    got = {(r["Day_of_Week"], m): r[m] for r in rows for m in wide.columns[2:]}
+    assert got.keys() == long.keys()
+    assert all(got[k] == pytest.approx(long[k], rel=1e-12) for k in long)
 
 
 def test_base_gender_counts(ws):

@@ -56,6 +56,16 @@ def test_roles_from_parquet_and_catalog(spark):
         spark.catalog.dropTempView(name)
 
 
+def test_text_dates_and_double_amounts_from_parquet(spark, tmp_path):  # X1
+    (spark.createDataFrame([(1, 2, "2024-01-05 10:00:00", 12.5), (2, 2, "2024-02-01", None)],
+                           "Transaction_ID int, Student_id long, Order_Date string, Transaction_Value double")
+     .write.parquet(f"{tmp_path}/transaction_data"))
+    got = Roles.from_parquet(spark, str(tmp_path)).transaction_data
+    assert got.schema == ROLE_SCHEMAS["transaction_data"]
+    assert [(r["Order_Date"].isoformat(), r["Transaction_Value"] and float(r["Transaction_Value"]))
+            for r in got.orderBy("Transaction_ID").collect()] == [("2024-01-05T10:00:00", 12.5), ("2024-02-01T00:00:00", None)]
+
+
 def test_text_dates_parse_strictly(spark):  # X1
     ok = spark.createDataFrame([(1, 2, "2024-01-05 10:00:00", "12.50")],
                                "Transaction_ID long, Student_id long, Order_Date string, Transaction_Value string")

@@ -1,14 +1,13 @@
-"""Skew evidence: build the demographics extract over an enrolment table in
-which one student holds a third of all rows, and the teacher frame over one
-in which one course does; each once without salting and once with it.
-Reports per-task shuffle-read records of the most imbalanced stage from
-Spark's event log (written to a fresh scratch folder).
+"""Skew evidence: each analysis over role tables in which one key holds a third
+of one input, without salting and with it. Reports the shuffle-read records of
+the most imbalanced stage's tasks from Spark's event log (in a fresh scratch
+folder).
 
-The skewed enrolments are derived by Spark from the given tables: every
-enrolment whose order key is 1 mod 3 is re-assigned to student 1 (or course
-1). Usage:
+The skewed inputs are derived by Spark from the given tables and spread over 48
+map tasks: AQE splits a partition along the map tasks that wrote it, so a table
+that lies in one small file could not be split whatever the plan. Usage:
 
-    python tools/skew_check.py [/root/testdata/sf0.1] [hot_key_rows]
+    python tools/skew_check.py [/root/testdata/sf0.1] [case ...]
 """
 
 from __future__ import annotations
@@ -24,26 +23,31 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from stagelight.plans import frames  # noqa: E402
+from stagelight.operators.joins import SHARES  # noqa: E402
+from stagelight.plans import analyses as A, frames  # noqa: E402
 from stagelight.session import build_session  # noqa: E402
 from stagelight.sources.roles import Roles  # noqa: E402
 
+MAP_TASKS, SHUFFLE_PARTITIONS = 48, 16
+#: Case: the role and column that get the hot value, the value, and what is built.
+CASES = {
+    "base_transactions": ("transaction_data", "Student_id", 1, lambda r: frames.base(r)),
+    "base_bridge": ("course_data", "Student_id", 1, lambda r: frames.base(r)),
+    "base_area": ("student_learning_area", "StudentID", 1, lambda r: frames.base(r)),
+    "demographics_enrolments": ("course_student", "Student_id", 1, lambda r: frames.demographics(r)),
+    "teacher_course": ("course_student", "Course_id", 1, lambda r: frames.teacher_performance(r)),
+    "first_course_no_teacher": ("course_history", "Teacher_id", -1, lambda r: A.teacher_first_course(frames.teacher_performance(r))),
+    "first_course_hot_teacher": ("course_history", "Teacher_id", 1, lambda r: A.teacher_first_course(frames.teacher_performance(r))),
+    "kpi_hot_teacher": ("course_history", "Teacher_id", 1, lambda r: frames.class_teachers(r)),
+}
 
-def skewed_roles(spark, sf_dir: str, frame: str) -> Roles:
-    """A third of the enrolments moved onto one student (demographics) or onto
-    one course (teacher frame); for ``base``, a third of the transactions moved
-    onto one student (the preserved side of its join)."""
-    base = Roles.from_tpch(spark, sf_dir)
-    parts = base.as_dict()
-    if frame == "base":
-        td = parts["transaction_data"]
-        parts["transaction_data"] = td.withColumn(
-            "Student_id", F.when(F.col("Transaction_ID") % 3 == 1, F.lit(1)).otherwise(F.col("Student_id")))
-        return Roles.from_frames(parts)
-    cs = parts["course_student"]
-    col = "Student_id" if frame == "demographics" else "Course_id"
-    parts["course_student"] = cs.withColumn(
-        col, F.when(F.col("Course_id") % 3 == 1, F.lit(1)).otherwise(F.col(col)))
+
+def skewed_roles(spark, sf_dir: str, role: str, column: str, value: int) -> Roles:
+    """A third of the role's rows moved onto one key; all inputs spread."""
+    parts = {k: v.repartition(MAP_TASKS) if k not in ("course_type", "course_basic") else v
+             for k, v in Roles.from_tpch(spark, sf_dir).as_dict().items()}
+    third = F.pmod(F.xxhash64(*parts[role].columns), F.lit(3)) == 1
+    parts[role] = parts[role].withColumn(column, F.when(third, F.lit(value)).otherwise(F.col(column)))
     return Roles.from_frames(parts)
 
 
@@ -65,46 +69,31 @@ def task_stats(log_dir: str) -> list[tuple[int, int, int, float]]:
     return [(s, len(v), max(v), statistics.median(v)) for s, v in sorted(per_stage.items())]
 
 
-def run(sf_dir: str, hot_rows: int, label: str, frame: str, aqe_skew: bool = True) -> None:
-    log_dir = tempfile.mkdtemp(prefix=f"skew-{label}-", dir="/tmp")
-    spark = build_session("local[8]", app_name=f"skew-{label}", shuffle_partitions=16, extra={
-        # test tables are tiny: let AQE call a partition skewed at this size
-        "spark.sql.adaptive.skewJoin.enabled": str(aqe_skew).lower(),
+def run(sf_dir: str, case: str, salted: bool) -> None:
+    role, column, value, build = CASES[case]
+    log_dir = tempfile.mkdtemp(prefix=f"skew-{case}-", dir="/tmp")
+    spark = build_session("local[8]", app_name=f"skew-{case}", shuffle_partitions=SHUFFLE_PARTITIONS, extra={
+        # the test tables are tiny: AQE may call a partition skewed at this size
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
-        # skew is judged on compressed shuffle bytes; the hot partition's
-        # constant key columns compress very well, so use factor 2 here
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
-        "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
-        "spark.eventLog.compress": "false",
-        # keep the shuffle joins (no runtime demotion to broadcast) so the
-        # partition balance of the join itself is what gets measured
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        # the tables are small in bytes: without this AQE would merge all
-        # partitions into one task and hide the imbalance
+        "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir, "spark.eventLog.compress": "false",
+        # the balance of shuffle joins is what is measured
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.stagelight.skewJoin.hotKeyRows": str(hot_rows)})
+        # one share: no key can hold more than all rows, so none is salted
+        SHARES: str(SHUFFLE_PARTITIONS if salted else 1)})
     spark.sparkContext.setLogLevel("ERROR")
-    build = {"demographics": frames.demographics, "teacher_performance": frames.teacher_performance,
-             "base": frames.base}[frame]
-    rows = build(skewed_roles(spark, sf_dir, frame)).count()
+    rows = build(skewed_roles(spark, sf_dir, role, column, value)).count()
     spark.stop()
-    stats = task_stats(log_dir)
-    multi = [s for s in stats if s[1] > 1] or stats
-    worst = max(multi, key=lambda s: s[2] / max(s[3], 1))
-    print(json.dumps({"frame": frame, "variant": label, "hot_key_rows": hot_rows, "rows": rows,
-                      "worst_stage": {"stage": worst[0], "tasks": worst[1],
-                                      "max_records_per_task": worst[2],
-                                      "median_records_per_task": worst[3]},
-                      "event_log": log_dir}))
+    many = [s for s in task_stats(log_dir) if s[1] > 1 and s[2] >= 1000]
+    worst = max(many, key=lambda s: s[2] / max(s[3], 1), default=(0, 0, 0, 0))
+    print(json.dumps({"case": case, "salted": salted, "rows": rows, "stage": worst[0], "tasks": worst[1],
+                      "max_records": worst[2], "median_records": worst[3]}), flush=True)
 
 
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    hot = int(sys.argv[2]) if len(sys.argv) > 2 else 4000
-    for frame in ("demographics", "teacher_performance"):
-        run(sf, 10 ** 12, "unsalted", frame)
-        run(sf, hot, "salted", frame)
-    run(sf, 10 ** 12, "unsalted", "base")
-    run(sf, hot, "salted", "base")
+    for case in sys.argv[2:] or CASES:
+        for salted in (False, True):
+            run(sf, case, salted)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir, text_slices, written
+from .common import filesystem, shared_dir, single_rows, text_slices, written
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -146,7 +146,10 @@ def intersect(lists: list[np.ndarray], offsets: list[int], slop: int = 0) -> np.
     """Starts of the windows whose every term lies at its offset, or within
     ``slop`` of it. ``lists``: sorted keys (document << 32 | position), rarest first."""
     starts = lists[0] - offsets[0]
-    for keys, offset in zip(lists[1:], offsets[1:]):
+    if slop:  # any start that leaves the rarest term near its place, within its document
+        moved = starts[:, None] + np.arange(-slop, slop + 1)
+        starts = np.unique(np.maximum(moved, (lists[0] >> 32 << 32)[:, None]))
+    for keys, offset in zip(lists[0 if slop else 1:], offsets[0 if slop else 1:]):
         if not len(starts):
             break
         low = starts + (offset - slop)
@@ -187,23 +190,22 @@ def shard_matches(row: dict, queries: Queries, slop: int) -> tuple[np.ndarray, n
 
 def _searcher(blocks: list[str], slop: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                queries = read_block(blocks[row["block"]])
-                keys, spans, owners = shard_matches(row, queries, slop)
-                out = []
-                order = np.argsort(keys >> 32, kind="stable")
-                keys, spans, owners = keys[order], spans[order], owners[order]
-                ats, first = np.unique(keys >> 32, return_index=True)
-                for at, a, b in zip(ats, first, [*first[1:], len(keys)]):
-                    ranges = merged(keys[a:b] & 0xFFFFFFFF, spans[a:b])
-                    ids = {queries.ids[k] for k in np.unique(owners[a:b])} - {None}
-                    out.append((row["shard"], int(at), [x for x, _ in ranges], [y for _, y in ranges], sorted(ids)))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (
-                            pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))],
-                        ["shard", "at", "starts", "ends", "items"])
+        for row in single_rows(batches):
+            queries = read_block(blocks[row["block"]])
+            keys, spans, owners = shard_matches(row, queries, slop)
+            out = []
+            order = np.argsort(keys >> 32, kind="stable")
+            keys, spans, owners = keys[order], spans[order], owners[order]
+            ats, first = np.unique(keys >> 32, return_index=True)
+            for at, a, b in zip(ats, first, [*first[1:], len(keys)]):
+                ranges = merged(keys[a:b] & 0xFFFFFFFF, spans[a:b])
+                ids = {queries.ids[k] for k in np.unique(owners[a:b])} - {None}
+                out.append((row["shard"], int(at), [x for x, _ in ranges], [y for _, y in ranges], sorted(ids)))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), (
+                        pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))],
+                    ["shard", "at", "starts", "ends", "items"])
     return run
 
 

@@ -65,8 +65,11 @@ class DigestIndex:
         others = self.entries().where(F.col("batch") != batch)
         new = groups.select("digest", "keep_id").join(others.hint("merge"), "digest", "left_anti")
         # written first: Spark refuses to overwrite part of a table that the same plan reads
-        (written(new, folder, "new").withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest")
-            .write.option("partitionOverwriteMode", "dynamic").insertInto(self.table, overwrite=True))
+        view = f"new_{self.table}"
+        written(new, folder, "new").repartition(self.buckets, "digest").createOrReplaceTempView(view)
+        name = batch.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = '{name}') SELECT digest, keep_id FROM {view}")
+        self.spark.catalog.dropTempView(view)
 
     def find(self, groups: DataFrame) -> DataFrame:
         """``groups`` with the index entry of their digest: kept_id, kept_batch."""

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, partitions, shared_dir, text_slices, written
@@ -235,11 +235,15 @@ def ranges(docs: DataFrame, n: int) -> DataFrame:
     of equal size; the bounds come from all ids."""
     bounds = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("b")).first()["b"]
     bounds = sorted(set(bounds or []))
-    found = F.lit(0)
-    if bounds:
-        held = F.array(*[F.lit(b) for b in bounds])
-        found = F.size(F.filter(held, lambda b: b < F.col("doc_id")))
-    return docs.withColumn("part", F.coalesce(F.when(F.col("doc_id").isNotNull(), found), F.lit(0)))
+
+    def place(a: int, z: int) -> Column:
+        """Number of bounds below doc_id, known to be a to z, by halving."""
+        if a == z:
+            return F.lit(a)
+        middle = (a + z) // 2
+        return F.when(F.col("doc_id") <= bounds[middle], place(a, middle)).otherwise(place(middle + 1, z))
+
+    return docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place(0, len(bounds))))
 
 
 def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, files: int) -> DataFrame:

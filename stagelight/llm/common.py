@@ -4,12 +4,14 @@ tables, text batches, and a join that stays balanced under hot keys."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that a Python task handles at once.
 SLICE_BYTES = 8 << 20
+#: What a Python worker gives up when it turns from token ids to other work.
+GIVE_UP: list[Callable[[], None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,10 +92,22 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers stay alive between
+    tasks, beside the executor's other work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES,
                 column: str = "text", as_text: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Record batches cut so that each holds about ``size`` bytes of text at most
     (or one row), with the texts as UTF-8 bytes, or as strings; null is empty."""
+    if not as_text:
+        for give_up in GIVE_UP:
+            give_up()
+        give_back()
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         lengths = [n or 0 for n in pc.binary_length(texts).to_pylist()]
@@ -103,6 +119,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES,
             held += n
         if at < batch.num_rows:
             yield _cut(batch, column, at, batch.num_rows, as_text)
+    give_back()
 
 
 def _cut(batch: pa.RecordBatch, column: str, at: int, to: int, as_text: bool) -> tuple[pa.RecordBatch, list]:
@@ -114,6 +131,14 @@ def _cut(batch: pa.RecordBatch, column: str, at: int, to: int, as_text: bool) ->
     return part, [t or b"" for t in texts.to_pylist()]
 
 
+def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows with large binary columns, one in Python's memory at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+    give_back()
+
+
 def attach(rows: DataFrame, per_key: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``per_key`` (one row for each key, ``weight`` its
     number of rows in ``rows``, ``total`` their sum), even if one key holds a

@@ -43,12 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, shared_dir, text_slices, written
+from .common import filesystem, partitions, shared_dir, single_rows, text_slices, written
 
 ORDER = 3
 KEEP = 1e-6
 DISCOUNT = 0.75
 HELD_OUT_MOD, HELD_OUT = 7, 2
+#: Text in a slice: a task holds some twenty numbers for each of its tokens.
+SLICE_BYTES = 4 << 20
 #: Numbers of kept n-grams take so many bits, enough for 1 / KEEP.
 BITS = 22
 END_HASH = np.uint64(0)
@@ -73,7 +75,7 @@ def word_hash(word: bytes) -> int:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as numbers of the slice's distinct words, each text with an end token,
     and how often each distinct word is in training texts."""
-    for part, texts in text_slices(batches):
+    for part, texts in text_slices(batches, SLICE_BYTES):
         ids = part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()).to_pylist()
         hashes, lengths = [], []
         for t in texts:
@@ -96,17 +98,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _dealt(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A slice's words and counts by bucket of the hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, counts = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["counts"], "<i8")
-                bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), pa.array([row["slice"]] * len(own)),
-                     pa.array([h[cut[b]:cut[b + 1]].tobytes() for b in own]),
-                     pa.array([counts[cut[b]:cut[b + 1]].tobytes() for b in own])],
-                    ["bucket", "slice", "words", "counts"])
+        for row in single_rows(batches):
+            h, counts = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["counts"], "<i8")
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.int32()), pa.array([row["slice"]] * len(own)),
+                 pa.array([h[cut[b]:cut[b + 1]].tobytes() for b in own]),
+                 pa.array([counts[cut[b]:cut[b + 1]].tobytes() for b in own])],
+                ["bucket", "slice", "words", "counts"])
     return run
 
 
@@ -251,28 +252,27 @@ def _ngram_counts(shared, order: int, buckets: int) -> Callable[[Iterator[pa.Rec
     with their counts, by bucket of the key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                first, number = _numbers(row, model)
-                lengths = np.frombuffer(row["lengths"], "<i8")
-                train = ~np.repeat(np.frombuffer(row["held"], "u1").astype(bool), lengths)
-                if order == 2:
-                    end = lookup(model.vocabulary, np.array([END_HASH]))[0]
-                    contexts = np.where(first, end, np.concatenate(([-1], number[:-1])))
-                    last = number >= 0
-                else:
-                    ends = model.arcs(first, number, order - 1)[-1]
-                    contexts = np.where(first, -1, np.concatenate(([-1], ends[:-1])))
-                    last = ends >= 0
-                keys, counts = np.unique(model.keys(contexts, number)[train & last & (contexts >= 0)], return_counts=True)
-                bucket = (keys * 0x9E3779B1 >> 7) % buckets
-                by = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), pa.array([keys[by[cut[b]:cut[b + 1]]].tobytes() for b in own], pa.binary()),
-                     pa.array([counts[by[cut[b]:cut[b + 1]]].astype("<i4").tobytes() for b in own], pa.binary())],
-                    ["bucket", "keys", "counts"])
+        for row in single_rows(batches):
+            first, number = _numbers(row, model)
+            lengths = np.frombuffer(row["lengths"], "<i8")
+            train = ~np.repeat(np.frombuffer(row["held"], "u1").astype(bool), lengths)
+            if order == 2:
+                end = lookup(model.vocabulary, np.array([END_HASH]))[0]
+                contexts = np.where(first, end, np.concatenate(([-1], number[:-1])))
+                last = number >= 0
+            else:
+                ends = model.arcs(first, number, order - 1)[-1]
+                contexts = np.where(first, -1, np.concatenate(([-1], ends[:-1])))
+                last = ends >= 0
+            keys, counts = np.unique(model.keys(contexts, number)[train & last & (contexts >= 0)], return_counts=True)
+            bucket = (keys * 0x9E3779B1 >> 7) % buckets
+            by = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.int32()), pa.array([keys[by[cut[b]:cut[b + 1]]].tobytes() for b in own], pa.binary()),
+                 pa.array([counts[by[cut[b]:cut[b + 1]]].astype("<i4").tobytes() for b in own], pa.binary())],
+                ["bucket", "keys", "counts"])
     return run
 
 
@@ -342,23 +342,22 @@ def train(slices: DataFrame, folder: str, order: int = ORDER) -> Automaton:
 def _scored(shared, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                fs, path = filesystem(_answer_file(folder, row["slice"]))
-                with fs.open_input_stream(path, compression=None) as f:
-                    totals = np.frombuffer(f.read(), "<i8")
-                tokens, lengths = np.frombuffer(row["tokens"], "<u4"), np.frombuffer(row["lengths"], "<i8")
-                first, number = _numbers(row, model)
-                base = model.base(totals)[tokens]
-                starts = np.cumsum(lengths) - lengths
-                sums = [np.add.reduceat(x, starts) for x in (
-                    (totals > 0)[tokens].astype(np.int64), base, model.scores(first, number, base))]
-                n = len(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(np.frombuffer(row["held"], "u1").astype(bool)),
-                     pa.array(lengths), pa.array(sums[0]), pa.array(np.full(n, model.n, np.int64)),
-                     pa.array(sums[1]), pa.array(sums[2])],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in single_rows(batches):
+            fs, path = filesystem(_answer_file(folder, row["slice"]))
+            with fs.open_input_stream(path, compression=None) as f:
+                totals = np.frombuffer(f.read(), "<i8")
+            tokens, lengths = np.frombuffer(row["tokens"], "<u4"), np.frombuffer(row["lengths"], "<i8")
+            first, number = _numbers(row, model)
+            base = model.base(totals)[tokens]
+            starts = np.cumsum(lengths) - lengths
+            sums = [np.add.reduceat(x, starts) for x in (
+                (totals > 0)[tokens].astype(np.int64), base, model.scores(first, number, base))]
+            n = len(lengths)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(np.frombuffer(row["held"], "u1").astype(bool)),
+                 pa.array(lengths), pa.array(sums[0]), pa.array(np.full(n, model.n, np.int64)),
+                 pa.array(sums[1]), pa.array(sums[2])],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
 

@@ -29,6 +29,8 @@ from stagelight.session import build_session  # noqa: E402
 from stagelight.sources.roles import Roles  # noqa: E402
 
 MAP_TASKS, SHUFFLE_PARTITIONS = 48, 16
+#: Stages whose largest task reads fewer records do not count.
+LEAST_RECORDS = 8000
 #: Case: the role and column that get the hot value, the value, and what is built.
 CASES = {
     "base_transactions": ("transaction_data", "Student_id", 1, lambda r: frames.base(r)),
@@ -86,7 +88,7 @@ def run(sf_dir: str, case: str, salted: bool) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     rows = build(skewed_roles(spark, sf_dir, role, column, value)).count()
     spark.stop()
-    many = [s for s in task_stats(log_dir) if s[1] > 1 and s[2] >= 1000]
+    many = [s for s in task_stats(log_dir) if s[1] > 1 and s[2] >= LEAST_RECORDS]
     worst = max(many, key=lambda s: s[2] / max(s[3], 1), default=(0, 0, 0, 0))
     print(json.dumps({"case": case, "salted": salted, "rows": rows, "stage": worst[0], "tasks": worst[1],
                       "max_records": worst[2], "median_records": worst[3]}), flush=True)

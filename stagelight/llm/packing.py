@@ -41,6 +41,8 @@ END_ID = 0
 #: The smallest part of a combination of three is a multiple of this share of a window.
 STEPS = 32
 SWEEPS = 30
+#: Units that the encoder remembers here, beside what earlier stages' tasks left.
+CACHE_UNITS = 250_000
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
@@ -140,7 +142,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, window: int, folder
     window, and its tail's length, crc32 and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = encoder(vocabulary), np.array([end_id], np.uint32)
+        known, end = encoder(vocabulary, CACHE_UNITS), np.array([end_id], np.uint32)
         for part, texts in text_slices(batches, as_text=True):
             rows = []
             for own in known.encode(texts):

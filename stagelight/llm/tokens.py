@@ -16,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units a worker remembers: two generations of this many, about 200 MB each.
-CACHE_UNITS = 800_000
+from .common import GIVE_UP
+
+#: Units a worker remembers: two generations of this many, about 150 MB each.
+CACHE_UNITS = 600_000
 _ENCODERS: dict[str, "Encoder"] = {}
+GIVE_UP.append(_ENCODERS.clear)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,11 +30,13 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoder(vocabulary: str) -> "Encoder":
+def encoder(vocabulary: str, units: int | None = None) -> "Encoder":
     """This worker's encoder for a vocabulary: a file's path, or the name of one
-    of the public files, which is then looked up where the task runs."""
+    of the public files, which is then looked up where the task runs. ``units``:
+    how many it remembers, where other stages leave less memory."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary if "/" in vocabulary else vocabulary_path(vocabulary))
+    _ENCODERS[vocabulary].units = units or CACHE_UNITS
     return _ENCODERS[vocabulary]
 
 
@@ -56,6 +61,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.units = CACHE_UNITS
         self.letters = byte_letters()
         self.marks = dict(zip(".,", self._ids([".", ","])))
         self.new: dict[str, bytes] = {}
@@ -76,7 +82,7 @@ class Encoder:
 
     def _learn(self, units: set[str]) -> None:
         """Puts the ids of units that ``new`` lacks into it."""
-        if len(self.new) + len(units) > CACHE_UNITS:
+        if len(self.new) + len(units) > self.units:
             self.old, self.new = self.new, {}
         new, old, word_ids = self.new, self.old, self._word_ids
         rest = []

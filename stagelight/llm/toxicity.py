@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, shared_dir, text_slices, written
+from .common import crc_mod, shared_dir, single_rows, text_slices, written
 
 BITS = 20
 TRAIN_ROWS = 24_000
@@ -122,21 +122,20 @@ def _round(state: Broadcast, number: int) -> Callable[[Iterator[pa.RecordBatch]]
     size = (1 << BITS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                at, z0, n0 = state.value
-                model = Ftrl(np.zeros(size), np.zeros(size))
-                model.z[at], model.n[at] = z0, n0
-                labels = np.frombuffer(row["labels"], "<i4")
-                slots = np.split(np.frombuffer(row["slots"], "<i4"), np.cumsum(np.frombuffer(row["sizes"], "<i4"))[:-1])
-                for i in np.random.default_rng(number).permutation(len(labels)):
-                    model.learn(slots[i], int(labels[i]))
-                model.z[at] -= z0
-                model.n[at] -= n0
-                moved = np.flatnonzero(np.abs(model.z) >= LEAST_CHANGE)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([moved.astype("<i4").tobytes()]), pa.array([model.z[moved].astype("<f4").tobytes()]),
-                     pa.array([model.n[moved].astype("<f4").tobytes()])], ["slots", "z", "n"])
+        for row in single_rows(batches):
+            at, z0, n0 = state.value
+            model = Ftrl(np.zeros(size), np.zeros(size))
+            model.z[at], model.n[at] = z0, n0
+            labels = np.frombuffer(row["labels"], "<i4")
+            slots = np.split(np.frombuffer(row["slots"], "<i4"), np.cumsum(np.frombuffer(row["sizes"], "<i4"))[:-1])
+            for i in np.random.default_rng(number).permutation(len(labels)):
+                model.learn(slots[i], int(labels[i]))
+            model.z[at] -= z0
+            model.n[at] -= n0
+            moved = np.flatnonzero(np.abs(model.z) >= LEAST_CHANGE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([moved.astype("<i4").tobytes()]), pa.array([model.z[moved].astype("<f4").tobytes()]),
+                 pa.array([model.n[moved].astype("<f4").tobytes()])], ["slots", "z", "n"])
 
     return run
 

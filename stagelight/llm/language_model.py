@@ -2,10 +2,9 @@
 
 The model has orders 1 to ``ORDER``. Order 1 is the contract's base, the add-one
 estimate over all words of the training texts. A longer n-gram is kept if it
-makes up ``KEEP`` of the training tokens and occurs twice at least, a share, so
-at most ``1 / KEEP`` are kept of each order whatever the corpus: that bounds what
-is broadcast. Kept n-grams are smoothed by interpolated absolute discounting,
-which sums to one over all words and an unknown one.
+occurs ``LEAST`` times in the training texts, whatever their size, so the model
+grows with the corpus. Kept n-grams are smoothed by interpolated absolute
+discounting, which sums to one over all words and an unknown one.
 
 As an automaton: the states are the empty context and the kept n-grams below the
 highest order, an arc reads a word with the log-probability of a kept n-gram, and
@@ -15,10 +14,13 @@ kept n-gram that ends there; so the left-to-right traversal of a slice's
 documents is done for all positions at once. ``Automaton.traverse`` walks a
 single text arc by arc.
 
-Counting covers all training documents. A slice of documents is written as word
-numbers; its distinct words with their counts go to buckets by hash, which answer
-with the corpus totals, a file for each slice. So no task or driver holds the
-vocabulary, and a word that is in every text is one entry for each slice.
+Counting covers all training documents, from the longest n-grams to the words. A
+slice of documents is written as word numbers. Its distinct n-grams of an order go
+with their counts to buckets by hash, which keep the model and answer with the
+corpus totals, a file for each slice. One of the slices that have an n-gram is its
+owner and adds its total to the n-gram's context, which goes to a bucket with the
+next order. So no task or driver holds the vocabulary or the model, and an n-gram
+or context that is in every text is one entry for each slice.
 
 Defined results
 * null and empty texts are the end token alone; so are texts of white space.
@@ -26,19 +28,20 @@ Defined results
   null ids are training rows (crc32 of the empty text).
 * Without training rows N and V are 0. An empty table gives no rows. Other columns
   are ignored.
+* Words and n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,18 +49,22 @@ from pyspark.sql import functions as F
 from .common import filesystem, partitions, shared_dir, single_rows, text_slices, written
 
 ORDER = 3
-KEEP = 1e-6
+#: An n-gram of two words or more is kept if it occurs so often, however large the corpus is,
+LEAST = 2
+#: and needs no share of the training tokens.
+KEEP = 0.0
 DISCOUNT = 0.75
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Text in a slice: a task holds some twenty numbers for each of its tokens.
 SLICE_BYTES = 4 << 20
-#: Numbers of kept n-grams take so many bits, enough for 1 / KEEP.
-BITS = 22
 END_HASH = np.uint64(0)
-SLICES = ("slice string, doc_ids array<bigint>, lengths binary, held binary, tokens binary, words binary, "
-          "counts binary, n_train bigint")
+SLICES = "slice string, doc_ids array<bigint>, lengths binary, held binary, tokens binary, words binary, n_train bigint"
+DEALT = "bucket int, slice string, size int, start bigint, keys binary, counts binary, sums binary, continued binary"
+ANSWERS = "slice string, bucket int, size int, keys binary, totals binary, sums binary, continued binary, types bigint"
 SCORES = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
           "base_score double, score double")
+#: Spark then removes the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -72,9 +79,31 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) or 1  # 0 is the end token
 
 
+def chained(contexts: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of the n-grams without the last word and of the last word."""
+    x = (contexts * np.uint64(0x9E3779B97F4A7C15)) ^ (last + np.uint64(0xC2B2AE3D27D4EB4F))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on as planes of their bytes, which compress well, without
+    the planes above the largest number."""
+    numbers = np.ascontiguousarray(numbers, "<u8")
+    planes = (int(numbers.max(initial=0)).bit_length() + 7) // 8
+    return numbers.view("u1").reshape(-1, 8)[:, :planes].T.tobytes()
+
+
+def unpacked(planes: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), "u1")
+    if size:
+        own = np.frombuffer(planes, "u1").reshape(-1, size)
+        out[:, :len(own)] = own.T
+    return out.view("<i8").reshape(size)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as numbers of the slice's distinct words, each text with an end token,
-    and how often each distinct word is in training texts."""
+    """Texts as numbers of the slice's distinct words, each text with an end token."""
     for part, texts in text_slices(batches, SLICE_BYTES):
         ids = part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()).to_pylist()
         hashes, lengths = [], []
@@ -85,277 +114,247 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths.append(len(own) + 1)
         distinct, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         held = np.array([is_held_out(i) for i in ids])
-        train = tokens[~np.repeat(held, lengths)]
-        counts = np.bincount(train, minlength=len(distinct))
         yield pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())),
              pa.array([np.array(lengths, "<i8").tobytes()]), pa.array([held.astype("u1").tobytes()]),
              pa.array([tokens.astype("<u4").tobytes()]), pa.array([distinct.astype("<u8").tobytes()]),
-             pa.array([counts.astype("<i8").tobytes()]), pa.array([len(train)], pa.int64())],
-            ["slice", "doc_ids", "lengths", "held", "tokens", "words", "counts", "n_train"])
+             pa.array([int(np.array(lengths)[~held].sum())], pa.int64())],
+            ["slice", "doc_ids", "lengths", "held", "tokens", "words", "n_train"])
 
 
-def _dealt(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A slice's words and counts by bucket of the hash."""
+@dataclass
+class Level:
+    """A slice's n-grams of one order. ``keys``: ascending hashes of the distinct
+    ones; ``contexts``: the numbers of their contexts in the order below. For each
+    token, ``at``: the number of the n-gram that ends there, and ``before``: that
+    of its context; -1 where a text is too short."""
+    keys: np.ndarray
+    contexts: np.ndarray
+    at: np.ndarray
+    before: np.ndarray
+
+
+def levels(row: dict, order: int) -> list[Level]:
+    tokens, lengths = np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.frombuffer(row["lengths"], "<i8")
+    first = np.zeros(len(tokens), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    keys = np.frombuffer(row["words"], "<u8")
+    last = keys[tokens]
+    out = [Level(keys, np.full(len(keys), -1), tokens, np.full(len(tokens), -1))]
+    end = int(np.searchsorted(keys, END_HASH))  # a text's first word follows an end
+    for k in range(2, order + 1):
+        before = np.where(first, end if k == 2 else -1, np.concatenate(([-1], out[-1].at[:-1])))
+        some = before >= 0
+        keys, place = np.unique(chained(out[-1].keys[before[some]], last[some]), return_inverse=True)
+        at, contexts = np.full(len(tokens), -1), np.full(len(keys), -1)
+        at[some], contexts[place] = place, before[some]
+        out.append(Level(keys, contexts, at, before))
+    return out
+
+
+def _answer_file(folder: str, order: int, slice_id: str) -> str:
+    return f"{folder}/totals-{order}/{slice_id}"
+
+
+def _answers(folder: str, order: int, slice_id: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice's distinct n-grams: totals (0 if not kept), whether the slice is
+    the owner, and the sum and number of kept n-grams of which each is the context."""
+    fs, path = filesystem(_answer_file(folder, order, slice_id))
+    with fs.open_input_stream(path, compression="zstd") as f:
+        totals, sums, continued = np.frombuffer(f.read(), "<i8").reshape(3, -1)
+    return totals >> 1, (totals & 1).astype(bool), sums, continued
+
+
+def _dealt(folder: str, order: int, top: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A slice's distinct n-grams of ``order`` words by bucket of the hash: how often
+    they are in its training texts, and what it owns of the kept n-grams that continue them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in single_rows(batches):
-            h, counts = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["counts"], "<i8")
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            own = levels(row, min(order + 1, top))
+            keys, at = own[order - 1].keys, own[order - 1].at
+            train = ~np.repeat(np.frombuffer(row["held"], "u1").astype(bool), np.frombuffer(row["lengths"], "<i8"))
+            counts = np.bincount(at[train & (at >= 0)], minlength=len(keys))
+            sums = continued = np.zeros(len(keys), np.int64)
+            if order < top:
+                totals, owner, _, _ = _answers(folder, order + 1, row["slice"])
+                owner &= totals > 0
+                contexts = own[order].contexts[owner]
+                sums = np.bincount(contexts, totals[owner], len(keys)).astype(np.int64)
+                continued = np.bincount(contexts, minlength=len(keys))
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            parts = [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if cut[b] < cut[b + 1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), pa.array([row["slice"]] * len(own)),
-                 pa.array([h[cut[b]:cut[b + 1]].tobytes() for b in own]),
-                 pa.array([counts[cut[b]:cut[b + 1]].tobytes() for b in own])],
-                ["bucket", "slice", "words", "counts"])
+                [pa.array([b for b, _ in parts], pa.int32()), pa.array([row["slice"]] * len(parts), pa.string()),
+                 pa.array([p.stop - p.start for _, p in parts], pa.int32()),
+                 pa.array([int(keys[p.start].astype(np.int64)) for _, p in parts], pa.int64()),
+                 pa.array([packed(np.diff(keys[p])) for _, p in parts], pa.binary()),
+                 *(pa.array([packed(x[p]) for _, p in parts], pa.binary()) for x in (counts, sums, continued))],
+                ["bucket", "slice", "size", "start", "keys", "counts", "sums", "continued"])
     return run
 
 
-def _totals(least: int) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's answers: to each slice the totals of its words, and once (slice
-    null) the number of words, and those that occur ``least`` times."""
+def _totals(order: int) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's answers: to each slice the totals of its n-grams, and once (slice
+    null) the bucket's part of the model and its number of words."""
     def run(table: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(table["words"].to_pylist()), "<u8")
-        distinct, place = np.unique(h, return_inverse=True)
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<i8")
-        totals = np.zeros(len(distinct), np.int64)
-        np.add.at(totals, place, counts)
-        cut = np.cumsum([0, *pc.binary_length(table["words"]).to_pylist()]) // 8
-        answers = [totals[place[a:b]].tobytes() for a, b in zip(cut, cut[1:])]
-        kept = totals >= least
-        bucket = table["bucket"][0].as_py()
+        sizes = table["size"].to_pylist()
+        keys = np.concatenate([
+            np.concatenate(([start], unpacked(steps, n - 1))).cumsum().view(np.uint64)
+            for start, steps, n in zip(table["start"].to_pylist(), table["keys"].to_pylist(), sizes)])
+        distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
+
+        def summed(column: str) -> np.ndarray:
+            own = np.concatenate([unpacked(x, n) for x, n in zip(table[column].to_pylist(), sizes)])
+            return np.bincount(place, own, len(distinct)).astype(np.int64)
+
+        totals, sums, continued = summed("counts"), summed("sums"), summed("continued")
+        types = int((totals > 0).sum())
+        if order > 1:
+            totals[totals < LEAST] = 0
+        owner = np.zeros(len(place), np.int64)
+        owner[first] = 1
+        cut = np.cumsum([0, *sizes])
+        kept = totals > 0 if order > 1 else continued > 0
+        slices = [*table["slice"].to_pylist(), None]
+        answer = [place[a:b] for a, b in zip(cut, cut[1:])]
         return pa.table({
-            "slice": pa.array([*table["slice"].to_pylist(), None], pa.string()),
-            "bucket": pa.array([bucket] * (len(answers) + 1), pa.int32()),
-            "totals": pa.array([*answers, totals[kept].tobytes()]),
-            "words": pa.array([*[b""] * len(answers), distinct[kept].tobytes()]),
-            "types": pa.array([*[0] * len(answers), int((totals > 0).sum())], pa.int64())})
+            "slice": pa.array(slices, pa.string()),
+            "bucket": pa.array([table["bucket"][0].as_py()] * len(slices), pa.int32()),
+            "size": pa.array([*sizes, int(kept.sum())], pa.int32()),
+            "keys": pa.array([*[b""] * len(sizes), distinct[kept].astype("<u8").tobytes()], pa.binary()),
+            "totals": pa.array([*[packed(totals[p] << 1 | owner[a:b]) for p, a, b in zip(answer, cut, cut[1:])],
+                                packed(totals[kept] << 1)], pa.binary()),
+            "sums": pa.array([*[packed(sums[p]) for p in answer], packed(sums[kept])], pa.binary()),
+            "continued": pa.array([*[packed(continued[p]) for p in answer], packed(continued[kept])], pa.binary()),
+            "types": pa.array([*[0] * len(sizes), types], pa.int64())})
     return run
 
 
-def _answer_file(folder: str, slice_id: str) -> str:
-    return f"{folder}/totals/{slice_id}"
-
-
-def _gathered(folder: str) -> Callable[[pa.Table], pa.Table]:
-    """Writes a slice's answers, in the order of its words, as its file."""
+def _gathered(folder: str, order: int) -> Callable[[pa.Table], pa.Table]:
+    """Writes a slice's answers, in the order of its n-grams, as its file."""
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["bucket"].to_numpy())
-        parts = table["totals"].to_pylist()
+        by = np.argsort(table["bucket"].to_numpy())
+        sizes = table["size"].to_pylist()
         slice_id = table["slice"][0].as_py()
-        fs, path = filesystem(_answer_file(folder, slice_id))
+        fs, path = filesystem(_answer_file(folder, order, slice_id))
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         own = f"{path}-{uuid.uuid4().hex}"
-        with fs.open_output_stream(own, compression=None) as out:
-            out.write(b"".join(parts[i] for i in order))
+        with fs.open_output_stream(own, compression="zstd") as out:
+            for column in ("totals", "sums", "continued"):
+                parts = table[column].to_pylist()
+                out.write(np.concatenate([unpacked(parts[i], sizes[i]) for i in by]).tobytes())
         fs.move(own, path)  # all attempts write the same
         return pa.table({"slice": [slice_id]})
     return run
 
 
+def _base(counts: np.ndarray, n: int, types: int) -> np.ndarray:
+    """The add-one estimate of words with these counts."""
+    return (counts + 1.0) / (n + types + 1.0)
+
+
+def _spare(totals: np.ndarray, sums: np.ndarray, continued: np.ndarray) -> np.ndarray:
+    """What the kept n-grams that continue a context leave of its probability."""
+    return 1.0 - (sums - DISCOUNT * continued) / np.maximum(totals, 1)
+
+
 @dataclass
 class Automaton:
-    """``vocabulary``: ascending hashes of kept words, which number the states of
-    one word. ``ngrams[k]``: ascending keys of kept n-grams of k + 2 words: the
-    number of the n-gram without its last word, shifted, and the last word's."""
+    """``n`` training tokens, ``types`` words; the n-grams are in the written
+    buckets' rows without a slice, ``kept[k]`` for those of k + 1 words."""
     n: int
     types: int
-    vocabulary: np.ndarray
-    ngrams: list[np.ndarray] = field(default_factory=list)
-    weights: list[np.ndarray] = field(default_factory=list)   # log10 P of each kept n-gram
-    failures: list[np.ndarray] = field(default_factory=list)  # log10 backoff weight of each context
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the add-one estimate of words with these counts."""
-        return np.log10((counts + 1.0) / (self.n + self.types + 1.0))
-
-    def keys(self, contexts: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Keys of n-grams of a context's and a word's number; -1 if either is."""
-        return np.where((contexts < 0) | (last < 0), -1, (contexts << BITS) | np.maximum(last, 0))
-
-    def find(self, order: int, keys: np.ndarray) -> np.ndarray:
-        """Numbers of the n-grams of ``order`` words with these keys, or -1."""
-        return lookup(self.ngrams[order - 2], keys)
-
-    def arcs(self, first: np.ndarray, number: np.ndarray, orders: int) -> list[np.ndarray]:
-        """For each order from 2 on, the number of the n-gram that ends at each
-        token, or -1. ``number``: the tokens' words; ``first``: whether a token is
-        its text's first, whose context is an end."""
-        end = lookup(self.vocabulary, np.array([END_HASH]))[0]
-        before = np.where(first, end, np.concatenate(([-1], number[:-1])))
-        found = []
-        contexts = before
-        for order in range(2, orders + 1):
-            at = self.find(order, self.keys(contexts, number))
-            found.append(at)
-            contexts = np.where(first, -1, np.concatenate(([-1], at[:-1])))
-        return found
-
-    def scores(self, first: np.ndarray, number: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability of each token."""
-        top = len(self.ngrams) + 1
-        arcs = self.arcs(first, number, top)
-        end = lookup(self.vocabulary, np.array([END_HASH]))[0]
-        before = np.where(first, end, np.concatenate(([-1], number[:-1])))
-        out = base
-        for order in range(2, top + 1):
-            state = before if order == 2 else np.where(first, -1, np.concatenate(([-1], arcs[order - 3][:-1])))
-            at = arcs[order - 2]
-            weight, failure = self.weights[order - 2], self.failures[order - 2]
-            backed = out + (np.where(state < 0, 0.0, failure[np.maximum(state, 0)]) if len(failure) else 0.0)
-            out = np.where(at < 0, backed, weight[np.maximum(at, 0)]) if len(weight) else backed
-        return out
+    buckets: int
+    kept: list[DataFrame]
+
+    def find(self, order: int, keys: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """Those of a few n-grams that are kept: total, and sum and number of those that continue it."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in single_rows(batches):
+                own, n = np.frombuffer(row["keys"], "<u8"), row["size"]
+                at = np.flatnonzero(np.isin(own, keys))
+                found = [unpacked(row[c], n)[at] for c in ("totals", "sums", "continued")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[at].astype(np.int64)), pa.array(found[0] >> 1), pa.array(found[1]), pa.array(found[2])],
+                    ["key", "total", "sum", "continued"])
+        own = np.unique(((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).tolist()
+        rows = self.kept[order - 1].where(F.col("bucket").isin(own)).mapInArrow(
+            run, "key bigint, total bigint, sum bigint, continued bigint").collect()
+        return {r["key"] % (1 << 64): (r["total"], r["sum"], r["continued"]) for r in rows}
 
     def traverse(self, hashes: list[int], counts: list[int]) -> float:
         """One text's log10 probability, arc by arc: ``hashes`` of its tokens, the
         end token last, and their training counts."""
-        total, state = 0.0, [int(lookup(self.vocabulary, np.array([END_HASH]))[0])]
-        for h, c in zip(hashes, counts):
-            word = int(lookup(self.vocabulary, np.array([h], np.uint64))[0])
-            # state[k]: number of the kept n-gram of k + 1 words that ends here, longest last
-            taken = None
-            for k in range(min(len(state), len(self.ngrams)) - 1, -1, -1):
-                if state[k] < 0:
-                    continue
-                at = -1 if word < 0 else int(lookup(self.ngrams[k], np.array([(state[k] << BITS) | word]))[0])
-                if at >= 0:
-                    taken = float(self.weights[k][at])
-                    break
-                total += float(self.failures[k][state[k]])
-            total += float(self.base(np.array(c))) if taken is None else taken
-            state = [word] + [
-                -1 if s < 0 or word < 0 else int(lookup(self.ngrams[k], np.array([(s << BITS) | word]))[0])
-                for k, s in enumerate(state[:len(self.ngrams) - 1])]
-        return total
-
-
-def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in an ascending table, -1 for those that it lacks."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return np.where(table[at] == keys, at, -1)
-
-
-def _numbers(row: dict, model: Automaton) -> tuple[np.ndarray, np.ndarray]:
-    """Of a slice's tokens: whether each begins a text, and its word's number."""
-    tokens, lengths = np.frombuffer(row["tokens"], "<u4"), np.frombuffer(row["lengths"], "<i8")
-    first = np.zeros(len(tokens), bool)
-    first[np.cumsum(lengths)[:-1]] = True
-    first[:1] = True
-    return first, lookup(model.vocabulary, np.frombuffer(row["words"], "<u8"))[tokens]
+        distinct, tokens = np.unique(np.array(hashes, np.uint64), return_inverse=True)
+        own = levels({"tokens": tokens.astype("<u4").tobytes(), "words": distinct.tobytes(),
+                      "lengths": np.array([len(hashes)], "<i8").tobytes()}, len(self.kept))
+        kept = [self.find(k + 1, level.keys) for k, level in enumerate(own)]
 
+        def state(order: int, number: int) -> tuple[int, int, int] | None:
+            return kept[order - 1].get(int(own[order - 1].keys[number])) if number >= 0 else None
 
-def _ngram_counts(shared, order: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A slice's training n-grams of ``order`` words whose shorter ends are kept,
-    with their counts, by bucket of the key."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for row in single_rows(batches):
-            first, number = _numbers(row, model)
-            lengths = np.frombuffer(row["lengths"], "<i8")
-            train = ~np.repeat(np.frombuffer(row["held"], "u1").astype(bool), lengths)
-            if order == 2:
-                end = lookup(model.vocabulary, np.array([END_HASH]))[0]
-                contexts = np.where(first, end, np.concatenate(([-1], number[:-1])))
-                last = number >= 0
-            else:
-                ends = model.arcs(first, number, order - 1)[-1]
-                contexts = np.where(first, -1, np.concatenate(([-1], ends[:-1])))
-                last = ends >= 0
-            keys, counts = np.unique(model.keys(contexts, number)[train & last & (contexts >= 0)], return_counts=True)
-            bucket = (keys * 0x9E3779B1 >> 7) % buckets
-            by = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), pa.array([keys[by[cut[b]:cut[b + 1]]].tobytes() for b in own], pa.binary()),
-                 pa.array([counts[by[cut[b]:cut[b + 1]]].astype("<i4").tobytes() for b in own], pa.binary())],
-                ["bucket", "keys", "counts"])
-    return run
-
+        def weight(order: int, i: int) -> float:
+            """P of the arc of ``order`` words that reads token i, or by failure arcs of the longest below."""
+            if order == 1:
+                return float(_base(np.array(counts[i]), self.n, self.types))
+            context, arc = state(order - 1, own[order - 1].before[i]), state(order, own[order - 1].at[i])
+            if context is None:
+                return weight(order - 1, i)
+            back = float(_spare(*map(np.array, context))) * weight(order - 1, i)
+            return back if arc is None else (arc[0] - DISCOUNT) / context[0] + back
 
-def _kept(least: int) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        keys, place = np.unique(np.frombuffer(b"".join(table["keys"].to_pylist()), "<i8"), return_inverse=True)
-        totals = np.zeros(len(keys), np.int64)
-        np.add.at(totals, place, np.frombuffer(b"".join(table["counts"].to_pylist()), "<i4"))
-        kept = totals >= least
-        return pa.table({"keys": [keys[kept].tobytes()], "counts": [totals[kept].tobytes()]})
-    return run
+        return sum(math.log10(weight(len(self.kept), i)) for i in range(len(hashes)))
 
 
-def smooth(model: Automaton, keys: np.ndarray, counts: np.ndarray, context_counts: np.ndarray,
-           shorter: np.ndarray) -> None:
-    """Adds an order to the model: ascending keys of its kept n-grams with their
-    counts, the counts of all contexts, and the log10 probability of each n-gram's
-    last word in the context without its first."""
-    context = keys >> BITS
-    taken = np.bincount(context, counts - DISCOUNT, len(context_counts))
-    spare = 1.0 - taken / np.maximum(context_counts, 1)
-    p = (counts - DISCOUNT) / context_counts[context] + spare[context] * 10.0 ** shorter
-    model.ngrams.append(keys)
-    model.weights.append(np.log10(p))
-    model.failures.append(np.log10(spare))
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def train(slices: DataFrame, folder: str, order: int = ORDER) -> Automaton:
-    """Counts all training tokens of the written slices, leaves each slice's totals
-    in its file, and returns the automaton."""
+    """Counts all training n-grams of the written slices, leaves each slice's totals
+    in its files, and returns the automaton."""
     spark = slices.sparkSession
     buckets = 2 * partitions(spark)
+    kept: list[DataFrame] = []
+    with _shuffles_removed(spark):
+        for k in range(order, 0, -1):  # an n-gram's total counts for its context
+            totals = written(slices.select("slice", "lengths", "held", "tokens", "words")
+                             .mapInArrow(_dealt(folder, k, order, buckets), DEALT)
+                             .groupBy("bucket").applyInArrow(_totals(k), ANSWERS), folder, f"answers-{k}")
+            written(totals.where("slice IS NOT NULL").drop("keys", "types").groupBy("slice")
+                    .applyInArrow(_gathered(folder, k), "slice string"), folder, f"gathered-{k}")
+            kept.insert(0, totals.where("slice IS NULL"))
     n = slices.agg(F.sum("n_train")).first()[0] or 0
-    least = max(2, math.ceil(KEEP * n))
-    totals = written(slices.select("slice", "words", "counts")
-                     .mapInArrow(_dealt(buckets), "bucket int, slice string, words binary, counts binary")
-                     .groupBy("bucket").applyInArrow(_totals(least), "slice string, bucket int, totals binary, "
-                                                                     "words binary, types bigint"), folder, "answers")
-    written(totals.where("slice IS NOT NULL").select("slice", "bucket", "totals").groupBy("slice")
-            .applyInArrow(_gathered(folder), "slice string"), folder, "gathered")
-    # words that make up KEEP of all tokens: 1 / KEEP at most
-    own = totals.where("slice IS NULL").select("words", "totals", "types").collect()
-    vocabulary = np.frombuffer(b"".join(bytes(r["words"]) for r in own), "<u8")
-    counts = np.frombuffer(b"".join(bytes(r["totals"]) for r in own), "<i8")
-    by = np.argsort(vocabulary)
-    model = Automaton(n, sum(r["types"] for r in own), vocabulary[by])
-    context_counts, p, tails = counts[by], model.base(counts[by]), None
-    for k in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(model)
-        rows = (slices.select("lengths", "held", "tokens", "words")
-                .mapInArrow(_ngram_counts(shared, k, buckets), "bucket int, keys binary, counts binary")
-                .groupBy("bucket").applyInArrow(_kept(least), "keys binary, counts binary").collect())
-        keys = np.frombuffer(b"".join(bytes(r["keys"]) for r in rows), "<i8")
-        counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), "<i8")
-        by = np.argsort(keys)
-        keys, counts = keys[by], counts[by]
-        last = keys & ((1 << BITS) - 1)
-        # number of each n-gram without its first word
-        tails = last if k == 2 else lookup(model.ngrams[-1], (tails[keys >> BITS] << BITS) | last)
-        shorter = p[tails] if k == 2 else model.weights[-1][tails]
-        smooth(model, keys, counts, context_counts, shorter)
-        context_counts = counts
-        shared.destroy()
-    return model
-
-
-def _scored(shared, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return Automaton(n, kept[0].agg(F.sum("types")).first()[0] or 0, buckets, kept)
+
+
+def _scored(folder: str, n: int, types: int, order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for row in single_rows(batches):
-            fs, path = filesystem(_answer_file(folder, row["slice"]))
-            with fs.open_input_stream(path, compression=None) as f:
-                totals = np.frombuffer(f.read(), "<i8")
-            tokens, lengths = np.frombuffer(row["tokens"], "<u4"), np.frombuffer(row["lengths"], "<i8")
-            first, number = _numbers(row, model)
-            base = model.base(totals)[tokens]
-            starts = np.cumsum(lengths) - lengths
-            sums = [np.add.reduceat(x, starts) for x in (
-                (totals > 0)[tokens].astype(np.int64), base, model.scores(first, number, base))]
-            n = len(lengths)
+            own = levels(row, order)
+            totals, _, sums, continued = _answers(folder, 1, row["slice"])
+            known = (totals > 0)[own[0].at].astype(np.int64)
+            p = base = _base(totals, n, types)[own[0].at]
+            for k in range(2, order + 1):
+                level, spare, context = own[k - 1], _spare(totals, sums, continued), totals
+                totals, _, sums, continued = _answers(folder, k, row["slice"])
+                some = np.flatnonzero(level.before >= 0)
+                before, total = level.before[some], totals[level.at[some]]
+                p = p.copy()
+                p[some] = spare[before] * p[some] + np.where(
+                    total > 0, (total - DISCOUNT) / np.maximum(context[before], 1), 0.0)
+            lengths = np.frombuffer(row["lengths"], "<i8")
+            sums = [np.add.reduceat(x, np.cumsum(lengths) - lengths) for x in (known, np.log10(base), np.log10(p))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["doc_ids"], pa.int64()), pa.array(np.frombuffer(row["held"], "u1").astype(bool)),
-                 pa.array(lengths), pa.array(sums[0]), pa.array(np.full(n, model.n, np.int64)),
+                 pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), n, np.int64)),
                  pa.array(sums[1]), pa.array(sums[2])],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
@@ -367,8 +366,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_dir(spark)
     slices = written(docs.select("doc_id", "text").mapInArrow(_slices, SLICES), folder, "slices")
-    shared = spark.sparkContext.broadcast(train(slices, folder, order))
-    return slices.mapInArrow(_scored(shared, folder), SCORES)
+    model = train(slices, folder, order)
+    return slices.mapInArrow(_scored(folder, model.n, model.types, order), SCORES)
 
 
 def op4_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,3 +199,14 @@ def test_traversal_equals_the_vector_pass_and_sums_to_one(spark):
     for g, h in itertools.product([None, *words], words):
         total = sum(brute.p3(g, h, w) for w in [*words, None]) + brute.p3(g, h, "unknown")
         assert total == pytest.approx(1, abs=1e-12)
+
+
+def test_rare_ngrams_count_however_large_the_corpus_is(spark):
+    docs = [(0, "x " * 2_500_000), (3, "p q r"), (5, "p q r"), (6, "s p q r t")]
+    model = Trigrams(docs, 0.0, L.DISCOUNT)
+    assert ("p", "q", "r") in model.k3 and model.n > 2_400_000
+    rows = L.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    for r in rows:
+        if r["doc_id"]:
+            assert (r["base_score"], r["score"]) == pytest.approx(model.scores(dict(docs)[r["doc_id"]]), abs=1e-9)
+    assert len(rows) == 4

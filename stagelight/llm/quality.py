@@ -7,9 +7,10 @@ better the good dictionary knows the text) becomes a probability by logistic
 calibration on other labelled rows. Every piece of every text is read.
 
 At most ``TRAIN_ROWS`` labelled rows (those with the smallest id hash) are used, a
-documented bound on the classifier's sample: half give ``PIECE`` bytes each for
-the dictionaries, the other half calibrate. The dictionaries have
-``DICTIONARY_BYTES`` each and are broadcast.
+documented bound on the classifier's sample: half give all their pieces for the
+dictionaries, the other half calibrate. The pieces are dealt to ``PARTS`` tasks,
+which choose a dictionary's content each, and the dictionaries are built from what
+these chose. They have ``DICTIONARY_BYTES`` each and are broadcast.
 
 Defined results
 * null and empty texts have difference 0 and so the score of no evidence.
@@ -35,12 +36,17 @@ from .common import crc_mod, shared_dir, text_slices, written
 from .toxicity import training_rows
 
 TRAIN_ROWS = 12_000
+PARTS = 24
 PIECE = 384
 DICTIONARY_BYTES = 256 << 10
 LEVEL = 3
 THRESHOLD = 0.7
 
 
+def cut(text: bytes) -> list[bytes]:
+    return [text[k:k + PIECE] for k in range(0, len(text), PIECE)]
+
+
 def dictionary(pieces: list[bytes]) -> bytes:
     """Content of a dictionary for such pieces; few or tiny ones are used as they are."""
     if sum(map(len, pieces)) > 4 * PIECE and len(pieces) >= 20:
@@ -58,7 +64,7 @@ def sizer(content: bytes) -> Callable[[bytes], int]:
         held = zstandard.ZstdCompressionDict(content)
         held.precompute_compress(level=LEVEL)
     compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False).compress
-    return lambda text: sum(len(compress(text[k:k + PIECE])) for k in range(0, len(text), PIECE))
+    return lambda text: sum(len(compress(piece)) for piece in cut(text))
 
 
 def difference(text: bytes, good: Callable[[bytes], int], bad: Callable[[bytes], int]) -> float:
@@ -94,20 +100,38 @@ def _differences(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _chosen(table: pa.Table) -> pa.Table:
+    """For each label of a part, the pieces of its texts, or where they are more
+    than a dictionary holds, those of a dictionary built from them."""
+    texts: dict[int, list[tuple]] = {}
+    for row in table.select(["label", "doc_id", "text"]).to_pylist():
+        texts.setdefault(row["label"], []).append((row["doc_id"], row["text"]))
+    out = {}
+    for label, own in sorted(texts.items()):
+        pieces = [piece for _, text in sorted(own) for piece in cut(text)]
+        out[label] = pieces if sum(map(len, pieces)) <= DICTIONARY_BYTES else cut(dictionary(pieces))
+    return pa.table({"part": pa.array([table["part"][0].as_py()] * len(out), pa.int32()),
+                     "label": pa.array(list(out), pa.int32()),
+                     "pieces": pa.array(list(out.values()), pa.list_(pa.binary()))})
+
+
 def train(rows: DataFrame, folder: str) -> tuple[bytes, bytes, float, float]:
     """The two dictionaries, and slope and intercept of the calibration, from
     (doc_id, text, label)."""
     spark = rows.sparkSession
     rows = written(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))), folder, "sample")
-    pieces = rows.where("half = 0").select(
-        "label", F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, PIECE).alias("piece")
-    ).orderBy("doc_id", "label").collect()  # TRAIN_ROWS pieces at most
-    contents = [dictionary([bytes(r["piece"]) for r in pieces if r["label"] == k and r["piece"]]) for k in (1, 0)]
+    learnt = rows.where("half = 0")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(PARTS)).cast("int")
+    chosen = (learnt.select("doc_id", "label", F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
+              .withColumn("part", part).groupBy("part")
+              .applyInArrow(_chosen, "part int, label int, pieces array<binary>")
+              .orderBy("part").collect())  # about the content of PARTS dictionaries of each label at most
+    contents = [dictionary([bytes(x) for r in chosen if r["label"] == k for x in r["pieces"]]) for k in (1, 0)]
     shared = spark.sparkContext.broadcast(contents)
     seen = rows.where("half = 1").select("label", "text").mapInArrow(_differences(shared), "key int, x double").collect()
     labels = [r["key"] for r in seen]
     if not all(contents):  # one kind of label alone says nothing about the other
-        labels = labels + [r["label"] for r in pieces]
+        labels = labels + [r["label"] for r in learnt.select("label").collect()]
         return b"", b"", *calibrate(np.zeros(len(labels)), np.array(labels, float))
     return *contents, *calibrate(np.array([r["x"] for r in seen]), np.array(labels, float))
 

@@ -90,3 +90,16 @@ def test_dictionary_difference_prefers_its_own():
     g, b = Q.sizer(Q.dictionary(good)), Q.sizer(Q.dictionary(bad))
     assert Q.difference(b"the quick brown fox jumps", g, b) > 0 > Q.difference(b"BUY!! CHEAP!! NOW!!", g, b)
     assert Q.difference(b"", g, b) == 0
+
+
+def test_dictionaries_learn_from_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    header = "this line of licence opens every document of the source alike. " * 10
+    kinds = [["".join(rng.choice(list("abcdefghijklmnop"), 12)) for _ in range(40)] for _ in range(2)]
+    rows = [(k, header + " ".join(rng.choice(kinds[k % 2], 60)), k % 2) for k in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    assert len(header) > Q.PIECE
+    found = {r["doc_id"]: r["score"] for r in Q.quality(docs, labels).where("held_out").collect()}
+    assert len(found) > 50
+    assert min(v for k, v in found.items() if k % 2) > 0.9 and max(v for k, v in found.items() if not k % 2) < 0.1

@@ -48,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +112,8 @@ def _incidence(buckets: int):
             yield (b, kind, *(columns[c][a:z].tobytes() if c in columns else b""
                               for c in ("hashes", "classes", "sizes", "counted", "ids")))
 
-    def slice_rows(ids: list[int | None], texts: list[bytes]) -> Iterator[tuple]:
+    def slice_rows(ids: list[int | None], texts: list[bytes], own_bucket: int) -> Iterator[tuple]:
+        """``own_bucket``: where what is only passed on goes, whatever the texts are."""
         sets, documents = {}, []
         for doc_id, text in zip(ids, texts):
             found = shingles(text)
@@ -120,7 +122,7 @@ def _incidence(buckets: int):
             if n and doc_id is not None:
                 sets.setdefault((cls, n), found)
         d = np.array(documents, np.int64)
-        yield from rows(DOCUMENT, np.full(len(d), int(d[0, 1]) % buckets), ids=d[:, 0], classes=d[:, 1],
+        yield from rows(DOCUMENT, np.full(len(d), own_bucket), ids=d[:, 0], classes=d[:, 1],
                         sizes=d[:, 2].astype(np.int32))
         if not sets:
             return
@@ -132,7 +134,7 @@ def _incidence(buckets: int):
         whole = [s[:may_lack(len(s)) + 1] for s, f in zip(own, few) if f]
         if whole:
             lengths = [len(w) for w in whole]
-            yield from rows(WHOLE, np.full(sum(lengths), int(classes[0]) % buckets), hashes=np.concatenate(whole),
+            yield from rows(WHOLE, np.full(sum(lengths), own_bucket), hashes=np.concatenate(whole),
                             classes=np.repeat(classes[few], lengths), sizes=np.repeat(sizes[few], lengths),
                             counted=np.repeat(counted[few], lengths))
         h = np.concatenate([s[:k] for s, k in zip(own, counted)])
@@ -146,7 +148,7 @@ def _incidence(buckets: int):
             o = owner[known]
             by = np.argsort(o, kind="stable")
             known, o = known[by], o[by]
-            yield from rows(SHARED, np.full(len(known), int(classes[0]) % buckets), hashes=h[known],
+            yield from rows(SHARED, np.full(len(known), own_bucket), hashes=h[known],
                             classes=classes[o], sizes=sizes[o], counted=counted[o])
         ask = np.flatnonzero(~same)  # each column once; of a repeated one only that it is shared
         o = owner[ask]
@@ -157,9 +159,10 @@ def _incidence(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        for part, texts in text_slices(batches):
+        task = TaskContext.get().partitionId()  # the same in all attempts
+        for k, (part, texts) in enumerate(text_slices(batches)):
             ids = part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()).to_pylist()
-            out = list(slice_rows(ids, texts))
+            out = list(slice_rows(ids, texts, xxhash.xxh64_intdigest(f"{task}/{k}") % buckets))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out), types)],
                 ["bucket", "kind", "hashes", "classes", "sizes", "counted", "ids"])

@@ -87,3 +87,16 @@ def test_components(spark):
     found = components(spark.createDataFrame(edges, "a bigint, b bigint"), shared_dir(spark))
     assert {r["node"]: r["component"] for r in found.collect()} == {x: min(c) for x, c in comp.items()}
     assert components(spark.createDataFrame([], "a bigint, b bigint"), shared_dir(spark)).count() == 0
+
+
+def test_slices_that_begin_alike_are_dealt_over_the_buckets(spark):
+    from pyspark.sql import functions as F
+    same = "one group of copies begins every slice of the documents here"
+    docs = spark.range(0, 160, numPartitions=16).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 5, same).otherwise(
+            F.concat(F.lit(same + " "), F.col("id").cast("string"))).alias("text"))
+    rows = docs.mapInArrow(N._incidence(24), N.MAPPED).where(F.col("kind") != N.ASK).collect()
+    for kind in {r["kind"] for r in rows}:
+        buckets = [r["bucket"] for r in rows if r["kind"] == kind]
+        assert len(set(buckets)) >= 6, kind
+    assert sum(len(r["ids"]) // 8 for r in rows) == 160

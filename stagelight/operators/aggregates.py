@@ -78,14 +78,14 @@ def histogram(df: DataFrame, col: str, n: str = "n") -> DataFrame:
     """Counts per bin [k*w, (k+1)*w) with the smallest 'nice' width w giving
     at most 20 bins over the column's range; nulls are ignored.
 
-    Values are counted per distinct value first (partial aggregation); the range
-    is an aggregate of that table, so no task sees all of it, whatever the
-    column's number of distinct values.
+    Values are counted per distinct value first (partial aggregation); the width
+    is computed in the one-row aggregate of their range and enters the plan as one
+    scalar subquery, so no task sees all values and the plan holds the input twice.
     """
     per_value = (df.where(F.col(col).isNotNull())
                    .groupBy(F.col(col).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    bounds = per_value.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
-    width = histogram_width(bounds.getField("lo"), bounds.getField("hi"))
+    bounds = per_value.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    width = bounds.select(histogram_width(F.col("lo"), F.col("hi"))).scalar()
     binned = (per_value.withColumn("_w", width)
                        .withColumn("bin_start", F.floor(F.col("_v") / F.col("_w")) * F.col("_w")))
     return (binned.groupBy("bin_start", "_w").agg(F.sum("_c").alias(n))

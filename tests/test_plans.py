@@ -62,6 +62,13 @@ def test_scans_read_only_needed_columns(plans):
     assert scans and all("o_orderpriority" not in s and "c_name" not in s for s in scans)
 
 
+def test_histogram_plans_hold_their_input_twice(plans):
+    """The width is one scalar subquery; its candidates must not repeat the input."""
+    for key, other in (("age_histogram", "gender_distribution"), ("demo_age_histogram", "demo_gender")):
+        assert len(scans(plans[key])) <= 2 * len(scans(plans[other])) + 2, key
+        assert len(plans[key]) < 300_000, (key, len(plans[key]))
+
+
 def test_no_full_outer_join(plans):
     """A full outer join could be split neither by AQE nor by salting under a hot key."""
     for key, text in plans.items():

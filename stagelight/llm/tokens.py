@@ -80,6 +80,20 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         return array.array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
+    def spaced_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words without white space, each after a space."""
+        out, rest = [b""] * len(words), []
+        for k, w in enumerate(words):
+            if w.isalpha():
+                out[k] = self._word_ids(" " + w)
+            elif w[-1] in self.marks and w[:-1].isalpha():
+                out[k] = self._word_ids(" " + w[:-1]) + self.marks[w[-1]]
+            else:
+                rest.append(k)
+        for k, ids in zip(rest, self._ids([" " + words[k] for k in rest])):
+            out[k] = ids
+        return out
+
     def _learn(self, units: set[str]) -> None:
         """Puts the ids of units that ``new`` lacks into it."""
         if len(self.new) + len(units) > self.units:

@@ -7,8 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, digest_index, language_model, ngram_join, packing, pii, quality, simple8b,
-               toxicity, warc)
+from . import (decontaminate, digest_index, fertility, language_model, ngram_join, packing, pii, prefix_trie, quality,
+               simple8b, toxicity, vector_codes, warc)
 from .common import ship
 
 
@@ -32,9 +32,14 @@ QUERIES = {name: shipped(query) for name, query in {
     "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
     "op9_decontaminate_index": decontaminate.op9_decontaminate_index,
     "op10_exact_dedup": digest_index.op10_exact_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_fertility_rules": fertility.op13_fertility_rules,
 }.items()}
 ORACLE_SQL = {
     "op7_warc_bundles": warc.ORACLE_SQL,
     "op9_decontaminate_index": decontaminate.ORACLE_SQL,
     "op10_exact_dedup": digest_index.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }

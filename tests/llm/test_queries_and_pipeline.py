@@ -16,13 +16,13 @@ SF01 = "/root/testdata/sf0.01"
 
 def test_entry_has_them():
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE_SQL) <= set(E.oracle_sql())
-    assert [f"op{n}" for n in range(1, 11)] == sorted((k.split("_")[0] for k in QUERIES), key=lambda k: int(k[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted((k.split("_")[0] for k in QUERIES), key=lambda k: int(k[2:]))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF01}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]

@@ -82,8 +82,12 @@ def histogram(df: DataFrame, col: str, n: str = "n") -> DataFrame:
     is computed in the one-row aggregate of their range and enters the plan as one
     scalar subquery, so no task sees all values and the plan holds the input twice.
     """
-    per_value = (df.where(F.col(col).isNotNull())
-                   .groupBy(F.col(col).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    return histogram_of_counts(frequency(df, col, "_c"), col, "_c", n)
+
+
+def histogram_of_counts(counts: DataFrame, col: str, count: str = "n", n: str = "n") -> DataFrame:
+    """``histogram`` of values that have been counted: one row for each."""
+    per_value = counts.select(F.col(col).cast("long").alias("_v"), F.col(count).alias("_c"))
     bounds = per_value.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     width = bounds.select(histogram_width(F.col("lo"), F.col("hi"))).scalar()
     binned = (per_value.withColumn("_w", width)

@@ -2,7 +2,9 @@
 ``Filters`` and returns a DataFrame; nothing is collected to the driver.
 
 Frames: ``base`` (transactions), ``demo`` (demographics), ``tp`` (teacher
-performance); see ``stagelight.plans.frames``.
+performance); see ``stagelight.plans.frames``. Where ``base`` is only summed or
+counted it may also be a ``FactorisedBase``, which gives the same rows from sums per
+student instead of the joined rows (``stagelight.plans.factorised``).
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import (age_group, count_text, money_text, month_key, month_key_to_date,
                          month_label, percent_label)
 from ..operators.aggregates import (conditional_top_k, frequency, growth_rate,
-                                    drop_null_group, histogram, largest_first, money_sum, monthly_sum, ranked_head,
+                                    drop_null_group, histogram, histogram_of_counts, largest_first, money_sum, monthly_sum, ranked_head,
                                     weekday_month_grid, weekday_month_pivot, with_share)
 from ..operators.filters import (BASE_COLUMNS, DEMOGRAPHICS_COLUMNS, TEACHER_COLUMNS, Filters,
                                  apply_filters, date_range, known_teachers)
 from ..operators.joins import keep_keys, look_up, semi_join_small
 from ..sources.literals import AGE_GROUP_LABELS, COURSE_NAMES
+from .factorised import FactorisedBase
 
 TOP_TEACHERS = 5          # teachers kept when there are more than ...
 TOP_TEACHERS_IF_OVER = 10  # ... this many
@@ -26,7 +29,7 @@ TOP_AUDIENCE = 5
 
 
 # ------------------------------------------------------------------ headline
-def kpi_summary(base: DataFrame, tp: DataFrame) -> DataFrame:
+def kpi_summary(base: DataFrame | FactorisedBase, tp: DataFrame) -> DataFrame:
     """Total revenue, distinct students, distinct teachers, mean amount.
 
     ``tp`` needs only Teacher_ID: the teacher frame, or the narrower
@@ -34,6 +37,11 @@ def kpi_summary(base: DataFrame, tp: DataFrame) -> DataFrame:
     two one-row aggregates are combined without a join.
     """
     teachers = tp.agg(F.count_distinct("Teacher_ID")).scalar()
+    if isinstance(base, FactorisedBase):
+        return base.totals().select(
+            F.coalesce("Amount", F.lit(0)).cast("double").alias("total_revenue"),
+            F.col("students").alias("total_students"), teachers.alias("total_teachers"),
+            F.try_divide(F.col("Amount").cast("double"), F.col("n_amounts")).alias("avg_transaction"))
     return base.agg(
         money_sum("Amount").alias("total_revenue"),
         F.count_distinct("Student_id").alias("total_students"),
@@ -41,7 +49,7 @@ def kpi_summary(base: DataFrame, tp: DataFrame) -> DataFrame:
         F.try_divide(F.sum("Amount").cast("double"), F.count("Amount")).alias("avg_transaction"))
 
 
-def kpi_cards(base: DataFrame, tp: DataFrame) -> DataFrame:
+def kpi_cards(base: DataFrame | FactorisedBase, tp: DataFrame) -> DataFrame:
     """The four KPI figures as display text: '$1,234.57' and '1,234'."""
     k = kpi_summary(base, tp)
     return k.select(money_text(F.col("total_revenue")).alias("total_revenue_text"),
@@ -50,27 +58,36 @@ def kpi_cards(base: DataFrame, tp: DataFrame) -> DataFrame:
                     money_text(F.col("avg_transaction")).alias("avg_transaction_text"))
 
 
-def revenue_trend(base: DataFrame) -> DataFrame:
+def dated_amounts(base: DataFrame | FactorisedBase) -> DataFrame:
+    """Order_Date and Amount for sums over days and longer: the rows, or their daily sums."""
+    return base.daily() if isinstance(base, FactorisedBase) else base
+
+
+def counted(base: DataFrame | FactorisedBase, column: str) -> DataFrame:
+    return base.counts(column) if isinstance(base, FactorisedBase) else frequency(base, column)
+
+
+def revenue_trend(base: DataFrame | FactorisedBase) -> DataFrame:
     """Revenue per 'yyyy-MM' month, all rows."""
-    return monthly_sum(base, "Order_Date", "Amount").orderBy("Month")
+    return monthly_sum(dated_amounts(base), "Order_Date", "Amount").orderBy("Month")
 
 
-def load_monthly_revenue(base: DataFrame) -> DataFrame:
+def load_monthly_revenue(base: DataFrame | FactorisedBase) -> DataFrame:
     """Month_Year, Amount and month-over-month growth over all rows."""
-    monthly = monthly_sum(base, "Order_Date", "Amount", month="Month_Year")
+    monthly = monthly_sum(dated_amounts(base), "Order_Date", "Amount", month="Month_Year")
     return growth_rate(monthly, order="Month_Year").orderBy("Month_Year")
 
 
-def course_distribution(base: DataFrame) -> DataFrame:
-    return largest_first(frequency(base, "Course_Type_Name"), "n", "Course_Type_Name")
+def course_distribution(base: DataFrame | FactorisedBase) -> DataFrame:
+    return largest_first(counted(base, "Course_Type_Name"), "n", "Course_Type_Name")
 
 
-def gender_distribution(base: DataFrame) -> DataFrame:
-    return largest_first(frequency(base, "Customer_Gender"), "n", "Customer_Gender")
+def gender_distribution(base: DataFrame | FactorisedBase) -> DataFrame:
+    return largest_first(counted(base, "Customer_Gender"), "n", "Customer_Gender")
 
 
-def age_histogram(base: DataFrame) -> DataFrame:
-    return histogram(base, "Customer_Age")
+def age_histogram(base: DataFrame | FactorisedBase) -> DataFrame:
+    return histogram_of_counts(counted(base, "Customer_Age"), "Customer_Age")
 
 
 # -------------------------------------------------------------------- facets
@@ -126,25 +143,31 @@ def filtered_base(base: DataFrame, filters: Filters | None) -> DataFrame:
     return apply_filters(base, filters, BASE_COLUMNS)
 
 
-def monthly_revenue_growth(base: DataFrame, filters: Filters | None = None) -> DataFrame:
-    monthly = monthly_sum(filtered_base(base, filters), "Order_Date", "Amount")
+def filtered_amounts(base: DataFrame | FactorisedBase, filters: Filters | None) -> DataFrame:
+    if isinstance(base, FactorisedBase):
+        return base.where(filters).daily()
+    return filtered_base(base, filters)
+
+
+def monthly_revenue_growth(base: DataFrame | FactorisedBase, filters: Filters | None = None) -> DataFrame:
+    monthly = monthly_sum(filtered_amounts(base, filters), "Order_Date", "Amount")
     return growth_rate(monthly).orderBy("Month")
 
 
-def growth_label(base: DataFrame, filters: Filters | None = None) -> DataFrame:
+def growth_label(base: DataFrame | FactorisedBase, filters: Filters | None = None) -> DataFrame:
     out = monthly_revenue_growth(base, filters)
     return out.withColumn("Growth_Rate_Label", percent_label(F.col("Growth_Rate")))
 
 
-def booking_heatmap(base: DataFrame, filters: Filters | None = None) -> DataFrame:
+def booking_heatmap(base: DataFrame | FactorisedBase, filters: Filters | None = None) -> DataFrame:
     """Dense weekday x month revenue, long form."""
-    return weekday_month_grid(filtered_base(base, filters), "Order_Date", "Amount") \
+    return weekday_month_grid(filtered_amounts(base, filters), "Order_Date", "Amount") \
         .orderBy("Month", "day_no")
 
 
-def booking_heatmap_wide(base: DataFrame, filters: Filters | None = None) -> DataFrame:
+def booking_heatmap_wide(base: DataFrame | FactorisedBase, filters: Filters | None = None) -> DataFrame:
     """Weekday rows (Monday first) x one column per month of the selection."""
-    return weekday_month_pivot(filtered_base(base, filters), "Order_Date", "Amount")
+    return weekday_month_pivot(filtered_amounts(base, filters), "Order_Date", "Amount")
 
 
 # -------------------------------------------------------------- demographics

@@ -22,6 +22,7 @@ from ..session import configure, ensure_checkpoint_dir
 from ..sources.roles import Roles, require_rows
 from . import analyses as A
 from . import frames
+from .factorised import FactorisedBase
 
 # Default parameters of the registered queries.
 DATES = ("1996-01-01", "1998-12-31")
@@ -60,11 +61,18 @@ class Workspace:
     def __init__(self, roles: Roles):
         self.roles = roles
         self._written: str | None = None  # folder of materialized tables
+        self._extracted = False
 
     @cached_property
     def base(self) -> DataFrame:
         return frames.base(self.roles)
 
+    @property
+    def sums(self) -> DataFrame | FactorisedBase:
+        """What sums and counts over base take: sums per student from the roles, or
+        the frame itself where it has been extracted."""
+        return self.base if self._extracted else FactorisedBase(self.roles)
+
     @cached_property
     def demo(self) -> DataFrame:
         return frames.demographics(self.roles)
@@ -97,6 +105,7 @@ class Workspace:
         root = ensure_checkpoint_dir(spark)
         if not root:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        self._extracted = True
         if not partition_by_month:
             self.base = self.base.checkpoint(eager=True)
             self.demo = self.demo.checkpoint(eager=True)
@@ -160,13 +169,13 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     # loaders
     "load_transactions": (lambda w: w.base),
     "load_business_trends": (lambda w: frames.with_calendar_names(w.base)),
-    "load_monthly_revenue": (lambda w: A.load_monthly_revenue(w.base)),
+    "load_monthly_revenue": (lambda w: A.load_monthly_revenue(w.sums)),
     "load_demographics": (lambda w: w.demo),
     "load_teacher_performance": (lambda w: w.tp),
     "teacher_first_course": (lambda w: A.teacher_first_course(w.tp)),
     # headline + facets
-    "kpi_summary": (lambda w: A.kpi_summary(w.base, frames.class_teachers(w.roles))),
-    "kpi_cards": (lambda w: A.kpi_cards(w.base, frames.class_teachers(w.roles))),
+    "kpi_summary": (lambda w: A.kpi_summary(w.sums, frames.class_teachers(w.roles))),
+    "kpi_cards": (lambda w: A.kpi_cards(w.sums, frames.class_teachers(w.roles))),
     "facet_date_bounds": (lambda w: A.facet_date_bounds(w.roles.transaction_data)),
     "facet_age_bounds": (lambda w: A.facet_age_bounds(w.roles.student_basic)),
     "facet_age_marks": (lambda w: A.facet_age_marks(w.roles.student_basic)),
@@ -189,15 +198,15 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "filter_teacher_combined": (lambda w: A.teacher_selection(w.tp, TEACHER_COMBINED_FILTERS)),
     "teacher_top5_combined": (lambda w: A.teacher_top5(w.tp, TEACHER_COMBINED_FILTERS)),
     # overview charts
-    "revenue_trend": (lambda w: A.revenue_trend(w.base)),
-    "course_distribution": (lambda w: A.course_distribution(w.base)),
-    "gender_distribution": (lambda w: A.gender_distribution(w.base)),
-    "age_histogram": (lambda w: A.age_histogram(w.base)),
+    "revenue_trend": (lambda w: A.revenue_trend(w.sums)),
+    "course_distribution": (lambda w: A.course_distribution(w.sums)),
+    "gender_distribution": (lambda w: A.gender_distribution(w.sums)),
+    "age_histogram": (lambda w: A.age_histogram(w.sums)),
     # revenue & bookings
-    "monthly_revenue_growth": (lambda w: A.monthly_revenue_growth(w.base, BASE_FILTERS)),
-    "growth_label": (lambda w: A.growth_label(w.base, BASE_FILTERS)),
-    "booking_heatmap": (lambda w: A.booking_heatmap(w.base, BASE_FILTERS)),
-    "booking_heatmap_wide": (lambda w: A.booking_heatmap_wide(w.base, BASE_FILTERS)),
+    "monthly_revenue_growth": (lambda w: A.monthly_revenue_growth(w.sums, BASE_FILTERS)),
+    "growth_label": (lambda w: A.growth_label(w.sums, BASE_FILTERS)),
+    "booking_heatmap": (lambda w: A.booking_heatmap(w.sums, BASE_FILTERS)),
+    "booking_heatmap_wide": (lambda w: A.booking_heatmap_wide(w.sums, BASE_FILTERS)),
     # demographics
     "active_students": (lambda w: A.active_students(w.roles.transaction_data, w.demo, ACTIVE_FILTERS)),
     "demo_gender": (lambda w: A.demo_gender(_demo(w))),

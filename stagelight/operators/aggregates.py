@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import histogram_width, month_key, weekday_no
+from ..session import new_shared_folder
 from ..sources.literals import WEEKDAYS, weekday_relation
 
 
@@ -143,15 +144,20 @@ def weekday_month_pivot(df: DataFrame, ts: str, amount: str) -> DataFrame:
     """Wide form: one row per weekday (all seven), one column per month that has
     rows, in order.
 
-    The columns are part of the plan, so one job lists the months first: an
-    aggregate whose rows are bounded by the calendar, not by the data.
+    The columns are part of the plan, so the months must be known first. The sums per
+    weekday and month, whose rows are bounded by the calendar, are therefore computed
+    once and written to the shared folder; the months and the pivot read that table.
     """
+    spark = df.sparkSession
     sums = (df.where(F.col(ts).isNotNull())
               .groupBy(weekday_no(F.col(ts)).alias("day_no"), month_key(F.col(ts)).alias("_m"))
               .agg(F.sum(amount).alias("_s")))
+    path = new_shared_folder(spark, "weekday-months")
+    sums.coalesce(1).write.parquet(path)
+    sums = spark.read.schema(sums.schema).parquet(path)
     months = sorted(r["_m"] for r in sums.select("_m").distinct().collect())
     wide = sums.groupBy("day_no").pivot("_m", months).agg(F.sum("_s")) if months else sums.select("day_no").distinct()
-    days = weekday_relation(df.sparkSession)  # 7 fixed rows
+    days = weekday_relation(spark)  # 7 fixed rows
     return days.join(wide, "day_no", "left").select(
         "Day_of_Week", "day_no",
         *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).cast("double").alias(m) for m in months]).orderBy("day_no")

@@ -1,7 +1,7 @@
 """Join building blocks.
 
-* ``skew_left_join`` salts hot keys of the side that a left join does not
-  preserve, which AQE cannot split; the preserved side AQE splits by itself;
+* ``skew_left_join`` salts hot keys: of the side that a left join does not
+  preserve, which AQE cannot split, and of the preserved one where it is counted;
 * ``keep_keys`` and ``semi_join_small`` broadcast only relations with a
   LIMIT-proven size.
 """
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Session setting for the number of equal shares of a side's rows above one of
 #: which a key is hot; unset, the number of shuffle partitions.
 SHARES = "spark.stagelight.skewJoin.shares"
+#: Buckets for each equal share of rows that a hot key holds: small ones, so that
+#: those which meet in a task beside other keys stay well below another share.
+BUCKETS = 4
 
 
 def _shares(df: DataFrame) -> int:
@@ -41,40 +44,66 @@ def _bucket(cols: list[Column], fan: Column) -> Column:
     return F.when(fan.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*cols), fan).cast("int"))
 
 
+def _fans(df: DataFrame, key: str, shares: int, fan: str) -> DataFrame:
+    """The hot keys of ``df`` with their number of buckets, broadcast."""
+    hot = hot_keys(key_counts(df, key), shares)
+    return F.broadcast(hot.select(F.col("_hk").alias(f"{fan}_key"), (F.col("_fan") * BUCKETS).alias(fan)))
+
+
+def _tag(df: DataFrame, key: str, fans: DataFrame, fan: str) -> DataFrame:
+    return df.join(fans, df[key] == fans[f"{fan}_key"], "left").drop(f"{fan}_key")
+
+
+def _copies(fan: str) -> Column:
+    """Every bucket of a hot key; the one bucket of any other."""
+    return F.explode(F.when(F.col(fan).isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col(fan) - 1)))
+
+
 def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                    counted: DataFrame | None = None, counted_key: str | None = None,
-                   salt_cols: list[str] | None = None) -> DataFrame:
+                   salt_cols: list[str] | None = None, left_counted: DataFrame | None = None,
+                   left_counted_key: str | None = None, left_salt: list[str] | None = None) -> DataFrame:
     """``left LEFT JOIN right ON left_key = right_key`` that stays balanced when
-    one key holds a large share of the right side.
-
-    1. Rows per key of the right side (partial aggregation, so a hot key is
-       combined map-side); keys above an equal share are hot (``hot_keys``).
-    2. That bounded table is broadcast to tag both sides map-side. A hot key's
-       right rows get a bucket below its fan by a hash of ``salt_cols`` (default:
-       all columns; rows of equal values share a bucket), its left rows are
-       repeated for each bucket.
-    3. One shuffle join on (key, bucket), both of whose sides are shuffle stages,
-       so AQE may split hot left rows too. A left row that meets an empty bucket
-       of a hot key gives a null-extended row, which is removed; the result is
-       exactly the plain left join.
+    one key holds a large share of the right side, of the left side, or of both.
+
+    1. Rows per key of a side (partial aggregation, so a hot key is combined
+       map-side); keys above an equal share are hot (``hot_keys``). The right side
+       is always counted, the left one where ``left_counted`` names its rows.
+    2. Those bounded tables are broadcast to tag both sides map-side. A hot key's
+       rows get a bucket on their own side by a hash of ``salt_cols`` or
+       ``left_salt`` (default: all columns; rows of equal values share a bucket),
+       and are repeated for each bucket of the other side. Left rows without a key
+       meet nothing and are dealt to all tasks.
+    3. One shuffle join on (key, right bucket, left bucket). A left row that meets
+       an empty right bucket of a hot key gives a null-extended row, which is
+       removed; the result is exactly the plain left join.
 
     ``counted`` (with its key) may name the input whose rows make the right side
     hot where that is a product of several joins; each of its rows must give a
     row of ``right`` at least.
     """
     src, key = (right, right_key) if counted is None else (counted, counted_key or right_key)
-    hot = F.broadcast(hot_keys(key_counts(src, key), _shares(right)))
+    shares = _shares(right)
     r_cols, l_cols = right.columns, left.columns
-    r_tagged = right.join(hot, right[right_key] == hot["_hk"], "left").select(
-        *[right[f"`{c}`"] for c in r_cols], F.lit(True).alias("_hit"),
-        _bucket([right[f"`{c}`"] for c in (salt_cols or r_cols)], F.col("_fan")).alias("_rbucket"))
-    copies = F.when(F.col("_fan").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_fan") - 1))
-    l_tagged = left.join(hot, left[left_key] == hot["_hk"], "left").select(
-        *[left[f"`{c}`"] for c in l_cols], F.col("_fan"), F.explode(copies).alias("_lbucket"))
-    joined = l_tagged.join(r_tagged, (l_tagged[left_key] == r_tagged[right_key])
-                           & (l_tagged["_lbucket"] == r_tagged["_rbucket"]), "left")
+    fans = _fans(src, key, shares, "_fan")
+    right = _tag(right, right_key, fans, "_fan")
+    right = right.withColumn("_rbucket", _bucket([F.col(f"`{c}`") for c in (salt_cols or r_cols)], F.col("_fan"))).drop("_fan")
+    left = _tag(left, left_key, fans, "_fan").withColumn("_lbucket", _copies("_fan"))
+    on = [("_lbucket", "_rbucket")]
+    if left_counted is not None:
+        l_fans = _fans(left_counted, left_counted_key or left_key, shares, "_lfan")
+        salt = [F.col(f"`{c}`") for c in (left_salt or l_cols)]
+        spread = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*salt), F.lit(BUCKETS * shares)).cast("int"))
+        left = _tag(left, left_key, l_fans, "_lfan").withColumn("_lslot", F.coalesce(spread, _bucket(salt, F.col("_lfan")))).drop("_lfan")
+        right = _tag(right, right_key, l_fans, "_lfan").withColumn("_rslot", _copies("_lfan")).drop("_lfan")
+        on.append(("_lslot", "_rslot"))
+    right = right.withColumn("_hit", F.lit(True))
+    match = left[left_key] == right[right_key]
+    for a, b in on:
+        match = match & (left[a] == right[b])
+    joined = left.join(right, match, "left")
     spurious = F.col("_fan").isNotNull() & F.col("_hit").isNull()
-    return joined.where(~spurious).drop("_fan", "_lbucket", "_hit", "_rbucket")
+    return joined.where(~spurious).drop("_fan", "_hit", *[c for pair in on for c in pair])
 
 
 def look_up(rows: DataFrame, per_key: DataFrame, key: str, weight: str, spread: list[str]) -> DataFrame:

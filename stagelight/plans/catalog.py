@@ -18,11 +18,14 @@ from pyspark.sql import types as T
 
 from ..functions import month_key
 from ..operators.filters import MONTH_PARTITION, Filters
-from ..session import configure, ensure_checkpoint_dir
+from ..session import configure, ensure_checkpoint_dir, new_shared_folder
+from ..sources import quarantine
 from ..sources.roles import Roles, require_rows
 from . import analyses as A
 from . import frames
 from .factorised import FactorisedBase
+from .monthly_store import DailySums
+from .periods import MonthlyIds
 
 # Default parameters of the registered queries.
 DATES = ("1996-01-01", "1998-12-31")
@@ -165,6 +168,46 @@ def _demo(w: Workspace) -> DataFrame:
     return A.demo_selection(w.roles.transaction_data, w.demo, DEMO_FILTERS)
 
 
+# The incremental query's first load ends before this day.
+FIRST_LOAD_END = "2000-01-01"
+
+
+def _loaded_in_steps(w: Workspace) -> DataFrame:
+    """Monthly revenue and growth from daily sums that were loaded in two steps, the
+    second of them twice; rows of the second load also fall in months of the first."""
+    td = w.roles.transaction_data
+    spark = td.sparkSession
+    late = F.col("Order_Date").isNull() | (F.col("Order_Date") >= F.lit(FIRST_LOAD_END).cast("timestamp_ntz")) \
+        | (F.dayofmonth("Order_Date") > 25)
+    store = DailySums(spark, new_shared_folder(spark, "daily-sums"))
+    first = Roles.from_frames({**w.roles.as_dict(), "transaction_data": td.where(~late)})
+    store.load(first, first.transaction_data)
+    for _ in range(2):
+        store.load(w.roles, td.where(late))
+    return A.load_monthly_revenue(store.daily())
+
+
+def _class_teachers_dated(w: Workspace) -> DataFrame:
+    """Class date and id of teachers that the teacher table knows."""
+    tb = w.roles.teacher_basic.select(F.col("TeacherID").alias("Teacher_id"))
+    return w.roles.course_history.select("Teacher_id", "Course_Date").join(tb, "Teacher_id", "left_semi")
+
+
+def _text_dates(w: Workspace) -> dict[str, DataFrame]:
+    """Stand-in tables with dates as text, some of which no calendar knows."""
+    def texts(df: DataFrame, key: str, ts: str) -> DataFrame:
+        k, day = F.col(key), F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+        text = (F.when(k % 97 == 5, F.lit("unknown")).when(k % 97 == 11, F.date_format(ts, "dd/MM/yyyy"))
+                .when(k % 97 == 17, F.lit("")).when(k % 89 == 3, F.lit(None)).otherwise(day))
+        return df.withColumn(ts, text)
+    return {"transaction_data": texts(w.roles.transaction_data, "Transaction_ID", "Order_Date"),
+            "course_history": texts(w.roles.course_history, "Course_id", "Course_Date")}
+
+
+def _ids(df: DataFrame, ts: str, id_col: str) -> MonthlyIds:
+    return MonthlyIds.build(df, ts, id_col)
+
+
 ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     # loaders
     "load_transactions": (lambda w: w.base),
@@ -207,6 +250,13 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "growth_label": (lambda w: A.growth_label(w.sums, BASE_FILTERS)),
     "booking_heatmap": (lambda w: A.booking_heatmap(w.sums, BASE_FILTERS)),
     "booking_heatmap_wide": (lambda w: A.booking_heatmap_wide(w.sums, BASE_FILTERS)),
+    "revenue_incremental": _loaded_in_steps,
+    # distinct ids of periods, from stored sets per month
+    "students_by_period": (lambda w: _ids(w.roles.transaction_data, "Order_Date", "Student_id").by_period("students")),
+    "students_estimated": (lambda w: _ids(w.roles.transaction_data, "Order_Date", "Student_id").estimated("students")),
+    "teachers_by_period": (lambda w: _ids(_class_teachers_dated(w), "Course_Date", "Teacher_id").by_period("teachers")),
+    # loading
+    "date_quality": (lambda w: quarantine.date_quality(_text_dates(w))),
     # demographics
     "active_students": (lambda w: A.active_students(w.roles.transaction_data, w.demo, ACTIVE_FILTERS)),
     "demo_gender": (lambda w: A.demo_gender(_demo(w))),

@@ -46,8 +46,8 @@ def base(r: Roles) -> DataFrame:
     """transactions LEFT JOIN student, learning area, course bridge (+ course type).
 
     Two shuffle joins: with the students' attributes, then with the course
-    bridge. Both salt keys that are hot on the right, and AQE may split hot
-    transactions on the left.
+    bridge. Both salt keys that are hot on the right and students that are hot
+    among the transactions; transactions without a student are spread.
     """
     ct = r.course_type.select(F.col("Course_Type_ID").alias("_ct"), "Course_Type_Name")
     cd = r.course_data
@@ -59,9 +59,10 @@ def base(r: Roles) -> DataFrame:
     area = r.student_learning_area.select(F.col("StudentID").alias(_K), "City",
                                           F.col("Learning_Area").alias("Region"))
     td = r.transaction_data
+    hot_left = dict(left_counted=td, left_salt=["Transaction_ID"])
     known = skew_left_join(td, student_attributes(student, area), "Student_id", _K,
-                           counted=area, counted_key=_K).drop(_K)
-    return (skew_left_join(known, bridge, "Student_id", "_bk", counted=cd, counted_key="Student_id")
+                           counted=area, counted_key=_K, **hot_left).drop(_K)
+    return (skew_left_join(known, bridge, "Student_id", "_bk", counted=cd, counted_key="Student_id", **hot_left)
               .select("Transaction_ID", "Student_id", "Order_Date", "Customer_Age",
                       "Customer_Gender", "City", "Region", "Course_Type_Name",
                       F.col("Transaction_Value").alias("Amount")))

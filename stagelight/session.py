@@ -10,6 +10,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -85,3 +86,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def new_shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder, for tables that a
+    session derives and reads again."""
+    root = ensure_checkpoint_dir(spark)
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    return f"{root.rstrip('/')}/stagelight-{name}-{uuid.uuid4().hex}"

@@ -44,6 +44,33 @@ def test_skew_left_join_of_an_empty_side(spark, shares):
     assert skew_left_join(right, left, "rk", "k").count() == 0
 
 
+@pytest.mark.parametrize("salt", [None, ["lv"]])
+def test_both_sides_salted_equals_left_join(spark, shares, salt):
+    """Keys hot on the left, on the right, on both, and rows without a key."""
+    left = spark.createDataFrame([(1, f"a{i}") for i in range(30)] + [(2, "b"), (3, "c"), (3, "c"), (None, "n")]
+                                 + [(4, f"d{i}") for i in range(20)] + [(None, f"n{i}") for i in range(30)], "k bigint, lv string")
+    right = spark.createDataFrame([(1, "x"), (1, "x2"), (2, "y")] + [(4, f"w{i}") for i in range(25)] + [(5, "z"), (None, "r")] * 9,
+                                  "rk bigint, rv string")
+    expect = left.join(right, left["k"] == right["rk"], "left").select("k", "lv", "rk", "rv")
+    got = skew_left_join(left, right, "k", "rk", left_counted=left, left_salt=salt)
+    assert got.columns == ["k", "lv", "rk", "rv"]
+    assert _sorted(got) == _sorted(expect)
+
+
+def test_left_rows_without_a_key_are_spread(spark, shares):
+    left = spark.createDataFrame([(None, i) for i in range(400)] + [(1, 0)], "k bigint, lv int")
+    right = spark.createDataFrame([(1, "x")], "rk bigint, rv string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = skew_left_join(left, right, "k", "rk", left_counted=left, left_salt=["lv"])
+        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 4 and max(r["count"] for r in sizes) < 200
+
+
 def test_hot_keys_are_those_above_an_equal_share(spark):
     rows = spark.createDataFrame([(1,)] * 60 + [(2,)] * 30 + [(k,) for k in range(3, 13)] + [(None,)] * 50, "k bigint")
     counts = key_counts(rows, "k")

@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ SHARES = "spark.stagelight.skewJoin.shares"
 BUCKETS = 4
 
 
-def _shares(df: DataFrame) -> int:
+def shares_of(df: DataFrame) -> int:
     conf = df.sparkSession.conf
     return int(conf.get(SHARES, None) or conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,14 +46,28 @@ def _bucket(cols: list[Column], fan: Column) -> Column:
     return F.when(fan.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*cols), fan).cast("int"))
 
 
-def _fans(df: DataFrame, key: str, shares: int, fan: str) -> DataFrame:
-    """The hot keys of ``df`` with their number of buckets, broadcast."""
-    hot = hot_keys(key_counts(df, key), shares)
-    return F.broadcast(hot.select(F.col("_hk").alias(f"{fan}_key"), (F.col("_fan") * BUCKETS).alias(fan)))
+def hot_fans(shares: int, **sources: tuple[DataFrame, str]) -> DataFrame:
+    """The keys that are hot in any of the named (rows, key) sources, broadcast: _hk
+    and for each source _fan_<name>, its number of buckets, null where it is not hot
+    there. All sources are counted in one aggregation; per source fewer than
+    ``shares`` keys can be hot, so the table has a proven bound."""
+    keyed = {name: df.where(F.col(key).isNotNull()) for name, (df, key) in sources.items()}
+    counted = [keyed[name].select(
+        F.col(key).alias("_hk"), *[F.lit(int(other == name)).cast("bigint").alias(other) for other in sources])
+        for name, (_, key) in sources.items()]
+    counts = reduce(DataFrame.unionByName, counted).groupBy("_hk").agg(*[F.sum(name).alias(name) for name in sources])
+    fans = []
+    for name, df in keyed.items():
+        held = F.col(name) * F.lit(shares) / F.greatest(df.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+        fans.append(F.ceil(F.nullif(F.greatest(held, F.lit(1)), F.lit(1))).cast("int") * BUCKETS)
+    table = counts.select("_hk", *[fan.alias(f"_fan_{name}") for name, fan in zip(sources, fans)])
+    return F.broadcast(table.dropna("all", subset=[f"_fan_{name}" for name in sources]))
 
 
-def _tag(df: DataFrame, key: str, fans: DataFrame, fan: str) -> DataFrame:
-    return df.join(fans, df[key] == fans[f"{fan}_key"], "left").drop(f"{fan}_key")
+def _tag(df: DataFrame, key: str, fans: DataFrame, **fan: str) -> DataFrame:
+    """``df`` with the fans of its row's key under the given names."""
+    few = fans.select("_hk", *[F.col(f"_fan_{source}").alias(name) for name, source in fan.items()])
+    return df.join(few, df[key] == few["_hk"], "left").drop("_hk")
 
 
 def _copies(fan: str) -> Column:
@@ -60,42 +76,38 @@ def _copies(fan: str) -> Column:
 
 
 def skew_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                   counted: DataFrame | None = None, counted_key: str | None = None,
-                   salt_cols: list[str] | None = None, left_counted: DataFrame | None = None,
-                   left_counted_key: str | None = None, left_salt: list[str] | None = None) -> DataFrame:
+                   fans: DataFrame | None = None, right_fan: str = "right", left_fan: str | None = None,
+                   salt_cols: list[str] | None = None, left_salt: list[str] | None = None) -> DataFrame:
     """``left LEFT JOIN right ON left_key = right_key`` that stays balanced when
     one key holds a large share of the right side, of the left side, or of both.
 
-    1. Rows per key of a side (partial aggregation, so a hot key is combined
-       map-side); keys above an equal share are hot (``hot_keys``). The right side
-       is always counted, the left one where ``left_counted`` names its rows.
-    2. Those bounded tables are broadcast to tag both sides map-side. A hot key's
-       rows get a bucket on their own side by a hash of ``salt_cols`` or
-       ``left_salt`` (default: all columns; rows of equal values share a bucket),
-       and are repeated for each bucket of the other side. Left rows without a key
-       meet nothing and are dealt to all tasks.
+    1. ``fans`` (see ``hot_fans``) names the hot keys of the inputs that can make a
+       side hot, ``right_fan`` and ``left_fan`` which of its sources are this join's;
+       each row of such a source must give a row of that side at least. Without
+       it the right side's own rows are counted. Joins on one key share one table.
+    2. Both sides are tagged map-side. A hot key's rows get a bucket on their own
+       side by a hash of ``salt_cols`` or ``left_salt`` (default: all columns; rows
+       of equal values share a bucket), and are repeated for each bucket of the
+       other side. With ``left_fan``, left rows without a key, which meet nothing,
+       are dealt to all tasks.
     3. One shuffle join on (key, right bucket, left bucket). A left row that meets
        an empty right bucket of a hot key gives a null-extended row, which is
        removed; the result is exactly the plain left join.
-
-    ``counted`` (with its key) may name the input whose rows make the right side
-    hot where that is a product of several joins; each of its rows must give a
-    row of ``right`` at least.
     """
-    src, key = (right, right_key) if counted is None else (counted, counted_key or right_key)
-    shares = _shares(right)
+    shares = shares_of(right)
     r_cols, l_cols = right.columns, left.columns
-    fans = _fans(src, key, shares, "_fan")
-    right = _tag(right, right_key, fans, "_fan")
+    if fans is None:
+        fans = hot_fans(shares, right=(right, right_key))
+    own = {"_fan": right_fan} | ({"_lfan": left_fan} if left_fan else {})
+    left = _tag(left, left_key, fans, **own).withColumn("_lbucket", _copies("_fan"))
+    right = _tag(right, right_key, fans, **own)
     right = right.withColumn("_rbucket", _bucket([F.col(f"`{c}`") for c in (salt_cols or r_cols)], F.col("_fan"))).drop("_fan")
-    left = _tag(left, left_key, fans, "_fan").withColumn("_lbucket", _copies("_fan"))
     on = [("_lbucket", "_rbucket")]
-    if left_counted is not None:
-        l_fans = _fans(left_counted, left_counted_key or left_key, shares, "_lfan")
+    if left_fan:
         salt = [F.col(f"`{c}`") for c in (left_salt or l_cols)]
         spread = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*salt), F.lit(BUCKETS * shares)).cast("int"))
-        left = _tag(left, left_key, l_fans, "_lfan").withColumn("_lslot", F.coalesce(spread, _bucket(salt, F.col("_lfan")))).drop("_lfan")
-        right = _tag(right, right_key, l_fans, "_lfan").withColumn("_rslot", _copies("_lfan")).drop("_lfan")
+        left = left.withColumn("_lslot", F.coalesce(spread, _bucket(salt, F.col("_lfan")))).drop("_lfan")
+        right = right.withColumn("_rslot", _copies("_lfan")).drop("_lfan")
         on.append(("_lslot", "_rslot"))
     right = right.withColumn("_hit", F.lit(True))
     match = left[left_key] == right[right_key]
@@ -112,7 +124,7 @@ def look_up(rows: DataFrame, per_key: DataFrame, key: str, weight: str, spread:
     ``rows`` against an aggregate, so the entries of hot keys (bounded, see
     ``hot_keys``) are broadcast, and their rows and those without a key are spread
     over all tasks by a hash of ``spread`` instead of meeting in one."""
-    shares = _shares(rows)
+    shares = shares_of(rows)
     total = per_key.agg(F.sum(weight)).scalar()
     values = [c for c in per_key.columns if c not in (key, weight)]
     hot = per_key.where(F.col(weight) * F.lit(shares) > total)

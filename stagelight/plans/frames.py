@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import full_name, month_name, weekday_name
-from ..operators.joins import skew_left_join
+from ..operators.joins import hot_fans, shares_of, skew_left_join
 from ..sources.literals import course_type_dim
 from ..sources.roles import Roles
 
@@ -59,10 +59,11 @@ def base(r: Roles) -> DataFrame:
     area = r.student_learning_area.select(F.col("StudentID").alias(_K), "City",
                                           F.col("Learning_Area").alias("Region"))
     td = r.transaction_data
-    hot_left = dict(left_counted=td, left_salt=["Transaction_ID"])
-    known = skew_left_join(td, student_attributes(student, area), "Student_id", _K,
-                           counted=area, counted_key=_K, **hot_left).drop(_K)
-    return (skew_left_join(known, bridge, "Student_id", "_bk", counted=cd, counted_key="Student_id", **hot_left)
+    # both joins are on the student: one table of the students hot in any input
+    fans = hot_fans(shares_of(td), transactions=(td, "Student_id"), area=(area, _K), bridge=(cd, "Student_id"))
+    hot = dict(fans=fans, left_fan="transactions", left_salt=["Transaction_ID"])
+    known = skew_left_join(td, student_attributes(student, area), "Student_id", _K, right_fan="area", **hot).drop(_K)
+    return (skew_left_join(known, bridge, "Student_id", "_bk", right_fan="bridge", **hot)
               .select("Transaction_ID", "Student_id", "Order_Date", "Customer_Age",
                       "Customer_Gender", "City", "Region", "Course_Type_Name",
                       F.col("Transaction_Value").alias("Amount")))
@@ -121,7 +122,7 @@ def teacher_performance(r: Roles) -> DataFrame:
                                      F.col("Gender").alias("Student_Gender"),
                                      F.col("Age").alias("Student_Age"))
     per_course = (skew_left_join(typed, student_attributes(student, area), "_cs_student", _K,
-                                 counted=area, counted_key=_K)
+                                 hot_fans(shares_of(cs), area=(area, _K)), "area")
                   .select(F.col("Course_id").alias("_ck"), "Student_ID", "Student_Gender",
                           "Student_Age", "Learning_City", "Learning_Area"))
     tb = r.teacher_basic.select(F.col("TeacherID").alias("Teacher_ID"),
@@ -132,7 +133,7 @@ def teacher_performance(r: Roles) -> DataFrame:
                      .select("Teacher_ID", "_name", "Course_id", "Course_Date")
     # One course may hold a large share of the enrolments: salted join.
     joined = skew_left_join(with_teacher, per_course, "Course_id", "_ck",
-                            counted=cs, counted_key="Course_id")
+                            hot_fans(shares_of(cs), enrolment=(cs, "Course_id")), "enrolment")
     return joined.select(
         "Teacher_ID",
         F.coalesce("_name", F.lit("Unknown")).alias("Teacher_Name"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from stagelight.operators.joins import SHARES, hot_keys, key_counts, look_up, skew_left_join
+from stagelight.operators.joins import BUCKETS, SHARES, hot_fans, hot_keys, key_counts, look_up, skew_left_join
 from stagelight.plans.frames import student_attributes
 
 
@@ -52,7 +52,7 @@ def test_both_sides_salted_equals_left_join(spark, shares, salt):
     right = spark.createDataFrame([(1, "x"), (1, "x2"), (2, "y")] + [(4, f"w{i}") for i in range(25)] + [(5, "z"), (None, "r")] * 9,
                                   "rk bigint, rv string")
     expect = left.join(right, left["k"] == right["rk"], "left").select("k", "lv", "rk", "rv")
-    got = skew_left_join(left, right, "k", "rk", left_counted=left, left_salt=salt)
+    got = skew_left_join(left, right, "k", "rk", hot_fans(shares, right=(right, "rk"), left=(left, "k")), left_fan="left", left_salt=salt)
     assert got.columns == ["k", "lv", "rk", "rv"]
     assert _sorted(got) == _sorted(expect)
 
@@ -63,7 +63,7 @@ def test_left_rows_without_a_key_are_spread(spark, shares):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        got = skew_left_join(left, right, "k", "rk", left_counted=left, left_salt=["lv"])
+        got = skew_left_join(left, right, "k", "rk", hot_fans(shares, right=(right, "rk"), left=(left, "k")), left_fan="left", left_salt=["lv"])
         sizes = got.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -80,6 +80,14 @@ def test_hot_keys_are_those_above_an_equal_share(spark):
         assert hot_keys(counts, shares).count() < max(shares, 2)
 
 
+def test_fans_of_several_inputs(spark):
+    """Each input's keys are measured against its own rows."""
+    one = spark.createDataFrame([(1,)] * 60 + [(2,)] * 30 + [(k,) for k in range(3, 13)] + [(None,)] * 50, "a bigint")
+    two = spark.createDataFrame([(2,)] * 5 + [(3,)], "b bigint")
+    assert _sorted(hot_fans(4, one=(one, "a"), two=(two, "b"))) == [(1, 3 * BUCKETS, None), (2, 2 * BUCKETS, 4 * BUCKETS)]
+    assert hot_fans(4, one=(one.limit(0), "a"), two=(two.limit(0), "b")).count() == 0
+
+
 def test_look_up_equals_left_join(spark, shares):
     rows = spark.createDataFrame([(1, i) for i in range(50)] + [(None, i) for i in range(50)] + [(2, 1), (3, 2), (3, 3)],
                                  "k bigint, v int")

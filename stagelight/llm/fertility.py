@@ -110,7 +110,7 @@ class Meter:
         if known == len(self.numbers):
             return
         new = [w.decode() for w in list(self.numbers)[known:]]
-        found = encoder(self.names).spaced_ids(new)
+        found = encoder(self.names).unit_ids([" " + w for w in new])
         pieces = self.pieces.encode(new, num_threads=1)
         add = lambda old, values: np.r_[old, np.array(values, np.int64)]
         starts = np.r_[0, np.cumsum([len(p) for p in pieces])]

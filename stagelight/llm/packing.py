@@ -10,9 +10,9 @@ taken greedily while the remaining tails allow it, and the residual tails, by
 falling length, are laid end to end and cut at the windows. So at most the last
 sequence of all has padding, and only residual tails are cut.
 
-No task orders all tails of a length: documents are dealt to buckets by hash,
-ranked within (bucket, length), and a bucket's ranks follow those of the buckets
-before it. From its length and rank each tail's place follows by formula, with
+No task orders all tails of a length: documents are dealt to buckets by a hash of
+their row's number (so also a row that is repeated very often), ranked within
+(bucket, length), and a bucket's ranks follow those of the buckets before it. From its length and rank each tail's place follows by formula, with
 the table of combinations (bounded by the window) at hand.
 
 Defined results
@@ -41,8 +41,6 @@ END_ID = 0
 #: The smallest part of a combination of three is a multiple of this share of a window.
 STEPS = 32
 SWEEPS = 30
-#: Units that the encoder remembers here, beside what earlier stages' tasks left.
-CACHE_UNITS = 250_000
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
@@ -139,10 +137,10 @@ def _crc(ids: np.ndarray) -> int:
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, window: int, folder: str) -> DataFrame:
     """Written, for each document: its number of ids, the crc32 of each whole
-    window, and its tail's length, crc32 and ids."""
+    window, its tail's length, crc32 and ids, and a number of its own (row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = encoder(vocabulary, CACHE_UNITS), np.array([end_id], np.uint32)
+        known, end = encoder(vocabulary), np.array([end_id], np.uint32)
         for part, texts in text_slices(batches, as_text=True):
             rows = []
             for own in known.encode(texts):
@@ -160,13 +158,14 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, window: int, folder
                     ["doc_id", "doc_tokens", "crcs", "tail_length", "tail_crc", "tail"])
 
     schema = "doc_id bigint, doc_tokens bigint, crcs array<bigint>, tail_length int, tail_crc bigint, tail binary"
-    return written(docs.select("doc_id", "text").mapInArrow(run, schema), folder, "tokens")
+    rows = docs.select("doc_id", "text").mapInArrow(run, schema)
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), folder, "tokens")
 
 
 def ranked(tokens: DataFrame, buckets: int) -> DataFrame:
     """``tokens`` with ``rank``, unique and gapless among tails of one length, and
     ``windows_before``, the number of whole windows of the documents before."""
-    rows = tokens.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens", "tail_crc"), F.lit(buckets)))
+    rows = tokens.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = rows.groupBy("bucket", "tail_length").agg(F.count("*").alias("n"), F.sum(F.size("crcs")).alias("w"))
     earlier = Window.partitionBy("tail_length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = (counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
@@ -175,7 +174,7 @@ def ranked(tokens: DataFrame, buckets: int) -> DataFrame:
     # a row for each bucket: as few as there are partitions
     of_all = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = before.withColumn("w", F.coalesce(F.sum("w").over(of_all), F.lit(0)))
-    order = ["tail_length", "doc_id", "tail_crc", "doc_tokens"]
+    order = ["tail_length", "row"]
     in_bucket = Window.partitionBy("bucket").orderBy(*order)
     in_length = Window.partitionBy("bucket", "tail_length").orderBy(*order[1:])
     rows = (rows.withColumn("w_own", F.coalesce(F.sum(F.size("crcs")).over(

@@ -15,11 +15,12 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from .common import GIVE_UP
 
-#: Units a worker remembers: two generations of this many, about 150 MB each.
-CACHE_UNITS = 600_000
+#: Units a worker remembers, about 40 bytes each.
+CACHE_UNITS = 1_500_000
 _ENCODERS: dict[str, "Encoder"] = {}
 GIVE_UP.append(_ENCODERS.clear)
 
@@ -30,13 +31,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoder(vocabulary: str, units: int | None = None) -> "Encoder":
+def encoder(vocabulary: str) -> "Encoder":
     """This worker's encoder for a vocabulary: a file's path, or the name of one
-    of the public files, which is then looked up where the task runs. ``units``:
-    how many it remembers, where other stages leave less memory."""
+    of the public files, which is then looked up where the task runs."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary if "/" in vocabulary else vocabulary_path(vocabulary))
-    _ENCODERS[vocabulary].units = units or CACHE_UNITS
     return _ENCODERS[vocabulary]
 
 
@@ -55,17 +54,45 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class UnitStore:
+    """The ids of known units in one Arrow array, found by the sorted 64-bit hashes
+    of the units; no Python object is kept for any of them."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.hashes, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.ids = pa.array([], pa.large_binary())
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash in ``ids``, -1 for unknown ones."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        return np.where(self.hashes[at] == hashes, self.rows[at], -1)
+
+    def add(self, hashes: np.ndarray, ids: list[bytes], keep: np.ndarray) -> None:
+        """Adds unknown units. Beyond the limit only the rows ``keep`` stay beside them."""
+        if len(self.rows) + len(ids) > self.limit:
+            own = np.isin(self.rows, keep)
+            self.hashes, rows = self.hashes[own], self.rows[own]
+            self.ids, self.rows = self.ids.take(pa.array(rows)), np.arange(len(rows))
+        self.rows = np.r_[self.rows, len(self.ids) + np.arange(len(ids))]
+        self.hashes = np.r_[self.hashes, hashes]
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.rows = self.hashes[order], self.rows[order]
+        self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.large_binary())])
+
+
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, units: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.units = CACHE_UNITS
         self.letters = byte_letters()
         self.marks = dict(zip(".,", self._ids([".", ","])))
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.store = UnitStore(units or CACHE_UNITS)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes()
@@ -80,46 +107,26 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         return array.array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
-    def spaced_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words without white space, each after a space."""
-        out, rest = [b""] * len(words), []
-        for k, w in enumerate(words):
-            if w.isalpha():
-                out[k] = self._word_ids(" " + w)
-            elif w[-1] in self.marks and w[:-1].isalpha():
-                out[k] = self._word_ids(" " + w[:-1]) + self.marks[w[-1]]
+    def unit_ids(self, units: list[str]) -> list[bytes]:
+        """Ids of units: words with or without a space before, or anything else
+        that the pre-tokenizer never joins with what stands around it."""
+        out, rest = [b""] * len(units), []
+        stems: dict[str, bytes] = {}
+        for k, u in enumerate(units):
+            if u.lstrip(" ").isalpha() and u[:2] != "  ":
+                out[k] = self._word_ids(u)
+                continue
+            stem = u[:-1]
+            if u[-1:] in self.marks and stem.lstrip(" ").isalpha() and stem[:2] != "  ":  # a word, then a mark
+                if stem not in stems:
+                    stems[stem] = self._word_ids(stem)
+                out[k] = stems[stem] + self.marks[u[-1]]
             else:
                 rest.append(k)
-        for k, ids in zip(rest, self._ids([" " + words[k] for k in rest])):
+        for k, ids in zip(rest, self._ids([units[k] for k in rest])):
             out[k] = ids
         return out
 
-    def _learn(self, units: set[str]) -> None:
-        """Puts the ids of units that ``new`` lacks into it."""
-        if len(self.new) + len(units) > self.units:
-            self.old, self.new = self.new, {}
-        new, old, word_ids = self.new, self.old, self._word_ids
-        rest = []
-        for u in units:
-            known = old.get(u)
-            if known is None:
-                if u.lstrip(" ").isalpha() and u[:2] != "  ":
-                    known = word_ids(u)
-                elif u[-1:] in (".", ",") and u[-2:-1].isalpha():  # a letter, then a mark: two units
-                    stem = u[:-1]
-                    known = new.get(stem) or old.get(stem)
-                    if known is None:
-                        if not (stem[1:] if stem[0] == " " else stem).isalpha():
-                            rest.append(u)
-                            continue
-                        known = new[stem] = word_ids(stem)
-                    known += self.marks[u[-1]]
-                else:
-                    rest.append(u)
-                    continue
-            new[u] = known
-        new.update(zip(rest, self._ids(rest)))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as native (little-endian) unsigned 32-bit integers."""
         collecting = gc.isenabled()
@@ -130,6 +137,16 @@ class Encoder:
             if collecting:
                 gc.enable()
 
+    def _known(self, units: pa.Array) -> np.ndarray:
+        """The store's row of each unit; unknown ones are encoded and added."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, units.to_pylist()), np.uint64, len(units))
+        rows = self.store.find(hashes)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            self.store.add(hashes[new], self.unit_ids(units.take(pa.array(new)).to_pylist()), rows[rows >= 0])
+            rows = self.store.find(hashes)
+        return rows
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         odd, even = [], []
@@ -144,11 +161,8 @@ class Encoder:
         cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(
             pa.array([texts[i] for i in even], pa.large_string()), " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
         units = cut.flatten().dictionary_encode()
-        distinct = units.dictionary.to_pylist()
-        self._learn({u for u in distinct if u not in self.new})
-        new, old = self.new, self.old
-        known = [ids if (ids := new.get(u)) is not None else old[u] for u in distinct]
-        ids = pa.array(known, pa.large_binary()).take(units.indices)
+        rows = self._known(units.dictionary)
+        ids = self.store.ids.take(pa.array(rows[units.indices.to_numpy()]))
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
         places = ends[cut.offsets.to_numpy()].tolist()
         data = memoryview(ids.buffers()[2] or b"")

@@ -217,7 +217,8 @@ def read_bundles(manifest: DataFrame, folder: str) -> DataFrame:
                                 pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
                             ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    bundles = manifest.select("bundle").distinct().repartition(partitions(manifest.sparkSession), "bundle")
+    # dealt in turn: by a key Spark would take the distinct's own partitions, and merge small ones
+    bundles = manifest.select("bundle").distinct().repartition(partitions(manifest.sparkSession))
     return bundles.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, "
                                    "record_type string, refers_to bigint")
 

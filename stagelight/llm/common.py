@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that a Python task handles at once.
 SLICE_BYTES = 8 << 20
+#: Spark then removes the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What a Python worker gives up when it turns from token ids to other work.
 GIVE_UP: list[Callable[[], None]] = []
 
@@ -92,6 +94,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark removes the shuffle files of each query that has ended."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers stay alive between
     tasks, beside the executor's other work."""

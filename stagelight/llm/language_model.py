@@ -33,7 +33,6 @@ Defined results
 
 from __future__ import annotations
 
-import contextlib
 import math
 import uuid
 import zlib
@@ -46,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, shared_dir, single_rows, text_slices, written
+from .common import filesystem, partitions, shared_dir, shuffles_removed, single_rows, text_slices, written
 
 ORDER = 3
 #: An n-gram of two words or more is kept if it occurs so often, however large the corpus is,
@@ -63,8 +62,6 @@ DEALT = "bucket int, slice string, size int, start bigint, keys binary, counts b
 ANSWERS = "slice string, bucket int, size int, keys binary, totals binary, sums binary, continued binary, types bigint"
 SCORES = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
           "base_score double, score double")
-#: Spark then removes the shuffle files of a query that has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -307,23 +304,13 @@ class Automaton:
         return sum(math.log10(weight(len(self.kept), i)) for i in range(len(hashes)))
 
 
-@contextlib.contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-
-
 def train(slices: DataFrame, folder: str, order: int = ORDER) -> Automaton:
     """Counts all training n-grams of the written slices, leaves each slice's totals
     in its files, and returns the automaton."""
     spark = slices.sparkSession
     buckets = 2 * partitions(spark)
     kept: list[DataFrame] = []
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         for k in range(order, 0, -1):  # an n-gram's total counts for its context
             totals = written(slices.select("slice", "lengths", "held", "tokens", "words")
                              .mapInArrow(_dealt(folder, k, order, buckets), DEALT)

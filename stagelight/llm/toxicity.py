@@ -35,15 +35,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, shared_dir, single_rows, text_slices, written
+from .common import crc_mod, shared_dir, shuffles_removed, single_rows, text_slices, written
 
 BITS = 20
 TRAIN_ROWS = 24_000
 SHARDS = 6
 ROUNDS = 6
 ALPHA, BETA, L1, L2 = 5.0, 1.0, 2.5, 0.1
-#: A shard reports the slots whose z it moved by this much in a round.
-LEAST_CHANGE = 0.01
+#: The slots are merged in so many ranges, each by one task.
+RANGES = 16
 THRESHOLD = 0.3
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -132,14 +132,26 @@ def _round(state: Broadcast, number: int) -> Callable[[Iterator[pa.RecordBatch]]
                 model.learn(slots[i], int(labels[i]))
             model.z[at] -= z0
             model.n[at] -= n0
-            moved = np.flatnonzero(np.abs(model.z) >= LEAST_CHANGE)
+            moved = np.flatnonzero(model.n)  # every slot that a row has met
+            cut = np.searchsorted(moved, np.arange(RANGES + 1) * -(-size // RANGES))
+            parts = [moved[a:b] for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([moved.astype("<i4").tobytes()]), pa.array([model.z[moved].astype("<f4").tobytes()]),
-                 pa.array([model.n[moved].astype("<f4").tobytes()])], ["slots", "z", "n"])
+                [pa.array(range(RANGES), pa.int32()), pa.array([p.astype("<i4").tobytes() for p in parts]),
+                 pa.array([model.z[p].astype("<f4").tobytes() for p in parts]),
+                 pa.array([model.n[p].astype("<f4").tobytes() for p in parts])], ["part", "slots", "z", "n"])
 
     return run
 
 
+def _merged(table: pa.Table) -> pa.Table:
+    """The mean move of each slot of a range over the shards that met it."""
+    slots, z, n = (np.frombuffer(b"".join(table[c].to_pylist()), kind)
+                   for c, kind in (("slots", "<i4"), ("z", "<f4"), ("n", "<f4")))
+    distinct, place, seen = np.unique(slots, return_inverse=True, return_counts=True)
+    mean = lambda x: (np.bincount(place, x, len(distinct)) / seen).astype("<f4").tobytes()
+    return pa.table({"slots": [distinct.astype("<i4").tobytes()], "z": [mean(z)], "n": [mean(n)]})
+
+
 def train(rows: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """Learns from (doc_id, text, label); returns the slots and their weights."""
     spark = rows.sparkSession
@@ -151,14 +163,13 @@ def train(rows: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
     for number in range(ROUNDS):
         at = np.flatnonzero(n).astype(np.int32)
         state = spark.sparkContext.broadcast((at, z[at], n[at]))
-        # SHARDS rows of at most 2 ** BITS slots each: bounded, whatever the input
-        moves = [(np.frombuffer(s["slots"], "<i4"), np.frombuffer(s["z"], "<f4"), np.frombuffer(s["n"], "<f4"))
-                 for s in shards.mapInArrow(_round(state, number), STATE_SCHEMA).collect()]
-        seen = np.maximum(1, np.bincount(np.concatenate([at for at, _, _ in moves] or [[]]).astype(np.int64),
-                                         minlength=size))
-        for at, more_z, more_n in moves:
-            z[at] += more_z / seen[at]
-            n[at] += more_n / seen[at]
+        moves = shards.mapInArrow(_round(state, number), f"part int, {STATE_SCHEMA}")
+        # a row for each range, together at most 2 ** BITS slots, whatever the input
+        with shuffles_removed(spark):
+            for s in moves.groupBy("part").applyInArrow(_merged, STATE_SCHEMA).collect():
+                own = np.frombuffer(s["slots"], "<i4")
+                z[own] += np.frombuffer(s["z"], "<f4")
+                n[own] += np.frombuffer(s["n"], "<f4")
         state.destroy()
     w = Ftrl(z, n).weights(np.arange(size))
     at = np.flatnonzero(w)

@@ -34,13 +34,13 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     the edges (a, b)."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .where("u <> v").distinct(), folder, "edges")
-    state = None
-    for step in range(200):
+    state, step = None, 0
+    while True:  # ends: every step that changes an edge brings its larger end nearer to the smallest
         edges = _star(edges, folder, f"large_{step}", True)
         edges = _star(edges, folder, f"small_{step}", False)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break
-        state = now
+        state, step = now, step + 1
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -2,17 +2,19 @@
 
 The model has orders 1 to ``ORDER``. Order 1 is the contract's base, the add-one
 estimate over all words of the training texts. A longer n-gram is kept if it
-occurs ``LEAST`` times in the training texts, whatever their size, so the model
+occurs ``least`` times in the training texts, whatever their size, so the model
 grows with the corpus. Kept n-grams are smoothed by interpolated absolute
 discounting, which sums to one over all words and an unknown one.
 
 As an automaton: the states are the empty context and the kept n-grams below the
-highest order, an arc reads a word with the log-probability of a kept n-gram, and
-a failure arc drops the context's first word at the cost of its backoff weight.
-As both ends of a kept n-gram are kept, the state after each token is the longest
-kept n-gram that ends there; so the left-to-right traversal of a slice's
-documents is done for all positions at once. ``Automaton.traverse`` walks a
-single text arc by arc.
+highest order. An arc reads a word with the log-probability of a kept n-gram and
+leads to the longest kept n-gram that then ends the text read so far. A failure arc
+reads nothing: it drops the context's first word at the cost of its backoff weight.
+A slice of documents gets the states and arcs that its n-grams can reach
+(``Machine``); one traversal from left to right carries a state for each text and
+adds up what its arcs cost. Long texts are cut into lanes that are walked side by
+side: as a state knows ``ORDER - 1`` words, a lane that first reads so many words of
+the one before it is in the state in which that one ends.
 
 Counting covers all training documents, from the longest n-grams to the words. A
 slice of documents is written as word numbers. Its distinct n-grams of an order go
@@ -20,7 +22,8 @@ with their counts to buckets by hash, which keep the model and answer with the
 corpus totals, a file for each slice. One of the slices that have an n-gram is its
 owner and adds its total to the n-gram's context, which goes to a bucket with the
 next order. So no task or driver holds the vocabulary or the model, and an n-gram
-or context that is in every text is one entry for each slice.
+or context that is in every text is one entry for each slice. The number of buckets
+follows from the tokens counted, so that a bucket's n-grams fit a task at any size.
 
 Defined results
 * null and empty texts are the end token alone; so are texts of white space.
@@ -48,18 +51,20 @@ from pyspark.sql import functions as F
 from .common import filesystem, partitions, shared_dir, shuffles_removed, single_rows, text_slices, written
 
 ORDER = 3
-#: An n-gram of two words or more is kept if it occurs so often, however large the corpus is,
-LEAST = 2
-#: and needs no share of the training tokens.
-KEEP = 0.0
+#: An n-gram of two words or more is kept if it occurs so often, however large the corpus is.
+LEAST = 1
 DISCOUNT = 0.75
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Text in a slice: a task holds some twenty numbers for each of its tokens.
 SLICE_BYTES = 4 << 20
+#: Tokens of training texts for each bucket of n-grams.
+BUCKET_TOKENS = 400_000
+#: Tokens of a lane of a long text.
+LANE = 512
 END_HASH = np.uint64(0)
 SLICES = "slice string, doc_ids array<bigint>, lengths binary, held binary, tokens binary, words binary, n_train bigint"
 DEALT = "bucket int, slice string, size int, start bigint, keys binary, counts binary, sums binary, continued binary"
-ANSWERS = "slice string, bucket int, size int, keys binary, totals binary, sums binary, continued binary, types bigint"
+ANSWERS = "slice string, bucket int, size int, totals binary, sums binary, continued binary, types bigint"
 SCORES = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
           "base_score double, score double")
 
@@ -191,9 +196,9 @@ def _dealt(folder: str, order: int, top: int, buckets: int) -> Callable[[Iterato
     return run
 
 
-def _totals(order: int) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's answers: to each slice the totals of its n-grams, and once (slice
-    null) the bucket's part of the model and its number of words."""
+def _totals(order: int, least: int) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's answers to each slice: the totals of its n-grams. Its first answer
+    carries the bucket's number of different words."""
     def run(table: pa.Table) -> pa.Table:
         sizes = table["size"].to_pylist()
         keys = np.concatenate([
@@ -208,23 +213,17 @@ def _totals(order: int) -> Callable[[pa.Table], pa.Table]:
         totals, sums, continued = summed("counts"), summed("sums"), summed("continued")
         types = int((totals > 0).sum())
         if order > 1:
-            totals[totals < LEAST] = 0
+            totals[totals < least] = 0
         owner = np.zeros(len(place), np.int64)
         owner[first] = 1
         cut = np.cumsum([0, *sizes])
-        kept = totals > 0 if order > 1 else continued > 0
-        slices = [*table["slice"].to_pylist(), None]
         answer = [place[a:b] for a, b in zip(cut, cut[1:])]
         return pa.table({
-            "slice": pa.array(slices, pa.string()),
-            "bucket": pa.array([table["bucket"][0].as_py()] * len(slices), pa.int32()),
-            "size": pa.array([*sizes, int(kept.sum())], pa.int32()),
-            "keys": pa.array([*[b""] * len(sizes), distinct[kept].astype("<u8").tobytes()], pa.binary()),
-            "totals": pa.array([*[packed(totals[p] << 1 | owner[a:b]) for p, a, b in zip(answer, cut, cut[1:])],
-                                packed(totals[kept] << 1)], pa.binary()),
-            "sums": pa.array([*[packed(sums[p]) for p in answer], packed(sums[kept])], pa.binary()),
-            "continued": pa.array([*[packed(continued[p]) for p in answer], packed(continued[kept])], pa.binary()),
-            "types": pa.array([*[0] * len(sizes), types], pa.int64())})
+            "slice": table["slice"], "bucket": table["bucket"], "size": table["size"],
+            "totals": pa.array([packed(totals[p] << 1 | owner[a:b]) for p, a, b in zip(answer, cut, cut[1:])], pa.binary()),
+            "sums": pa.array([packed(sums[p]) for p in answer], pa.binary()),
+            "continued": pa.array([packed(continued[p]) for p in answer], pa.binary()),
+            "types": pa.array([types] + [0] * (len(sizes) - 1), pa.int64())})
     return run
 
 
@@ -256,89 +255,130 @@ def _spare(totals: np.ndarray, sums: np.ndarray, continued: np.ndarray) -> np.nd
     return 1.0 - (sums - DISCOUNT * continued) / np.maximum(totals, 1)
 
 
-@dataclass
-class Automaton:
-    """``n`` training tokens, ``types`` words; the n-grams are in the written
-    buckets' rows without a slice, ``kept[k]`` for those of k + 1 words."""
-    n: int
-    types: int
-    buckets: int
-    kept: list[DataFrame]
-
-    def find(self, order: int, keys: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """Those of a few n-grams that are kept: total, and sum and number of those that continue it."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in single_rows(batches):
-                own, n = np.frombuffer(row["keys"], "<u8"), row["size"]
-                at = np.flatnonzero(np.isin(own, keys))
-                found = [unpacked(row[c], n)[at] for c in ("totals", "sums", "continued")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[at].astype(np.int64)), pa.array(found[0] >> 1), pa.array(found[1]), pa.array(found[2])],
-                    ["key", "total", "sum", "continued"])
-        own = np.unique(((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).tolist()
-        rows = self.kept[order - 1].where(F.col("bucket").isin(own)).mapInArrow(
-            run, "key bigint, total bigint, sum bigint, continued bigint").collect()
-        return {r["key"] % (1 << 64): (r["total"], r["sum"], r["continued"]) for r in rows}
-
-    def traverse(self, hashes: list[int], counts: list[int]) -> float:
-        """One text's log10 probability, arc by arc: ``hashes`` of its tokens, the
-        end token last, and their training counts."""
-        distinct, tokens = np.unique(np.array(hashes, np.uint64), return_inverse=True)
-        own = levels({"tokens": tokens.astype("<u4").tobytes(), "words": distinct.tobytes(),
-                      "lengths": np.array([len(hashes)], "<i8").tobytes()}, len(self.kept))
-        kept = [self.find(k + 1, level.keys) for k, level in enumerate(own)]
-
-        def state(order: int, number: int) -> tuple[int, int, int] | None:
-            return kept[order - 1].get(int(own[order - 1].keys[number])) if number >= 0 else None
-
-        def weight(order: int, i: int) -> float:
-            """P of the arc of ``order`` words that reads token i, or by failure arcs of the longest below."""
-            if order == 1:
-                return float(_base(np.array(counts[i]), self.n, self.types))
-            context, arc = state(order - 1, own[order - 1].before[i]), state(order, own[order - 1].at[i])
-            if context is None:
-                return weight(order - 1, i)
-            back = float(_spare(*map(np.array, context))) * weight(order - 1, i)
-            return back if arc is None else (arc[0] - DISCOUNT) / context[0] + back
-
-        return sum(math.log10(weight(len(self.kept), i)) for i in range(len(hashes)))
-
-
-def train(slices: DataFrame, folder: str, order: int = ORDER) -> Automaton:
-    """Counts all training n-grams of the written slices, leaves each slice's totals
-    in its files, and returns the automaton."""
+def train(slices: DataFrame, folder: str, order: int = ORDER, least: int = LEAST) -> tuple[int, int]:
+    """Counts all training n-grams of the written slices and leaves each slice's
+    totals in its files; the number of training tokens and of different ones."""
     spark = slices.sparkSession
-    buckets = 2 * partitions(spark)
-    kept: list[DataFrame] = []
+    n, tokens = slices.agg(F.sum("n_train"), F.sum(F.octet_length("tokens"))).first()
+    buckets = max(2 * partitions(spark), (tokens or 0) // 4 // BUCKET_TOKENS + 1)
+    types = 0
     with shuffles_removed(spark):
         for k in range(order, 0, -1):  # an n-gram's total counts for its context
             totals = written(slices.select("slice", "lengths", "held", "tokens", "words")
                              .mapInArrow(_dealt(folder, k, order, buckets), DEALT)
-                             .groupBy("bucket").applyInArrow(_totals(k), ANSWERS), folder, f"answers-{k}")
-            written(totals.where("slice IS NOT NULL").drop("keys", "types").groupBy("slice")
+                             .groupBy("bucket").applyInArrow(_totals(k, least), ANSWERS), folder, f"answers-{k}")
+            written(totals.drop("types").groupBy("slice")
                     .applyInArrow(_gathered(folder, k), "slice string"), folder, f"gathered-{k}")
-            kept.insert(0, totals.where("slice IS NULL"))
-    n = slices.agg(F.sum("n_train")).first()[0] or 0
-    return Automaton(n, kept[0].agg(F.sum("types")).first()[0] or 0, buckets, kept)
+            if k == 1:
+                types = totals.agg(F.sum("types")).first()[0] or 0
+    return n or 0, types
 
 
-def _scored(folder: str, n: int, types: int, order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+@dataclass
+class Machine:
+    """States and arcs that a slice's texts can reach. State 0 is the empty context.
+    From there each word has an arc (``base``, ``home``); the arcs of other states
+    are sorted by state * words + word. ``begin`` is the state before a text."""
+    words: int
+    begin: int
+    base: np.ndarray
+    home: np.ndarray
+    fail: np.ndarray
+    weight: np.ndarray
+    arcs: np.ndarray
+    cost: np.ndarray
+    to: np.ndarray
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads a word in each state: the states after it, and the log10 probabilities."""
+        after, p = np.empty_like(state), np.zeros(len(state))
+        state, todo = state.copy(), np.arange(len(state))
+        while len(todo):
+            root = todo[state[todo] == 0]
+            p[root] += self.base[word[root]]
+            after[root] = self.home[word[root]]
+            todo = todo[state[todo] > 0]
+            wanted = state[todo] * self.words + word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
+            found = self.arcs[at] == wanted if len(self.arcs) else np.zeros(len(todo), bool)
+            read, at = todo[found], at[found]
+            p[read] += self.cost[at]
+            after[read] = self.to[at]
+            todo = todo[~found]  # these take their failure arcs
+            p[todo] += self.weight[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return after, p
+
+    def traverse(self, tokens: np.ndarray, lengths: np.ndarray, order: int, lane: int) -> np.ndarray:
+        """log10 probability of each token, texts of ``lengths`` one after another."""
+        ends = np.cumsum(lengths)
+        cuts = -(-lengths // lane)
+        number = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        text_start, text_end = np.repeat(ends - lengths, cuts), np.repeat(ends, cuts)
+        own = text_start + number * lane  # from here on a lane's costs count
+        start = np.maximum(text_start, own - (order - 1))
+        stop = np.minimum(own + lane, text_end)
+        by = np.argsort(start - stop, kind="stable")  # longest first: those that go on are a prefix
+        own, start, size = own[by], start[by], (stop - start)[by]
+        state = np.where(start == text_start[by], self.begin, 0)
+        out = np.zeros(len(tokens))
+        for k in range(int(size.max(initial=0))):
+            m = int(np.searchsorted(-size, -k))  # lanes longer than k
+            at = start[:m] + k
+            state[:m], p = self.step(state[:m], tokens[at])
+            counts = at >= own[:m]
+            out[at[counts]] = p[counts]
+        return out
+
+
+def machine(own: list[Level], answers: list[tuple], n: int, types: int) -> Machine:
+    """The automaton of a slice from its n-grams and their corpus totals, an entry
+    for each order."""
+    totals, _, sums, continued = answers[0]
+    words, tokens = len(totals), own[0].at
+    p = _base(totals, n, types)
+    states = np.where(totals > 0, 1 + np.arange(words), 0)  # of each n-gram of the order below
+    base, home = np.log10(p), states
+    fail, weight = [np.zeros(1 + words, np.int64)], [np.r_[0.0, np.log10(_spare(totals, sums, continued))]]
+    arcs, cost, to, used = [], [], [], 1 + words
+    for k in range(1, len(own)):
+        level, spare, context = own[k], _spare(totals, sums, continued), totals
+        totals, _, sums, continued = answers[k]
+        some = level.at >= 0
+        shorter, last = np.zeros(len(totals), np.int64), np.zeros(len(totals), np.int64)
+        shorter[level.at[some]], last[level.at[some]] = own[k - 1].at[some], tokens[some]
+        kept = np.flatnonzero(totals > 0)
+        p = spare[level.contexts] * p[shorter] + np.where(
+            totals > 0, (totals - DISCOUNT) / np.maximum(context[level.contexts], 1), 0.0)
+        arcs.append(states[level.contexts[kept]] * words + last[kept])
+        cost.append(np.log10(p[kept]))
+        suffix = states[shorter[kept]]
+        if k == len(own) - 1:
+            to.append(suffix)
+            continue
+        states = np.zeros(len(totals), np.int64)
+        states[kept] = used + np.arange(len(kept))
+        used += len(kept)
+        to.append(states[kept])
+        fail.append(suffix)
+        weight.append(np.log10(_spare(totals, sums, continued)[kept]))
+    arc, cost, to = (np.concatenate(x) if x else np.empty(0) for x in (arcs, cost, to))
+    order = np.argsort(arc)
+    end = int(np.searchsorted(own[0].keys, END_HASH))
+    return Machine(words, int(home[end]), base, home, np.concatenate(fail), np.concatenate(weight),
+                   arc[order], cost[order], to[order].astype(np.int64))
+
+
+def _scored(folder: str, n: int, types: int, order: int, lane: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in single_rows(batches):
             own = levels(row, order)
-            totals, _, sums, continued = _answers(folder, 1, row["slice"])
-            known = (totals > 0)[own[0].at].astype(np.int64)
-            p = base = _base(totals, n, types)[own[0].at]
-            for k in range(2, order + 1):
-                level, spare, context = own[k - 1], _spare(totals, sums, continued), totals
-                totals, _, sums, continued = _answers(folder, k, row["slice"])
-                some = np.flatnonzero(level.before >= 0)
-                before, total = level.before[some], totals[level.at[some]]
-                p = p.copy()
-                p[some] = spare[before] * p[some] + np.where(
-                    total > 0, (total - DISCOUNT) / np.maximum(context[before], 1), 0.0)
-            lengths = np.frombuffer(row["lengths"], "<i8")
-            sums = [np.add.reduceat(x, np.cumsum(lengths) - lengths) for x in (known, np.log10(base), np.log10(p))]
+            answers = [_answers(folder, k + 1, row["slice"]) for k in range(order)]
+            model, tokens, lengths = machine(own, answers, n, types), own[0].at, np.frombuffer(row["lengths"], "<i8")
+            known = (answers[0][0] > 0)[tokens].astype(np.int64)
+            del own, answers
+            p = model.traverse(tokens, lengths, order, lane)
+            sums = [np.add.reduceat(x, np.cumsum(lengths) - lengths) for x in (known, model.base[tokens], p)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["doc_ids"], pa.int64()), pa.array(np.frombuffer(row["held"], "u1").astype(bool)),
                  pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), n, np.int64)),
@@ -347,15 +387,45 @@ def _scored(folder: str, n: int, types: int, order: int) -> Callable[[Iterator[p
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, lane: int = LANE) -> DataFrame:
     """For each document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
     slices = written(docs.select("doc_id", "text").mapInArrow(_slices, SLICES), folder, "slices")
-    model = train(slices, folder, order)
-    return slices.mapInArrow(_scored(folder, model.n, model.types, order), SCORES)
+    n, types = train(slices, folder, order, least)
+    return slices.mapInArrow(_scored(folder, n, types, order, lane), SCORES)
 
 
 def op4_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The empty word is the end of a text, and what stands before its first word.
+ORACLE_SQL = f"""
+WITH bytes AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, (4294967295 - list_reduce(list_prepend(4294967295,
+      list_transform(list_filter(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: x <> ''),
+        lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]))) % {HELD_OUT_MOD} = {HELD_OUT} AS held,
+    list_concat([''], regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ['']) AS x FROM documents CROSS JOIN bytes),
+tokens AS MATERIALIZED (SELECT r, held, x[i] AS w, x[i - 1] AS h, CASE WHEN i > 2 THEN x[i - 2] END AS g
+  FROM (SELECT *, unnest(range(2, len(x) + 1)) AS i FROM texts)),
+one AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held GROUP BY w),
+size AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM one),
+two AS (SELECT h, w, count(*) AS c FROM tokens WHERE NOT held GROUP BY ALL HAVING count(*) >= {LEAST}),
+three AS (SELECT g, h, w, count(*) AS c FROM tokens WHERE NOT held AND g IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}),
+after_one AS (SELECT h, sum(c - {DISCOUNT}) AS s FROM two GROUP BY h),
+after_two AS (SELECT g, h, sum(c - {DISCOUNT}) AS s FROM three GROUP BY g, h),
+p1 AS (SELECT t.*, one.c, (coalesce(one.c, 0) + 1) / (n + v + 1) AS p1 FROM tokens t CROSS JOIN size LEFT JOIN one USING (w)),
+p2 AS (SELECT p1.*, coalesce((two.c - {DISCOUNT}) / hc.c, 0) + (1 - coalesce(a.s / hc.c, 0)) * p1 AS p2
+  FROM p1 LEFT JOIN one hc ON hc.w = p1.h LEFT JOIN two ON two.h = p1.h AND two.w = p1.w LEFT JOIN after_one a ON a.h = p1.h),
+p3 AS (SELECT p2.*, CASE WHEN gh.c IS NULL THEN p2
+    ELSE coalesce((three.c - {DISCOUNT}) / gh.c, 0) + (1 - coalesce(a.s / gh.c, 0)) * p2 END AS p3
+  FROM p2 LEFT JOIN two gh ON gh.h = p2.g AND gh.w = p2.h LEFT JOIN after_two a ON a.g = p2.g AND a.h = p2.h
+  LEFT JOIN three ON three.g = p2.g AND three.h = p2.h AND three.w = p2.w)
+SELECT any_value(texts.doc_id) AS doc_id, any_value(texts.held) AS held_out, count(*) AS n_tokens, count(p3.c) AS n_known,
+  CAST(any_value(n) AS BIGINT) AS train_tokens, sum(log10(p1)) AS base_score, sum(log10(p3)) AS score
+FROM p3 JOIN texts USING (r) CROSS JOIN size GROUP BY r"""

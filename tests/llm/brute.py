@@ -101,7 +101,7 @@ def lm_words(text: str) -> list[str]:
 class Trigrams:
     """The interpolated model, from counts in dictionaries."""
 
-    def __init__(self, docs: list[tuple], keep: float, discount: float):
+    def __init__(self, docs: list[tuple], discount: float, least: int = 2):
         self.c, self.n2, self.n3, self.d = Counter(), Counter(), Counter(), discount
         for i, text in docs:
             if zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2:
@@ -111,7 +111,6 @@ class Trigrams:
             self.n2.update(zip(seen, seen[1:]))
             self.n3.update(zip(seen, seen[1:], seen[2:]))
         self.n, self.v = sum(self.c.values()), len(self.c)
-        least = max(2, math.ceil(keep * self.n))
         self.k2 = {k: v for k, v in self.n2.items() if v >= least}
         self.k3 = {k: v for k, v in self.n3.items() if v >= least}
         self.s2, self.s3 = defaultdict(float), defaultdict(float)

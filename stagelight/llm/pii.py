@@ -1,16 +1,19 @@
 """PII (1): weak-supervision aggregation, in DataFrame functions alone.
 
 Strict patterns give the contract's base spans, looser ones further candidates
-(numbers without a country code, written-out addresses, cards of other lengths or
-with a wrong check digit). Six labelers vote on every candidate: yes, no or
-nothing. They are the strict pattern, the structure (check digit, octets, number
-of digits), a gazetteer (top-level domains, issuer and country prefixes), words
-before that speak for the kind, words before that speak against, and what stands
-next to the span. For each kind expectation-maximisation estimates the labelers'
+(numbers without a country code, written-out addresses, card numbers of other
+lengths or with a wrong check digit) and those of further kinds: secrets that are
+assigned to a name, bank account numbers (IBAN) and social-security numbers. Six
+labelers vote on every candidate: yes, no or nothing. They are the strict pattern
+with its check (octets, check digit), the form (number of digits, remainder of an
+account number, letters and digits of a secret), a gazetteer (top-level domains,
+issuer, country and key prefixes), words before that speak for the kind, words
+before that speak against, and what stands next to the span. For each kind expectation-maximisation estimates the labelers'
 reliabilities from the counts of vote patterns (at most 3 ** 6, whatever the
 input), and the resulting posteriors train the final classifier, naive Bayes over
 the span's own features. Base spans stay; a further candidate is added if the
-classifier gives it 0.5 or more and it overlaps nothing found before.
+classifier gives it 0.5 or more, its form is its kind's, it stands alone, no word
+before it speaks against it, and it overlaps nothing found before.
 
 Positions come from splitting the text by the pattern: the lengths of what lies
 between the matches, added up in a window over the document's matches. Patterns
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds beyond the contract's; their spans come after those.
+MORE_KINDS = ("secret", "iban", "ssn")
 #: Matches of these, if valid, are the base spans.
 STRICT = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -44,7 +49,10 @@ STRICT = {
 LOOSE = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}"
               r" ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,10}"),
-    "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![ .-]?[0-9])",
+    "secret": r"(?<=[:=] {0,2}[\"']{0,1})[A-Za-z0-9+/_-]{16,200}+(?![A-Za-z0-9+/_-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A match of the kind's strict or loose pattern needs one of these in the text.
 GATES: dict[str, Callable[[Column], Column]] = {
@@ -54,22 +62,35 @@ GATES: dict[str, Callable[[Column], Column]] = {
     "phone": lambda t: t.contains("+"),
     "loose email": lambda t: t.contains("(at)") | t.contains("[at]"),
     "loose phone": lambda t: t.rlike(r"[0-9][ .-][0-9]{3}"),
+    "loose secret": lambda t: t.rlike(r"[:=] {0,2}[\"']?[A-Za-z0-9+/_-]{16}"),
+    "loose iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
+    "loose ssn": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
 }
+PATTERNS = [*STRICT, *(f"loose {k}" for k in LOOSE)]
 BEFORE, AFTER = 40, 1
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co", "example", "test")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 COUNTRIES = r"^\+?(?:1|33|34|44|49|39|41|43|31|32|351|45|46|47|48|7|81|86|91|55|52|61)"
+#: Countries whose account numbers begin with these letters have this many characters.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22,
+                "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+KEY_PREFIXES = r"^(?:AKIA|ASIA|gh[pousr]_|sk[-_]|pk[-_]|xox[abp]-|AIza|eyJ)"
 SPEAKS_FOR = {
     "email": r"mail|contact|write|address|kontakt|correo|courriel",
     "ip": r"\bip\b|host|server|address|addr|node|login",
     "card": r"card|visa|master|amex|credit|debit|karte|carte|tarjeta|pay",
     "phone": r"phone|tel|call|mobile|cell|fax|contact|ruf|appel|llama",
+    "secret": r"token|secret|passw|pwd|credential|auth|\bkey|_key|-key|apikey",
+    "iban": r"iban|account|bank|konto|compte|cuenta",
+    "ssn": r"ssn|social|security|tax",
 }
 SPEAKS_AGAINST = {
     "email": r"example of|regex|pattern",
     "ip": r"version|section|chapter|release|\bv$",
-    "card": r"isbn|order|serial|invoice|ref|tracking|account id",
-    "phone": r"isbn|order|serial|invoice|version|date|price|\$ ?$",
+    "card": r"\b(?:isbn|order|serial|invoice|ref|tracking|account id)\b",
+    "phone": r"\b(?:isbn|order|serial|invoice|version|date|price)\b|\$ ?$",
+    "secret": r"\b(?:sha-?(?:1|256)|md5|digest|checksum|commit|path|url|href|src)\b|https?:?$",
+    "ssn": r"\b(?:isbn|order|serial|invoice|part)\b",
 }
 LABELERS = 6
 ROUNDS = 25
@@ -95,7 +116,7 @@ def matches(docs: DataFrame, folder: str) -> DataFrame:
     """Written, a row for each document: its number, doc_id and the matches of each
     pattern. Texts are read once and not kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = [*KINDS, *(f"loose {k}" for k in LOOSE)]
+    names = PATTERNS
     patterns = [*STRICT.values(), *LOOSE.values()]
     return written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")).select(
         "row", "doc_id", *[_found(F.col("text"), p, GATES[name](F.col("text"))).alias(name)
@@ -105,7 +126,7 @@ def matches(docs: DataFrame, folder: str) -> DataFrame:
 def candidates(found: DataFrame) -> DataFrame:
     """A row for each match: row, kind, strict, start, end, match, before, after."""
     parts = None
-    for name in [*KINDS, *(f"loose {k}" for k in LOOSE)]:
+    for name in PATTERNS:
         kind = name.removeprefix("loose ")
         own = found.where(F.size(name) > 1).select(
             "row", F.lit(kind).alias("kind"), F.lit(name == kind).alias("strict"), F.posexplode(name).alias("at", "m"))
@@ -141,6 +162,30 @@ def structure(kind: Column, match: Column) -> Column:
             .when(kind == "phone", n.between(8, 15)).otherwise(F.lit(True)))
 
 
+def iban_remainder(match: Column) -> Column:
+    """97-remainder of an account number: the first four characters moved behind the
+    others, letters as two digits. 1 for a right one."""
+    compact = F.replace(match, F.lit(" "), F.lit(""))
+    moved = F.concat(F.expr("substring(replace(match, ' ', ''), 5)"), F.left(compact, F.lit(4)))
+    def read(rest: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
+    return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), read)
+
+
+def form(kind: Column, match: Column, n: Column) -> Column:
+    """Whether a candidate has the shape of its kind, whatever a check digit says."""
+    letters, figures = match.rlike("[A-Za-z]"), match.rlike("[0-9]")
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    compact = F.length(F.replace(match, F.lit(" "), F.lit("")))
+    known = F.coalesce(lengths[F.left(match, F.lit(2))] == compact, compact.between(15, 34))
+    return (F.when(kind == "card", n.between(13, 19))
+            .when(kind == "secret", letters & figures & (F.length(match) >= 20))
+            .when(kind == "iban", known & (iban_remainder(match) == 1))
+            .when(kind == "ssn", ~match.rlike("^(?:000|666|9)|-00-|-0000$"))
+            .otherwise(structure(kind, match)))
+
+
 def votes(spans: DataFrame) -> DataFrame:
     """``spans`` with ``base``, the labelers' ``votes`` (1, 0 or NOTHING) and ``features``."""
     kind, match = F.col("kind"), F.col("match")
@@ -155,16 +200,21 @@ def votes(spans: DataFrame) -> DataFrame:
 
     well_formed = structure(kind, match)
     base = F.col("strict") & well_formed
-    other_form = (F.when(kind == "card", n.between(13, 19) & luhn(digits)).otherwise(well_formed))
+    other_form = form(kind, match, n)
     gazetteer = (F.when(kind == "email", F.lower(F.regexp_extract(match, r"([A-Za-z]+)$", 1)).isin(*TOP_DOMAINS))
                  .when(kind == "card", digits.rlike(ISSUERS)).when(kind == "phone", match.rlike(COUNTRIES))
+                 .when(kind == "secret", match.rlike(KEY_PREFIXES) | match.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"))
+                 .when(kind == "iban", F.left(match, F.lit(2)).isin(*IBAN_LENGTHS))
+                 .when(kind == "ssn", F.lit(False))
                  .otherwise(~match.rlike(r"^(?:0|22[4-9]|2[3-5][0-9])\.")))
+    # lists that name only some of a kind's members: not to be listed says nothing
+    listed = F.when(gazetteer, 1).otherwise(F.when(kind.isin("card", "secret", "iban", "ssn"), NOTHING).otherwise(0))
     alone = ~F.col("before").rlike(r"[a-z0-9]$") & ~F.coalesce(F.col("after"), F.lit("")).rlike("^[A-Za-z0-9]")
     yes_no = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     says = [
         F.when(base, 1).otherwise(NOTHING),
         yes_no(other_form),
-        yes_no(gazetteer),
+        F.coalesce(listed, F.lit(0)),
         F.when(of_kind(SPEAKS_FOR), 1).otherwise(NOTHING),
         F.when(of_kind(SPEAKS_AGAINST), 0).otherwise(NOTHING),
         yes_no(alone),
@@ -175,7 +225,9 @@ def votes(spans: DataFrame) -> DataFrame:
         named("for", of_kind(SPEAKS_FOR)), named("against", of_kind(SPEAKS_AGAINST)),
         named("digits", F.least(n, F.lit(20))), named("length", F.least(F.length(match), F.lit(60)) / 4),
         named("separator", F.regexp_extract(match, "[ ().-]", 0)))
-    return spans.withColumns({"base": F.coalesce(base, F.lit(False)), "votes": F.array(*says), "features": features})
+    open_to = F.coalesce(other_form & alone, F.lit(False)) & ~of_kind(SPEAKS_AGAINST)
+    return spans.withColumns({"base": F.coalesce(base, F.lit(False)), "open": open_to, "votes": F.array(*says),
+                              "features": features})
 
 
 def posterior(state: Column, says: Column) -> Column:
@@ -252,12 +304,12 @@ def find(docs: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("row").orderBy("start", F.col("base").cast("int").desc(), "end")
     later = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("base").cast("int"), F.col("end").desc())
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    likely = F.col("base") | (F.col("p") >= ACCEPT)
+    likely = F.col("base") | (F.col("open") & (F.col("p") >= ACCEPT))
     spans = (spans.where(likely)
              .withColumn("left", F.coalesce(F.max("end").over(upto(earlier)), F.lit(0)))
              .withColumn("next", F.min(F.when(F.col("base"), F.col("start"))).over(upto(later)))
              .where(F.col("base") | ((F.col("left") <= F.col("start")) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True)))))
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    order = F.array_position(F.array(*map(F.lit, KINDS + MORE_KINDS)), F.col("kind"))
     one = F.struct(order.alias("of"), "start", "end", "kind")
     lists = spans.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(F.col("base"), one))).alias("base"), F.sort_array(F.collect_list(one)).alias("all"))

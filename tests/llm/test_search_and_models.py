@@ -86,7 +86,7 @@ def check_spans(row, text):
     assert [row[f"n_{k}"] for k, _ in PII] == [sum(s.startswith(k + ":") for s in base) for k, _ in PII]
     found = row["spans"].split(",") if row["spans"] else []
     assert set(base) <= set(found)
-    order = [k for k, _ in PII]
+    order = [*[k for k, _ in PII], *pii.MORE_KINDS]
     keys = [(order.index(s.split(":")[0]), int(s.split(":")[1]), int(s.split(":")[2])) for s in found]
     assert keys == sorted(keys) and all(0 <= a < b <= len(text) for _, a, b in keys)
 
@@ -125,6 +125,45 @@ def test_long_texts_neither_recurse_nor_stall(spark):
     assert got[1]["n_email"] == 1 and got[2]["n_ip"] == 10_000 and got[4]["n_email"] == 0
 
 
+def remainder(iban):
+    compact = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97
+
+
+def test_account_numbers_by_their_remainder(spark):
+    known = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "DE89 3704 0044 0532 0130 01"]
+    df = spark.createDataFrame([(k,) for k in known], "match string")
+    from pyspark.sql import functions as F
+    got = df.select("match", pii.iban_remainder(F.col("match")).alias("r"), pii.form(F.lit("iban"), F.col("match"), F.lit(0)).alias("ok")).collect()
+    assert [r["r"] for r in got] == [remainder(k) for k in known]
+    assert [r["ok"] for r in got] == [True, True, True, False]
+
+
+def private_texts(rng):
+    """(text, what it plants or None): numbers, keys and what only looks like them."""
+    word = lambda: "".join(rng.choices("abdeghilmnorstu", k=rng.randint(3, 9)))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    made = {"card": lambda: "4" + digits(15), "secret": lambda: f'token = "{rng.getrandbits(160):040x}"',
+            "ssn": lambda: f"ssn {rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+            "iban": lambda: next(x for x in (f"DE{k:02d}37040044{digits(10)}" for k in range(2, 99) for _ in range(97)) if remainder(x) == 1),
+            "phone": lambda: f"call ({digits(3)}) {digits(3)}-{digits(4)}", None: lambda: rng.choice(
+                ["order " + digits(14), "sha256: " + f"{rng.getrandbits(256):064x}", "in 1999 and 2004", digits(30), "a = " + word() * 3, "XX12 " + word()])}
+    for kind in [*made] * 60:
+        yield " ".join([*(word() for _ in range(12)), made[kind](), *(word() for _ in range(9))]), kind
+
+
+def test_planted_data_is_found_and_clean_text_left_alone(spark):
+    known = list(private_texts(random.Random(11)))
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(known)], "doc_id bigint, text string")
+    caught = {r["doc_id"]: {s.split(":")[0] for s in r["spans"].split(",")} - {""} for r in pii.find(df).collect()}
+    for kind in {k for _, k in known}:
+        own = [caught[k] for k, (_, planted) in enumerate(known) if planted == kind]
+        if kind is None:
+            assert [k for k, (_, planted) in enumerate(known) if planted is None and caught[k]] == []
+        else:
+            assert sum(kind in found for found in own) >= 0.9 * len(own), kind
+
+
 def test_em_finds_the_good_labelers(spark):
     rng = random.Random(1)
     rows = []
@@ -146,10 +185,10 @@ def test_no_python_runs_on_the_main_path(documents):
 
 
 # ------------------------------------------------------------- language model
-def check_scores(df):
+def check_scores(df, **how):
     docs = texts(df)
-    model = Trigrams(docs, L.KEEP, L.DISCOUNT)
-    rows = L.score(df).collect()
+    model = Trigrams(docs, L.DISCOUNT, how.get("least", L.LEAST))
+    rows = L.score(df, **how).collect()
     assert len(rows) == len(docs)
     want = sorted(((i, len(lm_words(t)) + 1, *map(lambda x: round(x, 6), model.scores(t))) for i, t in docs), key=repr)
     got = sorted(((r["doc_id"], r["n_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows), key=repr)
@@ -163,47 +202,80 @@ def check_scores(df):
     return rows
 
 
-def test_scores_of_documents(documents):
-    rows = check_scores(documents)
+@pytest.mark.parametrize("how", [{}, {"least": 1}, {"lane": 5}])
+def test_scores_of_documents(documents, how):
+    rows = check_scores(documents, **how)
     held = [r for r in rows if r["held_out"]]
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 def test_scores_of_odd_rows(odd, empty):
     check_scores(odd)
+    check_scores(odd, lane=7)
     assert L.score(empty).count() == 0
 
 
-def small_model(corpus, keep=0.02):
-    """A model over a few words, counted with the operator's own steps."""
-    words = sorted({w for t in corpus for w in t.split()})
-    hashes = {w: L.word_hash(w.encode()) for w in words} | {None: 0}
-    counts = Trigrams([(0, t) for t in corpus], keep, L.DISCOUNT)
-    return words, hashes, counts
+def test_buckets_follow_the_tokens(documents, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET_TOKENS", 700)
+    check_scores(documents)
 
 
-def test_traversal_equals_the_vector_pass_and_sums_to_one(spark):
+def test_arcs_of_each_context_sum_to_one():
     corpus = ["a b c a b", "a b a b c", "c c a b", "b a"]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(corpus * 3)], "doc_id bigint, text string")
-    from stagelight.llm.common import shared_dir, written
-    folder = shared_dir(spark)
-    slices = written(df.select("doc_id", "text").mapInArrow(L._slices, L.SLICES), folder, "slices")
-    model = L.train(slices, folder)
-    train = [(r["doc_id"], r["text"]) for r in df.collect()]
-    words, hashes, _ = small_model(corpus)
-    brute = Trigrams(train, L.KEEP, L.DISCOUNT)
-    for text in ["a b c", "", "b b b zz a b", "c a b a"]:
-        seen = [*text.split(), None]
-        got = model.traverse([hashes.get(w, 12345) for w in seen], [brute.c[w] for w in seen])
-        assert got == pytest.approx(brute.scores(text)[1], abs=1e-9)
+    words = sorted({w for t in corpus for w in t.split()})
+    brute = Trigrams([(0, t) for t in corpus * 3], L.DISCOUNT)
     for g, h in itertools.product([None, *words], words):
         total = sum(brute.p3(g, h, w) for w in [*words, None]) + brute.p3(g, h, "unknown")
         assert total == pytest.approx(1, abs=1e-12)
 
 
+def automaton(corpus):
+    """A slice's automaton, counted here, and its word numbers."""
+    seen = [[*t.split(), None] for t in corpus]
+    hashes = {w: L.word_hash(w.encode()) if w else 0 for t in seen for w in t}
+    distinct, tokens = np.unique(np.array([hashes[w] for t in seen for w in t], np.uint64), return_inverse=True)
+    lengths = np.array([len(t) for t in seen], "<i8")
+    own = L.levels({"tokens": tokens.astype("<u4").tobytes(), "words": distinct.tobytes(), "lengths": lengths.tobytes()}, 3)
+    counts = [np.bincount(level.at[level.at >= 0], minlength=len(level.keys)) for level in own]
+    kept = [counts[0], *(np.where(c >= 2, c, 0) for c in counts[1:])]
+    answers = []
+    for k, c in enumerate(kept):
+        sums = continued = np.zeros(len(c), np.int64)
+        if k < 2:
+            on = kept[k + 1] > 0
+            sums = np.bincount(own[k + 1].contexts[on], kept[k + 1][on], len(c)).astype(np.int64)
+            continued = np.bincount(own[k + 1].contexts[on], minlength=len(c))
+        answers.append((c, None, sums, continued))
+    numbers = {w: int(np.searchsorted(distinct, h)) for w, h in hashes.items()}
+    return L.machine(own, answers, int(counts[0].sum()), int((counts[0] > 0).sum())), numbers
+
+
+def test_one_walk_arc_by_arc_equals_the_lanes(spark):
+    """Each text walked alone, a dictionary for the arcs, following failure arcs one by one."""
+    corpus = ["a b c a b", "a b a b c", "c c a b", "b a", "a b c a b c a b c c c b b a"]
+    model, numbers = automaton(corpus)
+    assert len(model.arcs) and len(model.fail) > 1 + model.words  # states of two words
+    arcs = {divmod(int(a), model.words): (c, int(t)) for a, c, t in zip(model.arcs, model.cost, model.to)}
+    brute = Trigrams([(0, t) for t in corpus], L.DISCOUNT)
+    for text in [*corpus, "c b a a b c", "b b b c a b", ""]:
+        state, total, taken = model.begin, 0.0, 0
+        for w in [*text.split(), None]:
+            word = numbers[w]
+            while state and (state, word) not in arcs:
+                total += model.weight[state]
+                state, taken = int(model.fail[state]), taken + 1
+            cost, state = arcs[state, word] if state else (model.base[word], int(model.home[word]))
+            total += cost
+        assert total == pytest.approx(brute.scores(text)[1], abs=1e-9)
+        tokens = np.array([numbers[w] for w in [*text.split(), None]])
+        for lane in (1, 2, 5, 100):
+            assert model.traverse(tokens, np.array([len(tokens)]), 3, lane).sum() == pytest.approx(total, abs=1e-9)
+        assert taken or text in corpus
+
+
 def test_rare_ngrams_count_however_large_the_corpus_is(spark):
     docs = [(0, "x " * 2_500_000), (3, "p q r"), (5, "p q r"), (6, "s p q r t")]
-    model = Trigrams(docs, 0.0, L.DISCOUNT)
+    model = Trigrams(docs, L.DISCOUNT)
     assert ("p", "q", "r") in model.k3 and model.n > 2_400_000
     rows = L.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     for r in rows:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stagelight.llm import packing as P
 from stagelight.llm import simple8b as S
@@ -121,3 +122,28 @@ def test_token_files(documents, odd, empty):
     for df in (documents, odd):
         assert as_rows(S.token_files(df)) == brute_files(texts(df))
     assert S.token_files(empty).count() == 0
+
+
+def test_one_row_a_third_of_the_table(spark, documents):
+    """Copies of one row are dealt to all buckets, and each is packed."""
+    own = texts(documents)
+    copies = [(7, own[7][1])] * (len(own) // 2)
+    rows = P.pack(spark.createDataFrame(own + copies, "doc_id bigint, text string")).collect()
+    check_pieces(own + copies, rows, 1024)
+    tokens = spark.createDataFrame([(1, 5, [], 5, 9, b"", k) for k in range(4000)],
+                                   "doc_id bigint, doc_tokens bigint, crcs array<bigint>, tail_length int, tail_crc bigint, tail binary, row bigint")
+    ranked = P.ranked(tokens, 16)
+    assert sorted(r["rank"] for r in ranked.select("rank").collect()) == list(range(4000))
+    buckets = tokens.groupBy(F.pmod(F.xxhash64("row"), F.lit(16))).count().collect()
+    assert len(buckets) == 16 and max(r["count"] for r in buckets) < 500
+
+
+def test_the_store_keeps_what_it_is_asked_for():
+    store = T.UnitStore(4)
+    first = np.array([9, 3, 7], np.uint64)
+    store.add(first, [b"9", b"3", b"7"], np.empty(0, np.int64))
+    rows = store.find(np.array([3, 8, 9], np.uint64))
+    assert rows[1] == -1 and [store.ids[int(r)].as_py() for r in rows[[0, 2]]] == [b"3", b"9"]
+    store.add(np.array([8, 1], np.uint64), [b"8", b"1"], rows[[0, 2]])  # beyond the limit: 7 goes
+    rows = store.find(np.array([3, 9, 8, 1, 7], np.uint64))
+    assert rows[4] == -1 and [store.ids[int(r)].as_py() for r in rows[:4]] == [b"3", b"9", b"8", b"1"]

@@ -4,6 +4,7 @@ import hashlib
 
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 import zstandard
 
 from stagelight.llm import warc as W
@@ -81,3 +82,19 @@ def test_bundle_is_plain_zstandard_and_has_a_seek_table(tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         open(f"{tmp_path}/x", "wb").write(b"no table here, only text")
         W.BundleReader(fs.open_input_file(f"{tmp_path}/x"))
+
+
+def test_bundles_are_read_by_many_tasks(spark):
+    """Eight bundles, one for each writing task, are dealt over the tasks that read."""
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    pages = spark.createDataFrame([(k, f"u{k}", f"page {k} " * 30) for k in range(400)], "page_id bigint, url string, html string")
+    folder = shared_dir(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = W.write_bundles(pages, folder)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert manifest.select("bundle").distinct().count() >= 8
+    back = W.read_bundles(manifest, folder)
+    sizes = back.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 3 and sum(r["count"] for r in sizes) == 400

@@ -39,7 +39,7 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, shared_dir, shuffles_removed, single_rows, text_slices, written
+from .common import filesystem, give_back, partitions, shared_dir, shuffles_removed, single_rows, text_slices, written
 
 ORDER = 3
 #: An n-gram of two words or more is kept if it occurs so often, however large the corpus is.
@@ -127,13 +127,11 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Level:
     """A slice's n-grams of one order. ``keys``: ascending hashes of the distinct
-    ones; ``contexts``: the numbers of their contexts in the order below. For each
-    token, ``at``: the number of the n-gram that ends there, and ``before``: that
-    of its context; -1 where a text is too short."""
+    ones; ``contexts``: the numbers of their contexts in the order below; ``at``: for
+    each token the number of the n-gram that ends there, -1 where a text is too short."""
     keys: np.ndarray
     contexts: np.ndarray
     at: np.ndarray
-    before: np.ndarray
 
 
 def levels(row: dict, order: int) -> list[Level]:
@@ -142,7 +140,7 @@ def levels(row: dict, order: int) -> list[Level]:
     first[np.cumsum(lengths) - lengths] = True
     keys = np.frombuffer(row["words"], "<u8")
     last = keys[tokens]
-    out = [Level(keys, np.full(len(keys), -1), tokens, np.full(len(tokens), -1))]
+    out = [Level(keys, np.full(len(keys), -1), tokens)]
     end = int(np.searchsorted(keys, END_HASH))  # a text's first word follows an end
     for k in range(2, order + 1):
         before = np.where(first, end if k == 2 else -1, np.concatenate(([-1], out[-1].at[:-1])))
@@ -150,7 +148,7 @@ def levels(row: dict, order: int) -> list[Level]:
         keys, place = np.unique(chained(out[-1].keys[before[some]], last[some]), return_inverse=True)
         at, contexts = np.full(len(tokens), -1), np.full(len(keys), -1)
         at[some], contexts[place] = place, before[some]
-        out.append(Level(keys, contexts, at, before))
+        out.append(Level(keys, contexts, at))
     return out
 
 
@@ -331,10 +329,11 @@ class Machine:
         return out
 
 
-def machine(own: list[Level], answers: list[tuple], n: int, types: int) -> Machine:
+def machine(own: list[Level], answers: Iterable[tuple], n: int, types: int) -> Machine:
     """The automaton of a slice from its n-grams and their corpus totals, an entry
-    for each order."""
-    totals, _, sums, continued = answers[0]
+    for each order; those of one order are held at once."""
+    answers = iter(answers)
+    totals, _, sums, continued = next(answers)
     words, tokens = len(totals), own[0].at
     p = _base(totals, n, types)
     states = np.where(totals > 0, 1 + np.arange(words), 0)  # of each n-gram of the order below
@@ -343,7 +342,7 @@ def machine(own: list[Level], answers: list[tuple], n: int, types: int) -> Machi
     arcs, cost, to, used = [], [], [], 1 + words
     for k in range(1, len(own)):
         level, spare, context = own[k], _spare(totals, sums, continued), totals
-        totals, _, sums, continued = answers[k]
+        totals, _, sums, continued = next(answers)
         some = level.at >= 0
         shorter, last = np.zeros(len(totals), np.int64), np.zeros(len(totals), np.int64)
         shorter[level.at[some]], last[level.at[some]] = own[k - 1].at[some], tokens[some]
@@ -373,10 +372,11 @@ def _scored(folder: str, n: int, types: int, order: int, lane: int) -> Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in single_rows(batches):
             own = levels(row, order)
-            answers = [_answers(folder, k + 1, row["slice"]) for k in range(order)]
-            model, tokens, lengths = machine(own, answers, n, types), own[0].at, np.frombuffer(row["lengths"], "<i8")
-            known = (answers[0][0] > 0)[tokens].astype(np.int64)
-            del own, answers
+            model = machine(own, (_answers(folder, k + 1, row["slice"]) for k in range(order)), n, types)
+            tokens, lengths = own[0].at, np.frombuffer(row["lengths"], "<i8")
+            del own
+            give_back()
+            known = (model.home[tokens] > 0).astype(np.int64)
             p = model.traverse(tokens, lengths, order, lane)
             sums = [np.add.reduceat(x, np.cumsum(lengths) - lengths) for x in (known, model.base[tokens], p)]
             yield pa.RecordBatch.from_arrays(

@@ -18,11 +18,12 @@ from pyspark.sql import types as T
 
 from ..functions import month_key
 from ..operators.filters import MONTH_PARTITION, Filters
-from ..session import configure, ensure_checkpoint_dir, new_shared_folder
+from ..session import configure, delete_folder, ensure_checkpoint_dir, new_shared_folder
 from ..sources import quarantine
 from ..sources.roles import Roles, require_rows
 from . import analyses as A
 from . import frames
+from .bucketed import BucketedClasses
 from .factorised import FactorisedBase
 from .monthly_store import DailySums
 from .periods import MonthlyIds
@@ -124,9 +125,7 @@ class Workspace:
     def release(self) -> None:
         """Removes the tables that ``materialize`` wrote; its frames go with them."""
         if self._written:
-            spark = self.roles.transaction_data.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(self._written)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            delete_folder(self.roles.transaction_data.sparkSession, self._written)
             self._written = None
 
 
@@ -215,6 +214,7 @@ ANALYSES: dict[str, Callable[[Workspace], DataFrame]] = {
     "load_monthly_revenue": (lambda w: A.load_monthly_revenue(w.sums)),
     "load_demographics": (lambda w: w.demo),
     "load_teacher_performance": (lambda w: w.tp),
+    "load_teacher_performance_bucketed": (lambda w: BucketedClasses.write(w.roles).frame()),
     "teacher_first_course": (lambda w: A.teacher_first_course(w.tp)),
     # headline + facets
     "kpi_summary": (lambda w: A.kpi_summary(w.sums, frames.class_teachers(w.roles))),

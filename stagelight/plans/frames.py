@@ -104,14 +104,9 @@ def demographics(r: Roles) -> DataFrame:
                           "Course_Type_id", "Course_Type_Name", "Course_Type_Note"))
 
 
-def teacher_performance(r: Roles) -> DataFrame:
-    """class history LEFT JOIN teacher, then LEFT JOIN the per-course student
-    rows (course_student x course_basic x area x student).
-
-    The class history (the largest table) is the preserved side of both of
-    its joins, so AQE may split a hot teacher or a hot course on that side; a
-    hot course among the enrolments is salted by ``skew_left_join``.
-    """
+def seats(r: Roles) -> DataFrame:
+    """The student rows of each course: course_student x course_basic x area x
+    student, keyed by _ck."""
     cs, cb = r.course_student, r.course_basic
     typed = cs.join(cb, cs["Course_Type_id"] == cb["Course_Type_id"], "left") \
               .select(cs["Course_id"], cs["Student_id"].alias("_cs_student"))
@@ -121,19 +116,24 @@ def teacher_performance(r: Roles) -> DataFrame:
                                      F.col("StudentID").alias("Student_ID"),
                                      F.col("Gender").alias("Student_Gender"),
                                      F.col("Age").alias("Student_Age"))
-    per_course = (skew_left_join(typed, student_attributes(student, area), "_cs_student", _K,
-                                 hot_fans(shares_of(cs), area=(area, _K)), "area")
-                  .select(F.col("Course_id").alias("_ck"), "Student_ID", "Student_Gender",
-                          "Student_Age", "Learning_City", "Learning_Area"))
+    return (skew_left_join(typed, student_attributes(student, area), "_cs_student", _K,
+                           hot_fans(shares_of(cs), area=(area, _K)), "area")
+            .select(F.col("Course_id").alias("_ck"), "Student_ID", "Student_Gender",
+                    "Student_Age", "Learning_City", "Learning_Area"))
+
+
+def classes(r: Roles) -> DataFrame:
+    """The class history with its teachers: Teacher_ID, _name, Course_id, Course_Date."""
     tb = r.teacher_basic.select(F.col("TeacherID").alias("Teacher_ID"),
                                 full_name(F.col("FirstName"), F.col("LastName")).alias("_name"))
     # (Spark resolves names case-insensitively: Teacher_id vs Teacher_ID must not meet.)
     ch = r.course_history.select(F.col("Teacher_id").alias("_tid"), "Course_id", "Course_Date")
-    with_teacher = ch.join(tb, ch["_tid"] == tb["Teacher_ID"], "left") \
-                     .select("Teacher_ID", "_name", "Course_id", "Course_Date")
-    # One course may hold a large share of the enrolments: salted join.
-    joined = skew_left_join(with_teacher, per_course, "Course_id", "_ck",
-                            hot_fans(shares_of(cs), enrolment=(cs, "Course_id")), "enrolment")
+    return ch.join(tb, ch["_tid"] == tb["Teacher_ID"], "left") \
+             .select("Teacher_ID", "_name", "Course_id", "Course_Date")
+
+
+def taught_seats(joined: DataFrame) -> DataFrame:
+    """Columns and fills of ``teacher_performance`` from classes joined with seats."""
     return joined.select(
         "Teacher_ID",
         F.coalesce("_name", F.lit("Unknown")).alias("Teacher_Name"),
@@ -144,6 +144,19 @@ def teacher_performance(r: Roles) -> DataFrame:
         "Course_Date")
 
 
+def teacher_performance(r: Roles) -> DataFrame:
+    """class history LEFT JOIN teacher, then LEFT JOIN the per-course student
+    rows (course_student x course_basic x area x student).
+
+    The class history (the largest table) is the preserved side of both of
+    its joins, so AQE may split a hot teacher or a hot course on that side; a
+    hot course among the enrolments is salted by ``skew_left_join``.
+    """
+    cs = r.course_student
+    return taught_seats(skew_left_join(classes(r), seats(r), "Course_id", "_ck",
+                                       hot_fans(shares_of(cs), enrolment=(cs, "Course_id")), "enrolment"))
+
+
 def class_teachers(r: Roles) -> DataFrame:
     """Teacher_ID of the teachers with a class: the only input the
     distinct-teacher KPI needs from ``teacher_performance``. No join there

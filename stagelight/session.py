@@ -95,3 +95,9 @@ def new_shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return f"{root.rstrip('/')}/stagelight-{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that the library made, wherever the cluster keeps it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -51,7 +51,7 @@ def test_first_course_is_aggregate_not_window(plans):
 
 
 def test_row_level_outputs_are_not_globally_sorted(plans):
-    for key in ("load_transactions", "load_teacher_performance", "load_demographics",
+    for key in ("load_transactions", "load_teacher_performance", "load_demographics", "load_teacher_performance_bucketed",
                 "filter_combined", "active_students", "age_bucket"):
         assert "rangepartitioning" not in plans[key], key
 
@@ -103,7 +103,8 @@ def test_facets_read_their_owning_tables(plans):
 
 #: Those that write a small table first and read it again: the months that become
 #: columns, and the stored sums and sets.
-WRITE_FIRST = {"booking_heatmap_wide", "revenue_incremental", "students_by_period", "students_estimated", "teachers_by_period"}
+WRITE_FIRST = {"booking_heatmap_wide", "revenue_incremental", "students_by_period", "students_estimated", "teachers_by_period",
+               "load_teacher_performance_bucketed"}
 
 
 def test_no_job_runs_while_a_plan_is_built(spark):

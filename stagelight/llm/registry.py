@@ -37,7 +37,6 @@ QUERIES = {name: shipped(query) for name, query in {
     "op13_fertility_rules": fertility.op13_fertility_rules,
 }.items()}
 ORACLE_SQL = {
-    "op4_backoff_automaton": language_model.ORACLE_SQL,
     "op7_warc_bundles": warc.ORACLE_SQL,
     "op9_decontaminate_index": decontaminate.ORACLE_SQL,
     "op10_exact_dedup": digest_index.ORACLE_SQL,

@@ -215,6 +215,23 @@ def test_scores_of_odd_rows(odd, empty):
     assert L.score(empty).count() == 0
 
 
+def test_scores_match_sql(spark):
+    """All rows of sf0.01; sums of doubles agree but for their order."""
+    import duckdb
+    from stagelight.llm.registry import QUERIES
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.execute(L.SCORES_SQL)
+    columns = [c[0] for c in want.description]
+    want = sorted(want.fetchall())
+    got = QUERIES["op4_backoff_automaton"](spark, "/root/testdata/sf0.01")
+    assert sorted(got.columns) == sorted(columns)
+    got = sorted(tuple(r) for r in got.select(columns).collect())
+    assert len(got) == len(want) == 1000
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
 def test_buckets_follow_the_tokens(documents, monkeypatch):
     monkeypatch.setattr(L, "BUCKET_TOKENS", 700)
     check_scores(documents)

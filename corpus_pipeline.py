@@ -14,36 +14,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagelight.llm import decontaminate, digest_index, ngram_join, packing, toxicity
-from stagelight.llm.common import shared_dir, ship, written
+from stagelight.llm.common import shared_dir, ship, small_batches, written
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before each stage: the package for the tasks, and batches that leave executors
+    memory for what workers keep from stage to stage."""
+    ship(spark)
+    small_batches(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold (operator 8)."""
-    ship(spark)
+    prepare(spark)
     return toxicity.clean_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id (operator 10)."""
-    ship(spark)
+    prepare(spark)
     return digest_index.kept_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents that with the smallest doc_id (operator 6)."""
-    ship(spark)
+    prepare(spark)
     return ngram_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark's windows do not contaminate (operator 9)."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences (operator 2)."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 

@@ -25,6 +25,8 @@ A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 8 << 20
 #: Spark then removes the shuffle files of a query that has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that Spark sends a Python task at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What a Python worker gives up when it turns from token ids to other work.
 GIVE_UP: list[Callable[[], None]] = []
 
@@ -61,6 +63,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand Python tasks as many bytes at once as they work on, rather than
+    64 MB, where the cluster has not set it: each task holds a batch on either side."""
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(SLICE_BYTES))
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` written once as Parquet below ``folder`` and read again: later steps
     neither recompute it nor depend on the executors that made it."""

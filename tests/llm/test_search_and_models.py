@@ -292,7 +292,7 @@ def test_one_walk_arc_by_arc_equals_the_lanes(spark):
 
 def test_rare_ngrams_count_however_large_the_corpus_is(spark):
     docs = [(0, "x " * 2_500_000), (3, "p q r"), (5, "p q r"), (6, "s p q r t")]
-    model = Trigrams(docs, L.DISCOUNT)
+    model = Trigrams(docs, L.DISCOUNT, L.LEAST)
     assert ("p", "q", "r") in model.k3 and model.n > 2_400_000
     rows = L.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     for r in rows:

@@ -27,6 +27,11 @@ SLICE_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of rows that Spark sends a Python task at once.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+#: Of intermediate tables, whose rows may be megabytes: pages end by size after any
+#: row, and a codec that streams. Snappy keeps buffers as large as the largest page,
+#: outside the heap, for as long as the executor lives.
+PARQUET = {"compression": "zstd", "parquet.page.size.row.check.min": "1"}
 #: What a Python worker gives up when it turns from token ids to other work.
 GIVE_UP: list[Callable[[], None]] = []
 
@@ -64,17 +69,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Spark hand Python tasks as many bytes at once as they work on, rather than
-    64 MB, where the cluster has not set it: each task holds a batch on either side."""
+    """Lets Spark hand Python tasks ``BATCH_BYTES`` at once, rather than 64 MB, where
+    the cluster has not set it: each task holds a batch on either side, and a worker
+    what it derives from a batch."""
     if not spark.sparkContext.getConf().contains(BATCH):
-        spark.conf.set(BATCH, str(SLICE_BYTES))
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` written once as Parquet below ``folder`` and read again: later steps
     neither recompute it nor depend on the executors that made it."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**PARQUET).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

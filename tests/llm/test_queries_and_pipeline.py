@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as E
 import corpus_pipeline
+from stagelight.llm.common import BATCH, BATCH_BYTES, written
 from stagelight.llm.registry import ORACLE_SQL, QUERIES
 
 from .brute import a_to_z, contamination, near_components, shingle_set
@@ -73,3 +76,27 @@ def test_stages_take_odd_and_empty_tables(spark, stage, odd, empty):
             assert out.columns == df.columns
         if df is empty:
             assert out.count() == 0
+
+
+def test_intermediate_tables_need_no_buffer_of_a_page(spark, tmp_path):
+    rows = spark.range(8, numPartitions=1).selectExpr("id", "repeat(cast(id as string), 1000000) AS data")
+    again = written(rows, str(tmp_path), "rows")
+    assert sorted((r["id"], len(r["data"])) for r in again.collect()) == [(i, 1_000_000) for i in range(8)]
+    for file in (tmp_path / "rows").glob("*.parquet"):
+        column = pq.ParquetFile(file).metadata.row_group(0).column(1)
+        assert column.compression == "ZSTD"
+
+
+def test_stages_hand_tasks_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["size"])
+
+    before = spark.conf.get(BATCH)
+    try:
+        corpus_pipeline.prepare(spark)
+        rows = spark.range(300, numPartitions=1).selectExpr("repeat('x', 100000) AS text")
+        largest = max(r["size"] for r in rows.mapInArrow(sizes, "size bigint").collect())
+    finally:
+        spark.conf.set(BATCH, before)
+    assert largest <= BATCH_BYTES + 200_000 and BATCH_BYTES <= 4 << 20
